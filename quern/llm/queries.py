@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.catalog import load
-from quern.llm import embedding_dedup, sharding, simhash_dedup, warc
+from quern.llm import bpe, embedding_dedup, flac, sharding, simhash_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +19,11 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return fn
 
 
+@_query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @_query
 def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(load(spark, sf_dir, "pages"))
@@ -35,6 +41,11 @@ FROM d LEFT JOIN o USING (payload_digest)
 """
 
 
+@_query
+def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.round_trip(load(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(load(spark, sf_dir, "documents"))
