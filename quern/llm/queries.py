@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.catalog import load
-from quern.llm import bpe, embedding_dedup, flac, sharding, simhash_dedup, warc
+from quern.llm import bpe, embedding_dedup, flac, packing, sharding, simhash_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,11 @@ def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.round_trip(load(spark, sf_dir, "documents"))
 
 
+@_query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @_query
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(load(spark, sf_dir, "documents"))
