@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.catalog import load
-from quern.llm import bpe, embedding_dedup, flac, packing, quality_gam, sharding, simhash_dedup, warc
+from quern.llm import bpe, embedding_dedup, flac, packing, pii_feistel, quality_gam, sharding, simhash_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,11 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return fn
 
 
+@_query
+def op1_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_feistel.pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @_query
 def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
