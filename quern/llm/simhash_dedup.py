@@ -216,3 +216,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     prints = materialise(fingerprints(docs, words, id_col, text_col), "fingerprints")
     classes = materialise(linked_classes(prints, radius).select("fp", "component"), "components")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def representatives(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stand for their group of near-duplicates: those with the group's smallest id, with all columns.
+
+    Rows that repeat an id are one document, of which one row stays; rows with a null id stay, as they name no document.
+    """
+    groups = near_duplicates(docs, words, radius, id_col, text_col)
+    kept = materialise(groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct(), "kept")
+    named = docs.where(F.col(id_col).isNotNull())
+    return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
