@@ -187,7 +187,9 @@ def resolve(captures: DataFrame) -> DataFrame:
     originals = flat.where("response.type = 'response'").select(
         F.col("capture").alias("original"), F.col("page_id").alias("original_page"), F.col("response.payload_bytes").alias("original_bytes"), F.col("response.payload_digest").alias("original_digest")
     )
-    return flat.join(originals, F.col("response.refers_to") == F.col("original"), "left")
+    # Captures that refer to nothing get a key of their own: nulls would all be dealt to one task.
+    keyed = flat.withColumn("wanted", F.coalesce("response.refers_to", F.concat(F.lit("nothing:"), F.col("capture"))))
+    return keyed.join(originals, F.col("wanted") == F.col("original"), "left").drop("wanted")
 
 
 def write_and_read(pages: DataFrame, path: str | None = None) -> DataFrame:
