@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.catalog import load
-from quern.llm import bpe, embedding_dedup, flac, packing, pii_feistel, quality_gam, sharding, simhash_dedup, warc
+from quern.llm import bpe, embedding_dedup, flac, katz, packing, pii_feistel, quality_gam, sharding, simhash_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,11 @@ FROM d LEFT JOIN o USING (payload_digest)
 """
 
 
+@_query
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(load(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.round_trip(load(spark, sf_dir, "documents"))
