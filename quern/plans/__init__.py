@@ -1 +1,3 @@
+"""Queries over the test tables. Importing this package fills the registry."""
 
+from quern.plans import search_queries  # noqa: F401
