@@ -116,7 +116,7 @@ def longest_common(a: Column, b: Column) -> Column:
 
     def line(row: Column, x: Column) -> Column:
         # next[j] = max(next[j-1], row[j], row[j-1] + 1 where x = b[j])
-        best = F.zip_with(F.zip_with(b, F.concat(F.array(F.lit(0)), F.slice(row, F.lit(1), F.greatest(F.size(row) - 1, F.lit(0)))), lambda y, up: F.when(y == x, up + 1).otherwise(0)), row, F.greatest)
+        best = F.zip_with(F.zip_with(b, F.concat(F.array(F.lit(0)), F.slice(row, F.lit(1), F.greatest(F.size(row) - 1, F.lit(0)))), lambda y, up: F.when(y == x, up + 1).otherwise(0)), row, lambda x, y: F.greatest(x, y))
         start = F.struct(F.lit(0).alias("top"), F.array().cast("array<int>").alias("out"))
         return F.aggregate(best, start, lambda h, v: F.struct(F.greatest(h["top"], v).alias("top"), F.concat(h["out"], F.array(F.greatest(h["top"], v))).alias("out")), lambda h: h["out"])
 

@@ -1,3 +1,3 @@
 """Queries over the test tables. Importing this package fills the registry."""
 
-from quern.plans import search_queries, tabular_queries  # noqa: F401
+from quern.plans import search_queries, tabular_queries, text_queries  # noqa: F401
