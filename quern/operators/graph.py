@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.documents import spans
+from quern.operators.lineage import cut
 
 
 def entities(docs: DataFrame, patterns: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,8 +60,8 @@ def validity(nodes: DataFrame, edges: DataFrame, ends: list[str], amends: list[s
 def reach(edges: DataFrame, starts: list, depth: int, types: list[str] | None = None, reverse: bool = False, both: bool = False) -> DataFrame:
     """(id, depth, via, type): nodes within `depth` steps, each with the first edge it was found by (the smallest of a level).
 
-    Level by level: the frontier joins the edges, nodes seen before drop by an anti join, and each level is one plan node
-    deeper; depth is bounded by the caller, so the plan is too.
+    Level by level: the frontier joins the edges and nodes seen before drop by an anti join. Each level is checkpointed, as
+    the next one needs it twice.
     """
     spark = edges.sparkSession
     e = edges if types is None else edges.where(F.col("type").isin(*types))
@@ -73,7 +74,9 @@ def reach(edges: DataFrame, starts: list, depth: int, types: list[str] | None =
     front = seen
     for level in range(1, depth + 1):
         found = front.select(F.col("id").alias("a")).join(step, "a").groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.col("a").alias("via"), "type")).alias("e"))
-        front = found.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).cast("long").alias("depth"), "e.via", "e.type")
+        front = cut(found.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).cast("long").alias("depth"), "e.via", "e.type"))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
@@ -83,11 +86,14 @@ def shortest_path(edges: DataFrame, start, goal, most: int = 6) -> DataFrame:
 
     The way back follows each node's predecessor: at most `most` rows of the reached table.
     """
-    found = reach(edges, [start], most, both=True)
+    found = cut(reach(edges, [start], most, both=True))
     path = found.where(F.col("id") == F.lit(goal)).select(F.col("depth").alias("step"), "id", "type", "via")
     at = path
     for _ in range(most):
-        at = found.join(F.broadcast(at.select(F.col("via").alias("id")).where("id is not null")), "id").select(F.col("depth").alias("step"), "id", "type", "via")  # one row
+        before = at.first()  # one row of the path, or none
+        if before is None or before["via"] is None:
+            break
+        at = found.where(F.col("id") == F.lit(before["via"])).select(F.col("depth").alias("step"), "id", "type", "via")
         path = path.unionByName(at)
     return path.select("step", "id", "type").orderBy("step")
 
