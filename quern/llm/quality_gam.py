@@ -180,15 +180,25 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "x"])
 
 
-def _scores(model: Model, threshold: float, keep_text: bool):
+def _matrix(texts: pa.Array) -> np.ndarray:
+    return np.array([text_features(t.as_py()) for t in texts]).reshape(len(texts), len(FEATURES))
+
+
+def _scores(model: Model, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = model.score(_matrix(batch.column(2)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"]
+            )
+
+    return run
+
+
+def _accepted(model: Model, threshold: float, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            x = np.array([text_features(t.as_py()) for t in text]).reshape(len(text), len(FEATURES))
-            score = model.score(x)
-            kept = batch.columns if keep_text else batch.columns[:-1]
-            names = batch.schema.names if keep_text else batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            yield batch.filter(pa.array(model.score(_matrix(batch.column(at))) >= threshold))
 
     return run
 
@@ -211,11 +221,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
     """Per row of docs: doc_id, held_out, score (0 to 1) and predicted (1 if score >= threshold). Null texts count as empty;
     repeated rows stay; extra columns are ignored; an empty table gives an empty result."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scores(model, threshold, False), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(_scores(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the model does not reject, with all their columns."""
-    plain = docs.withColumn("_scored_text", F.col(text_col).cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return plain.mapInArrow(_scores(model, threshold, True), f"{schema}, score double, predicted int").where("predicted = 1").select(*docs.columns)
+    """The rows of docs that the model does not reject, with all their columns, whatever their names."""
+    return docs.mapInArrow(_accepted(model, threshold, docs.columns.index(text_col)), docs.schema)
