@@ -69,7 +69,7 @@ def html_text(c: Column | str) -> Column:
     out = F.regexp_replace(out, r"(?s)<[^>]*>", "\n")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 #: Letters with marks and what they are without; the language-specific d with stroke counts as d.
@@ -162,7 +162,7 @@ def dmy_date(c: Column) -> Column:
 
 def title_line(c: Column | str, fallback: Column, skip: str, least: int = 15, most: int = 500) -> Column:
     """The first line longer than `least` that doesn't match skip, else fallback, cut to `most` characters."""
-    fit = F.filter(F.transform(F.split(col(c), "\n"), F.trim), lambda s: (F.length(s) > least) & ~s.rlike(skip))
+    fit = F.filter(F.transform(F.split(col(c), "\n"), lambda s: F.trim(s)), lambda s: (F.length(s) > least) & ~s.rlike(skip))
     return F.substr(F.coalesce(F.get(fit, F.lit(0)), fallback), F.lit(1), F.lit(most))
 
 

@@ -46,7 +46,7 @@ def packed_context(ranked: DataFrame, budget: int, group: str = "query", rank: s
     first = F.row_number().over(w) == 1
     rows = ranked.withColumns({"_words": words, "_cap": cap, "_first": first})
     rows = rows.withColumn("packed", F.when(F.col("_first"), F.col(text)).otherwise(F.array_join(F.slice("_words", F.lit(1), F.col("_cap")), " ")))
-    rows = rows.withColumn("tokens", F.size(F.split("packed", r"\s+")).cast("long"))
+    rows = rows.withColumn("tokens", T.word_count("packed"))
     run = F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_over", F.when((run > budget) & ~F.col("_first"), 1).otherwise(0))
     return rows.withColumn("_stop", F.max("_over").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_stop = 0").drop("_words", "_cap", "_first", "_over", "_stop")

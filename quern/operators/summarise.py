@@ -116,7 +116,7 @@ def position_scores(n: Column) -> Column:
 
 def spread(best_first: Column, gap: int, most: int) -> Column:
     """Indices taken greedily from best to worst, each at least `gap` from those taken before, `most` at most; sorted."""
-    start = F.array().cast("array<int>")
+    start, best_first = F.array().cast("array<bigint>"), F.transform(best_first, lambda i: i.cast("long"))
     return F.array_sort(F.aggregate(best_first, start, lambda h, i: F.when((F.size(h) < most) & ~F.exists(h, lambda k: F.abs(k - i) < gap), F.concat(h, F.array(i))).otherwise(h)))
 
 

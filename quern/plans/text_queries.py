@@ -34,7 +34,7 @@ def _html_sql() -> str:
     s = _sub(s, "<[^>]*>", "\\n", "gs").replace("'\\n'", "chr(10)")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
         s = f"replace({s}, '{entity}', '{char}')"
-    return f"trim(regexp_replace({_sub(s, '[ \\t]+', ' ')}, '\\s*\\n\\s*', chr(10), 'g'))"
+    return f"regexp_replace(regexp_replace({_sub(s, '[ \\t]+', ' ')}, '\\s*\\n\\s*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
 @register("html_to_text", f"SELECT page_id, {_html_sql()} AS text FROM pages")

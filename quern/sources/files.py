@@ -77,7 +77,7 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bo
 
 def read_texts(spark: SparkSession, path: str, ids: list[str] | None = None) -> DataFrame:
     """(doc_id, text): a file each, its stem as id."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     out = rows.select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("doc_id"), F.col("value").alias("text"))
     return out if ids is None else out.where(F.col("doc_id").isin(*ids))
 
@@ -122,7 +122,7 @@ def list_cells(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     long = df.select(id_col, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("cell")) for c in columns])).alias("x")).select(id_col, "x.*")
     as_list = F.from_json(F.replace("cell", F.lit("'"), F.lit('"')), "array<string>")
     parts = F.when(F.trim("cell").startswith("["), F.coalesce(as_list, F.split("cell", r"[\n;]"))).otherwise(F.split("cell", r"[\n;]"))
-    return long.where("cell is not null").select(id_col, "column", F.explode(F.filter(F.transform(parts, F.trim), lambda v: v != "")).alias("value"))
+    return long.where("cell is not null").select(id_col, "column", F.explode(F.filter(F.transform(parts, lambda s: F.trim(s)), lambda v: v != "")).alias("value"))
 
 
 def image_folder(files: DataFrame, classes: list[str] | None = None, suffixes: tuple[str, ...] = ("jpg", "jpeg", "png", "bmp")) -> DataFrame:

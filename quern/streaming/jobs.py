@@ -34,12 +34,13 @@ def store_documents(target: str) -> Callable[[DataFrame, int], None]:
     def run(batch: DataFrame, batch_id: int) -> None:
         hashes = batch.select("path", F.sha2("content", 256).alias("version"), "modificationTime")
         parsed = parse(batch).join(hashes, "path")
-        good = parsed.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
+        said = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+        good = parsed.where(said)
         docs = good.select(F.sha2("path", 256).alias("doc_id"), "path", "format", "version", F.col("modificationTime").alias("seen_at"), T.clean_lines("text").alias("text"))
         sinks.merge_into(docs, f"{target}/documents", ["doc_id"])
         chunks = docs.select("doc_id", F.posexplode(D.sentence_window(T.sentences("text"), least=1)).alias("chunk", "text"))
         sinks.merge_into(chunks.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "text"), f"{target}/chunks", ["doc_id", "chunk"])
-        bad = parsed.where(F.length(F.trim(F.coalesce("text", F.lit("")))) == 0)
+        bad = parsed.where(~said)
         sinks.merge_into(bad.select("path", F.coalesce("error", F.lit("no text")).alias("error")), f"{target}/dead_letters", ["path"])
 
     return run
