@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
@@ -19,10 +20,12 @@ from quern.llm.storage import materialise
 CAPACITY, END = 4096, 1
 #: Rounds of multiplicative weights, and how strongly a round moves the prices.
 ROUNDS, RATE = 160, 0.25
-#: Remembered words of a worker; a memo that is full starts anew, which changes no result.
+#: Words of a generation of a worker's memo; a full generation is kept until the next is full, which changes no result.
 MEMO = 600_000
 #: White space for Python that the tokenizer does not take as such.
 UNLIKE = re.compile("[\x1c-\x1f]")
+#: Letters whose lower case may depend on what stands around them, or that this version may know otherwise than the tokenizer's.
+FAR = re.compile("[\u0130-\U0010ffff]")
 TAIL = ".,;:!?"
 
 
@@ -36,33 +39,39 @@ class WordTokens:
 
         self.tool = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """A text's words, in lower case where that is sure to be what the tokenizer makes of them."""
+        return (text.lower() if text.isascii() or not FAR.search(text) else text).split()
 
     @staticmethod
     def parts(word: str) -> tuple[str, ...]:
-        """A word of letters and the punctuation after it are encoded apart by the tokenizer; so are upper and lower case alike.
-        Letters beyond Latin stay as they are: their lower case may depend on what stands around them."""
-        if word.isascii() or max(word) < "İ":
-            word = word.lower()
-            stem = word.rstrip(TAIL)
-            if stem != word and stem.isalpha():
-                return stem, word[len(stem) :]
-        return (word,)
+        """A word of letters and the punctuation after it, which the tokenizer encodes apart."""
+        stem = word.rstrip(TAIL)
+        return (stem, word[len(stem) :]) if stem != word and stem.isalpha() and not FAR.search(stem) else (word,)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) >= MEMO:
-            self.known.clear()
-        known = self.known
-        split = [None if UNLIKE.search(t) else t.split() for t in texts]
-        missing = {w for words in split if words is not None for w in words if w not in known}
-        if missing:
-            apart = {w: self.parts(w) for w in missing}
-            need = list({p for parts in apart.values() for p in parts if p not in known})
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        split = [None if UNLIKE.search(t) else self.words(t) for t in texts]
+        missing = set().union(*(w for w in split if w is not None)).difference(known)
+        apart = []
+        for w in missing:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            else:
+                apart.append((w, self.parts(w)))
+        if apart:
+            need = [p for p in {p for _, parts in apart for p in parts} if p not in known]
             known.update(zip(need, self._ids(need)))
-            known.update((w, b"".join([known[p] for p in parts])) for w, parts in apart.items() if parts != (w,))
+            known.update((w, known[p[0]] + known[p[1]]) for w, p in apart if len(p) == 2)
         return [self._ids([t])[0] if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split)]
 
 
@@ -236,7 +245,7 @@ def _assign(places: dict[int, tuple[np.ndarray, ...]]):
     return run
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 512) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 128) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; sequences hold capacity tokens at most.
 
     A null or empty text is one piece of the end id. Repeated rows are packed each; null ids are kept; extra columns are
