@@ -101,9 +101,13 @@ def letter_runs(c: Column | str, least: int = 3) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """All n-grams of an array of words, joined by blanks."""
-    last = F.size(words) - (n - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    """All n-grams of an array of words, joined by blanks: the array zipped with itself moved on, so that words is evaluated
+    a few times and not once for each n-gram."""
+    many = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    out = F.slice(words, F.lit(1), many)
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(words, F.lit(k), many), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def ngrams_up_to(words: Column, n: int) -> Column:

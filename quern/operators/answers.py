@@ -93,8 +93,8 @@ def answer_parts(c: Column | str, markers: list[str]) -> Column:
 
 
 def answer_in(answer: Column, content: Column, n: int = 4) -> Column:
-    """Whether any n-gram of the answer stands in the content."""
-    return F.exists(T.ngrams(T.tokens(answer), n), lambda g: F.contains(F.array_join(T.tokens(content), " "), g))
+    """Whether any n-gram of the answer's words stands in the content."""
+    return F.arrays_overlap(T.ngrams(T.tokens(answer), n), T.ngrams(T.tokens(content), n))
 
 
 def unsupported(answer: Column, context: Column, cites: str, least: float = 0.15) -> Column:

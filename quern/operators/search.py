@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.functions.matching import quoted
 
 K1, B, RRF = 1.5, 0.75, 60
 
@@ -89,10 +90,9 @@ def boolean(docs: DataFrame, every: list[str] = (), some: list[str] = (), none:
 
 def phrase(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, matches): documents where the words stand in a row, and how often (positions that fit from the first word on)."""
-    wanted = [w.lower() for w in words]
-    found = docs.select(F.col(id_col).alias("doc_id"), T.tokens(text_col).alias("ts"))
-    hits = F.size(F.filter(F.transform("ts", lambda t, i: (t == wanted[0]) & (F.slice(F.col("ts"), i + 1, F.lit(len(wanted))) == F.array(*[F.lit(w) for w in wanted]))), lambda x: x))
-    return found.select("doc_id", hits.cast("long").alias("matches")).where("matches > 0")
+    joined = F.concat(F.lit("| "), F.array_join(T.tokens(text_col), " "), F.lit(" "))
+    parts = F.split(joined, "(?= " + " ".join(quoted(w.lower()) for w in words) + " )", -1)  # cuts before every match, overlapping ones too
+    return docs.select(F.col(id_col).alias("doc_id"), (F.size(parts) - 1).cast("long").alias("matches")).where("matches > 0")
 
 
 def phrase_of_postings(index: DataFrame, words: list[str]) -> DataFrame:
