@@ -158,6 +158,14 @@ def votes(words: Column, labels: dict[str, list[str]], default: str) -> Column:
     return F.struct(F.when(best["low"] < 0, best["label"]).otherwise(F.lit(default)).alias("label"), (-best["low"]).cast("long").alias("hits"))
 
 
+def phrase_votes(c: Column | str, labels: dict[str, list[str]], default: str) -> Column:
+    """(label, hits) by phrases that a lower-case text contains; the earlier label wins a tie; default without any hit."""
+    text = F.lower(F.coalesce(col(c), F.lit("")))
+    hits = lambda ws: reduce(lambda a, b: a + b, [text.contains(w).cast("int") for w in ws])
+    best = F.array_min(F.array(*[F.struct((-hits(ws)).alias("low"), F.lit(i).alias("turn"), F.lit(label).alias("label")) for i, (label, ws) in enumerate(labels.items())]))
+    return F.struct(F.when(best["low"] < 0, best["label"]).otherwise(F.lit(default)).alias("label"), (-best["low"]).cast("long").alias("hits"))
+
+
 def dmy_date(c: Column) -> Column:
     """The first d/m/y or d-m-y date of a text; null where it is none."""
     part = lambda i: F.regexp_extract(c, r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})", i)

@@ -205,7 +205,7 @@ def concepts(docs: DataFrame, rules: dict[str, list[str]], other: str, id_col: s
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     rows = []
     for name, patterns in rules.items():
-        hits = reduce(lambda a, b: a + b, [text.rlike(p).cast("int") for p in patterns])
+        hits = reduce(lambda a, b: a + b, [text.rlike(f"(?U){p}").cast("int") for p in patterns])  # letters of any script are word characters
         rows.append(F.struct(F.lit(name).alias("concept"), F.round(F.least(F.lit(1.0), hits / len(patterns) * 2), 3).alias("confidence")))
     found = F.filter(F.array(*rows), lambda r: r["confidence"] > 0)
     none = F.array(F.struct(F.lit(other).alias("concept"), F.lit(0.5).alias("confidence")))

@@ -216,6 +216,22 @@ def test_image_fingerprints(spark):
     assert len(prints["a"]) == 3 * 32 + 16 and prints["a"] != prints["b"] and prints["c"] is None
 
 
+def test_legal_vocabulary(spark):
+    from quern.functions import vocabularies as V
+
+    text = "Người lao động có quyền từ chối. Hồ sơ phải nộp cho cơ quan; trình tự, thủ tục như sau."
+    docs = spark.createDataFrame([(1, text), (2, "xin chào"), (3, None)], "doc_id long, text string")
+    found = {(r.doc_id, r.concept): r.confidence for r in D.concepts(docs, V.CONCEPTS, V.OTHER_CONCEPT).collect()}
+    assert found[2, "khac"] == found[3, "khac"] == 0.5
+    assert found[1, "thu_tuc"] == 1.0 and found[1, "quyen_loi"] == 0.5 and (1, "cam_ket") not in found
+    vote = one(spark, T.phrase_votes("t", V.DOMAINS, "khac"), t=text)
+    assert (vote.label, vote.hits) == ("lao_dong", 2)
+    law = "Chương I\nĐiều 1. Phạm vi\n1. Luật này\na) điểm a\nĐiều 2. Đối tượng\nnội dung"
+    rows = D.sections(spark.createDataFrame([(1, law)], "doc_id long, text string"), V.LAW_LEVELS).orderBy("section").collect()
+    assert [(r.level, r.parent) for r in rows] == [(2, None), (4, 1), (5, 2), (6, 3), (4, 1)] and rows[-1].content == "nội dung"
+    assert one(spark, A.variants("t", V.SYNONYMS), t="Bị sa thải")[1] == "bị chấm dứt hợp đồng lao động"
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
