@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Remembered segments and pre-tokens of a worker; a memo that is full starts anew, which changes no result.
-MEMO = 400_000
+#: Segments and pre-tokens in a generation of a worker's memo; a full one is kept until the next is full, which changes no result.
+MEMO = 300_000
 GOLDEN, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: A cut before a blank inside a longer run of white space would change its tokens.
 ODD = re.compile(r"\s \s|\s \Z")
@@ -97,7 +97,9 @@ class Encoder:
                 self.pairs[piece[0] << 8 | piece[1]] = (rank + 1) << 40
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         self.segments: dict[str, bytes] = {}
+        self.older_segments: dict[str, bytes] = {}
 
     def whole(self, piece: bytes) -> int | None:
         """First tier: the id of a pre-token that is in the vocabulary."""
@@ -144,19 +146,21 @@ class Encoder:
         """Ids of a pre-token as little-endian unsigned 32-bit integers."""
         if (known := self.words.get(token)) is not None:
             return known
-        piece = token.encode("utf-8", "surrogatepass")
-        rank = self.whole(piece)
-        ids = rank.to_bytes(4, "little") if rank is not None else self.merged(piece).tobytes()
+        if (ids := self.older_words.get(token)) is None:
+            piece = token.encode("utf-8", "surrogatepass")
+            rank = self.whole(piece)
+            ids = rank.to_bytes(4, "little") if rank is not None else self.merged(piece).tobytes()
         if len(self.words) >= MEMO:
-            self.words.clear()
+            self.words, self.older_words = {}, self.words
         if len(token) <= 64:
             self.words[token] = ids
         return ids
 
     def segment(self, text: str) -> bytes:
-        ids = b"".join(map(self.word, self.find(text)))
+        if (ids := self.older_segments.get(text)) is None:
+            ids = b"".join(map(self.word, self.find(text)))
         if len(self.segments) >= MEMO:
-            self.segments.clear()
+            self.segments, self.older_segments = {}, self.segments
         if len(text) <= 64:
             self.segments[text] = ids
         return ids
@@ -170,8 +174,9 @@ class Encoder:
         if ODD.search(text):
             return b"".join(map(self.word, self.find(text)))
         first, *rest = text.split(" ")
-        known, segment = self.segments.get, self.segment
+        segment = self.segment
         out = [segment(first)] if first else []
+        known = self.segments.get
         out += [ids if (ids := known(s)) is not None else segment(s) for s in map(" ".__add__, rest)]
         return b"".join(out)
 
