@@ -15,7 +15,7 @@ from quern.llm.storage import materialise
 
 SEED = 42
 #: Fingerprints to a tile row, and to one side of a comparing task.
-TILE, SIDE = 512, 32_768
+TILE, SIDE = 128, 32_768
 MASKS = np.array([0xFFFF << s for s in (48, 32, 16, 0)], np.uint64)
 
 
