@@ -37,7 +37,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.write_and_read(load(spark, sf_dir, "pages"))
+    return warc.write_and_read(load(spark, sf_dir, "pages"), every_row=True)
 
 
 ORACLES["op4_warc_transactions"] = """

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.storage import new_path
+from quern.llm.storage import materialise, new_path, release
 
 CRLF = "\r\n"
 #: What ends every record; the text sink puts it after each row.
@@ -23,7 +23,7 @@ RECORD_SCHEMA = (
 
 
 def _id(kind: str, key: Column) -> Column:
-    h = F.md5(F.concat(F.lit(f"{kind}:"), F.coalesce(key.cast("string"), F.lit("null"))))
+    h = F.md5(F.concat(F.lit(f"{kind}:"), key))
     dashed = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     return F.concat(F.lit("<urn:uuid:"), dashed, F.lit(">"))
 
@@ -40,26 +40,32 @@ def _clean_uri(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "[\\r\\n]", "%0A"), "\\s", "%20")
 
 
-def duplicate_payloads(pages: DataFrame, id_col: str, payload: Column, least_bytes: int) -> DataFrame:
-    """(digest, original): of the payloads of least_bytes and more that stand on several rows, the smallest id."""
-    narrow = pages.select(F.col(id_col).alias("_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= least_bytes)
-    return narrow.groupBy("digest").agg(F.min("_id").alias("original"), F.count("*").alias("copies")).where("copies > 1").select("digest", "original")
+def duplicate_payloads(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """(digest, original): of the payloads of least_bytes and more that stand on several rows, page_id and key of the row with the smallest id."""
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "key")))
+    long = rows.select("digest", "page_id", "key", "payload_bytes").where(F.col("payload_bytes") >= least_bytes)
+    return long.groupBy("digest").agg(first.alias("original"), F.count("*").alias("copies")).where("copies > 1").select("digest", "original")
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 100) -> str:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 100, every_row: bool = False) -> str:
     """Writes a request, a response or revisit, and a metadata record for every row, as gzip WARC 1.1 files under path.
 
     The request and the metadata record name the response or revisit in WARC-Concurrent-To. Of rows with equal payloads of
     least_bytes and more, the one with the smallest id is a response with the payload and the others are revisits that refer
-    to it and carry the digest alone; all other rows are responses. A null payload is empty; null ids and urls are allowed.
+    to it and carry the digest alone; all other rows are responses, also those that repeat that id or have none. A null payload
+    is empty; null ids and urls are allowed. Record ids are made of id, url, digest and the row's number, so rows that share an
+    id stay apart; without every_row, rows alike in id, url and payload share their record ids. The numbers are materialised.
     Files are written by Spark's committer, so a lost executor leaves none half done.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    originals = duplicate_payloads(base, "page_id", F.col("payload").cast("binary"), least_bytes)
-    rows = base.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).join(originals, "digest", "left")
-    revisit = F.coalesce(F.col("original") != F.col("page_id"), F.lit(False))
-    main = _id("response", F.col("page_id"))
+    base = base.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "payload_bytes": F.octet_length("payload"), "number": F.monotonically_increasing_id()})
+    numbered = F.lit(every_row) | F.col("page_id").isNull()
+    key = F.to_json(F.struct("page_id", "url", "digest", F.when(numbered, F.col("number")).alias("number")))
+    base = materialise(base.withColumn("key", F.md5(key)).drop("number"), "warc-rows")
+    rows = base.join(duplicate_payloads(base, least_bytes), "digest", "left")
+    revisit = F.coalesce(F.col("original.page_id") != F.col("page_id"), F.lit(False))
+    main = _id("response", F.col("key"))
     uri = _clean_uri(F.col("url"))
     stamp = ("WARC-Date", "2024-01-01T00:00:00Z")
     digest = F.concat(F.lit("sha256:"), F.col("digest"))
@@ -69,23 +75,24 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     again = _record(
         [
             ("WARC-Type", "revisit"), ("WARC-Record-ID", main), stamp, ("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest),
-            ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", _id("response", F.col("original"))), http,
+            ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", _id("response", F.col("original.key"))), http,
         ],
         head,
     )
     ask = F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(" HTTP/1.1" + CRLF + CRLF))
     request = _record(
-        [("WARC-Type", "request"), ("WARC-Record-ID", _id("request", F.col("page_id"))), stamp, ("WARC-Target-URI", uri), ("WARC-Concurrent-To", main), ("Content-Type", "application/http; msgtype=request")],
+        [("WARC-Type", "request"), ("WARC-Record-ID", _id("request", F.col("key"))), stamp, ("WARC-Target-URI", uri), ("WARC-Concurrent-To", main), ("Content-Type", "application/http; msgtype=request")],
         ask,
     )
     about = F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))
     metadata = _record(
-        [("WARC-Type", "metadata"), ("WARC-Record-ID", _id("metadata", F.col("page_id"))), stamp, ("WARC-Target-URI", uri), ("WARC-Concurrent-To", main), ("Content-Type", "application/warc-fields")],
+        [("WARC-Type", "metadata"), ("WARC-Record-ID", _id("metadata", F.col("key"))), stamp, ("WARC-Target-URI", uri), ("WARC-Concurrent-To", main), ("Content-Type", "application/warc-fields")],
         about,
     )
     # The three records of a row stay one string, so that no row is copied three times; each but the last gets its end here.
     whole = F.concat(request, F.lit(RECORD_END), F.when(revisit, again).otherwise(response), F.lit(RECORD_END), metadata)
     rows.select(whole.alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
+    release(base)
     return path
 
 
@@ -192,13 +199,14 @@ def resolve(captures: DataFrame) -> DataFrame:
     return keyed.join(originals, F.col("wanted") == F.col("original"), "left").drop("wanted")
 
 
-def write_and_read(pages: DataFrame, path: str | None = None) -> DataFrame:
+def write_and_read(pages: DataFrame, path: str | None = None, every_row: bool = False) -> DataFrame:
     """Archives of pages, written and read back: page_id, payload_bytes, payload_digest, record_type, refers_to, requests.
 
-    Rows that repeat a page_id are one capture. Empty tables give no row.
+    With every_row there is one row for each of pages; without it, rows alike in page_id, url and html are one capture (rows
+    without page_id are not). Empty tables give no row.
     """
     spark = pages.sparkSession
-    path = write_archives(pages, path or f"{new_path(spark, 'warc')}")
+    path = write_archives(pages, path or f"{new_path(spark, 'warc')}", every_row=every_row)
     back = resolve(assemble(read_records(spark, path, with_payload=False)))
     revisit = F.col("response.type") == "revisit"
     return back.select(

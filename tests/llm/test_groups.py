@@ -291,6 +291,18 @@ def test_warc_null_ids_and_repeated_rows(spark):
     assert got == [(0, "response", 1), (1, "response", 1)]
 
 
+def test_warc_one_row_for_each_row(spark):
+    long = "y" * 150
+    rows = [(None, "u", "a"), (None, "u", "a"), (None, None, "bb"), (None, "u", long), (1, "u", "c"), (1, "u", "dd"), (1, "u", "dd"), (2, "u", long), (2, "u", long), (2, "v", long), (2, "u", "e" * 120), (3, "u", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    digest = lambda h: hashlib.sha256(h.encode()).hexdigest()
+    want = collections.Counter((i, len(h), digest(h), "revisit" if i == 3 else "response", 2 if i == 3 else None, 1) for i, _, h in rows)
+    assert collections.Counter(tuple(r) for r in warc.write_and_read(pages, every_row=True).collect()) == want
+    # Without every_row only rows alike in all three columns are one, and never those without an id.
+    alike = collections.Counter((i, len(h), digest(h)) for i, u, h in [*[r for r in rows if r[0] is None], *{r for r in rows if r[0] is not None}])
+    assert collections.Counter(tuple(r)[:3] for r in warc.write_and_read(pages).collect()) == alike
+
+
 # --- queries and pipeline -------------------------------------------------------------------------------------------
 
 
