@@ -71,6 +71,36 @@ def test_card_email_secret_by_hand(spark):
     assert row.text == want and row.pii_found == 5 and row.pii_kinds == "card,email,secret"
 
 
+def long_stream(tag, turn, half, length):
+    """stream(), with further blocks by number from its first one."""
+    out = stream(tag, turn, half)
+    for i in range(2, -(-length // 32)):
+        out += hashlib.sha256(f"{out[:32].hex()}|{i}".encode()).digest()
+    return out
+
+
+def permuted_long(text, tag):
+    a, b = text[: len(text) // 2], text[len(text) // 2 :]
+    for turn in range(1, pii_feistel.ROUNDS + 1):
+        if turn % 2:
+            a = shifted(a, long_stream(tag, turn, b, len(a)))
+        else:
+            b = shifted(b, long_stream(tag, turn, a, len(b)))
+    return a + b
+
+
+@pytest.mark.parametrize("size", [20, 64, 65, 100, 101, 128, 129, 200, 5000])
+def test_secrets_of_any_length(spark, size):
+    rng = random.Random(size)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    key, bot, hexed = some("abcXYZ019_", size - 1) + "7", some("abcXYZ019", size), some("0123456789abcdef", size - 1) + "0"
+    jwt = ".".join(some("abcXYZ019-_", n) for n in (size // 4, size // 2, size)) + "1"
+    late = some("abcdefgh", size) + "1"
+    values = {"sk-": key, "xoxb-": bot, "token=": hexed, "secret: ": jwt, "password=": late}
+    row = pseudonym(spark, " and ".join(k + v for k, v in values.items()) + " end")
+    assert row.text == " and ".join(k + permuted_long(v, "secret") for k, v in values.items()) + " end" and row.pii_found == 5 and row.pii_kinds == "secret"
+
+
 def test_dates_stay_dates_and_are_one_to_one(spark):
     days = spark.range(0, 73051, 7).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
     out = pii_feistel.pseudonymise(days).select("text").collect()
