@@ -17,6 +17,8 @@ from quern.functions import text as T
 SCORES = "doc_id long, idx long, sentence string, tfidf double, textrank double, kmeans double, ensemble double"
 #: Sentences compared at once: a document's similarity matrix is made in stripes, never whole, beyond this.
 STRIPE = 512
+#: Edges of a document held between rounds (12 bytes each); with more, stripes are made anew in every round.
+EDGES_HELD = 8 << 20
 
 
 def _matrix(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +39,8 @@ def _matrix(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def power_rank(unit: np.ndarray, edge: float = 0.1, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-5) -> np.ndarray:
     """Centrality by power iteration over cosines of at least `edge`; the iterate before the last is returned on convergence.
 
-    Sentences without edges pass nothing on. The matrix is applied in stripes.
+    Sentences without edges pass nothing on. The matrix is applied in stripes, of which only the edges are kept; rounds and
+    tolerance are the same at every size.
     """
     n = len(unit)
     if n == 0:
@@ -50,11 +53,32 @@ def power_rank(unit: np.ndarray, edge: float = 0.1, damping: float = 0.85, round
         return w
 
     whole = weights(0) if n <= STRIPE else None
-    degree = whole.sum(axis=1) if whole is not None else np.concatenate([weights(a).sum(axis=1) for a in range(0, n, STRIPE)])
+    held: list | None = []
+    if whole is not None:
+        degree = whole.sum(axis=1)
+    else:
+        degree, edges = np.zeros(n), 0
+        for a in range(0, n, STRIPE):
+            w = weights(a)
+            degree[a : a + len(w)] = w.sum(axis=1)
+            edges += np.count_nonzero(w)
+            if held is not None and edges <= EDGES_HELD:
+                i, j = np.nonzero(w)
+                held.append((len(w), i.astype(np.int32), j.astype(np.int32), w[i, j]))
+            else:
+                held = None
+
+    def applied(out: np.ndarray) -> np.ndarray:
+        if whole is not None:
+            return whole @ out
+        if held is None:
+            return np.concatenate([weights(a) @ out for a in range(0, n, STRIPE)])
+        return np.concatenate([np.bincount(i, v * out[j], size) for size, i, j, v in held])
+
     rank = np.full(n, 1 / n)
-    for _ in range(rounds if n <= 4 * STRIPE else 20):
+    for _ in range(rounds):
         out = np.divide(rank, degree, out=np.zeros(n), where=degree > 0)
-        got = whole @ out if whole is not None else np.concatenate([weights(a) @ out for a in range(0, n, STRIPE)])
+        got = applied(out)
         new = (1 - damping) / n + damping * got
         if np.abs(new - rank).sum() < tolerance:
             break

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -178,6 +179,29 @@ def test_summaries(spark):
     assert one(spark, U.position_scores(F.lit(2))) == pytest.approx([1.0, (1 / 1.1 + 0.15) / 1.3])
 
 
+@pytest.mark.parametrize("held", [0, 8 << 20])
+def test_centrality_of_long_texts_converges(monkeypatch, held):
+    """2,400 sentences in a chain: convergence takes more than twenty rounds."""
+    monkeypatch.setattr(U, "EDGES_HELD", held, raising=False)
+    n = 2400
+    unit = np.zeros((n, 40), np.float32)
+    rng = np.random.default_rng(3)
+    for i in range(n):
+        unit[i, [i * 37 // n, i * 37 // n + 1 + rng.integers(2)]] = rng.random(2) + 0.1
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    w = unit @ unit.T
+    np.fill_diagonal(w, 0)
+    w[w < 0.1] = 0
+    step, rank, taken = w.astype(float) / w.sum(axis=0), np.full(n, 1 / n), 0
+    for taken in range(100):
+        new = 0.15 / n + 0.85 * step @ rank
+        if np.abs(new - rank).sum() < 1e-5:
+            break
+        rank = new
+    assert taken > 20
+    assert np.abs(U.power_rank(unit) - rank).max() < 1e-9
+
+
 def test_graph(spark):
     e = spark.createDataFrame([(1, 2, "a"), (2, 3, "a"), (3, 1, "b"), (3, 4, "a"), (9, 8, "a")], "src long, dst long, type string")
     assert {(r.id, r.depth) for r in G.reach(e, [1], 5).collect()} == {(1, 0), (2, 1), (3, 2), (4, 3)}
