@@ -289,9 +289,9 @@ def label_guided(spark, d):
 
 @register("rouge_scores")
 def rouge_scores(spark, d):
-    """The summary of a text against its first sentences, by words, word pairs and longest common subsequence."""
-    docs = load(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.slice(T.tokens("text"), 1, 60).alias("ref"))
-    pairs = M.select(M.sentence_scores(load(spark, d, "benchmark"), id_col="item_id")).select("doc_id", F.slice(T.tokens("summary"), 1, 60).alias("cand")).join(docs, "doc_id")
+    """The summary of a text against the whole text, by words, word pairs and longest common subsequence."""
+    docs = load(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), T.tokens("text").alias("ref"))
+    pairs = M.select(M.sentence_scores(load(spark, d, "benchmark"), id_col="item_id")).select("doc_id", T.tokens("summary").alias("cand")).join(docs, "doc_id")
     lcs = X.longest_common(F.col("cand"), F.col("ref"))
     return pairs.select(
         "doc_id", F.round(X.rouge_n(F.col("cand"), F.col("ref"))["f"], 6).alias("rouge1"), F.round(X.rouge_n(T.ngrams(F.col("cand"), 2), T.ngrams(F.col("ref"), 2))["f"], 6).alias("rouge2"),

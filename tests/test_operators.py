@@ -179,6 +179,46 @@ def test_summaries(spark):
     assert one(spark, U.position_scores(F.lit(2))) == pytest.approx([1.0, (1 / 1.1 + 0.15) / 1.3])
 
 
+def test_overlap_and_longest_common_of_long_texts(spark):
+    rng = random.Random(4)
+    a, b = ([f"w{rng.randrange(80)}" for _ in range(n)] for n in (700, 900))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    assert one(spark, X.longest_common(F.col("a"), F.col("b")), a=a, b=b) == row[-1]
+    assert one(spark, X.overlap(F.col("a"), F.col("b")), a=a, b=b) == sum(min(a.count(w), b.count(w)) for w in set(a))
+    words = F.array().cast("array<string>")
+    assert one(spark, X.longest_common(words, words)) == 0 and one(spark, X.rouge_n(words, words)["f"]) == 0.0
+
+
+def _rouge(cand, ref):
+    both = sum(min(cand.count(g), ref.count(g)) for g in set(cand))
+    return round(2 * both / (len(cand) + len(ref)), 6) if both else 0.0
+
+
+def test_rouge_of_whole_texts(spark, tmp_path):
+    """Texts of 400 words and more, all distinct but few: what stands after the first sixty counts."""
+    from quern.plans.text_queries import rouge_scores
+
+    rng = random.Random(6)
+    text = lambda n: " ".join(" ".join(f"v{rng.randrange(300)}" for _ in range(9)) + "." for _ in range(n))
+    rows = [(i, text(n)) for i, n in enumerate((50, 80, 3))]
+    for table, key in (("benchmark", "item_id"), ("documents", "doc_id")):
+        spark.createDataFrame(rows, f"{key} long, text string").write.parquet(f"{tmp_path}/{table}.parquet")
+    got = {r.doc_id: r for r in rouge_scores(spark, str(tmp_path)).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    summaries = {r.doc_id: r.summary.lower().replace(".", " ").split() for r in U.select(U.sentence_scores(docs)).collect()}
+    for i, t in rows:
+        ref, cand = t.replace(".", " ").split(), summaries[i]
+        assert len(cand) > 60 or i == 2
+        assert got[i].rouge1 == _rouge(cand, ref) and got[i].rouge2 == _rouge(list(zip(cand, cand[1:])), list(zip(ref, ref[1:])))
+        # A summary keeps the order of its text, so all of it is a common subsequence.
+        assert got[i].rouge_l == round(2 * len(cand) / (len(cand) + len(ref)), 6)
+
+
 @pytest.mark.parametrize("held", [0, 8 << 20])
 def test_centrality_of_long_texts_converges(monkeypatch, held):
     """2,400 sentences in a chain: convergence takes more than twenty rounds."""
