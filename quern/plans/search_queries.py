@@ -236,4 +236,4 @@ def match_highlight(spark, d):
 
 @register("match_comparisons")
 def match_comparisons(spark, d):
-    return M.compare_matchers(load(spark, d, "benchmark"), "item_id", "text", "ther", True)
+    return M.compare_matchers(load(spark, d, "documents"), "doc_id", "text", "ther", True)

@@ -135,22 +135,28 @@ def keyphrases_tfidf(spark, d):
     return D.keyphrase_scores(load(spark, d, "benchmark"), STOP, id_col="item_id")
 
 
+@register("keyphrases_tfidf_documents")
+def keyphrases_tfidf_documents(spark, d):
+    """As keyphrases_tfidf, whose SQL twin reads the benchmark table, over the corpus."""
+    return D.keyphrase_scores(load(spark, d, "documents"), STOP)
+
+
 @register("keyphrases")
 def keyphrases(spark, d):
-    return D.keyphrases(load(spark, d, "benchmark"), STOP, id_col="item_id")
+    return D.keyphrases(load(spark, d, "documents"), STOP)
 
 
 @register("keyphrase_search")
 def keyphrase_search(spark, d):
     """Documents by their best phrase's trigram similarity to a probe, with all their phrases."""
-    found = D.keyphrases(load(spark, d, "benchmark"), STOP, id_col="item_id").withColumn("s", F.round(T.trigram_similarity("phrase", F.lit("thation")), 6))
+    found = D.keyphrases(load(spark, d, "documents"), STOP).withColumn("s", F.round(T.trigram_similarity("phrase", F.lit("thation")), 6))
     one = found.groupBy("doc_id").agg(F.max("s").alias("score"), F.array_sort(F.collect_set("phrase")).alias("phrases"))
     return one.where("score >= 0.1").orderBy(F.desc("score"), "doc_id").limit(10)
 
 
 @register("top_phrases")
 def top_phrases(spark, d):
-    return D.keyphrases(load(spark, d, "benchmark"), STOP, id_col="item_id").groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(20)
+    return D.keyphrases(load(spark, d, "documents"), STOP).groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(20)
 
 
 @register("exact_duplicates", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
@@ -182,7 +188,7 @@ def reference_offsets(spark, d):
 
 @register("bio_labels")
 def bio_labels(spark, d):
-    docs = load(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    docs = load(spark, d, "documents").select("doc_id", "text")
     return D.bio_labels(docs, D.references(docs, {"the": r"\bthe\b", "and": r"\band\b"}))
 
 
@@ -272,26 +278,26 @@ def question_templates(spark, d):
 
 @register("summary_scores")
 def summary_scores(spark, d):
-    return M.sentence_scores(load(spark, d, "benchmark"), id_col="item_id").select("doc_id", "idx", F.round("tfidf", 5).alias("tfidf"), F.round("textrank", 5).alias("textrank"), F.round("kmeans", 5).alias("kmeans"), F.round("ensemble", 5).alias("ensemble"))
+    return M.sentence_scores(load(spark, d, "documents")).select("doc_id", "idx", F.round("tfidf", 5).alias("tfidf"), F.round("textrank", 5).alias("textrank"), F.round("kmeans", 5).alias("kmeans"), F.round("ensemble", 5).alias("ensemble"))
 
 
 @register("summaries")
 def summaries(spark, d):
-    return M.select(M.sentence_scores(load(spark, d, "benchmark"), id_col="item_id"))
+    return M.select(M.sentence_scores(load(spark, d, "documents")))
 
 
 @register("label_guided")
 def label_guided(spark, d):
-    docs = load(spark, d, "benchmark")
-    clauses = docs.select(F.col("item_id").alias("doc_id"), F.explode(F.slice(T.sentences_by_words("text"), 1, 2)).alias("clause"))
-    return M.guided(M.sentence_scores(docs, id_col="item_id"), clauses)
+    docs = load(spark, d, "documents")
+    clauses = docs.select("doc_id", F.explode(F.slice(T.sentences_by_words("text"), 1, 2)).alias("clause"))
+    return M.guided(M.sentence_scores(docs), clauses)
 
 
 @register("rouge_scores")
 def rouge_scores(spark, d):
     """The summary of a text against the whole text, by words, word pairs and longest common subsequence."""
-    docs = load(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), T.tokens("text").alias("ref"))
-    pairs = M.select(M.sentence_scores(load(spark, d, "benchmark"), id_col="item_id")).select("doc_id", T.tokens("summary").alias("cand")).join(docs, "doc_id")
+    docs = load(spark, d, "documents").select("doc_id", T.tokens("text").alias("ref"))
+    pairs = M.select(M.sentence_scores(load(spark, d, "documents"))).select("doc_id", T.tokens("summary").alias("cand")).join(docs, "doc_id")
     lcs = X.longest_common(F.col("cand"), F.col("ref"))
     return pairs.select(
         "doc_id", F.round(X.rouge_n(F.col("cand"), F.col("ref"))["f"], 6).alias("rouge1"), F.round(X.rouge_n(T.ngrams(F.col("cand"), 2), T.ngrams(F.col("ref"), 2))["f"], 6).alias("rouge2"),

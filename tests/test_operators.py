@@ -219,6 +219,34 @@ def test_rouge_of_whole_texts(spark, tmp_path):
         assert got[i].rouge_l == round(2 * len(cand) / (len(cand) + len(ref)), 6)
 
 
+def test_text_queries_read_the_corpus(spark, tmp_path):
+    """Benchmark has one row of other words; all results must come from documents."""
+    from quern.plans.registry import QUERIES
+    from quern.plans.text_queries import STOP
+
+    rng = random.Random(8)
+    text = lambda n: " ".join(" ".join(rng.choice(["ab", "cd", "ef", "gh", "other", "the", "and", "7"]) for _ in range(8)) + "." for _ in range(n))
+    rows = [(100 + i, text(n)) for i, n in enumerate((1, 3, 30, 8, 8))]
+    rows.append((200, rows[2][1]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Zz yy xx ww vv uu tt. " * 3)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {q: QUERIES[q](spark, str(tmp_path)).collect() for q in ("keyphrases_tfidf_documents", "keyphrases", "keyphrase_search", "top_phrases", "bio_labels", "summary_scores", "summaries", "label_guided", "rouge_scores", "match_comparisons")}
+    ids = {i for i, _ in rows}
+    for q in ("keyphrases", "bio_labels", "summary_scores", "summaries", "rouge_scores"):
+        assert {r.doc_id for r in found[q]} == ids, q
+    for q in ("keyphrase_search", "label_guided"):
+        assert {r.doc_id for r in found[q]} <= ids, q
+    assert found["label_guided"] and sum(r.n for r in found["top_phrases"]) > 0
+    assert {(r.id, r.matches) for r in found["match_comparisons"]} == {(i, t.count("ther")) for i, t in rows}
+    grams = {}
+    for i, t in rows:
+        w = [x for x in t.replace(".", " ").split() if len(x) > 1 and x not in STOP]
+        grams[i] = [" ".join(w[a : a + n]) for n in (1, 2, 3) for a in range(len(w) - n + 1)]
+    df = {g: sum(g in set(gs) for gs in grams.values()) for gs in grams.values() for g in gs}
+    want = {(i, g): gs.count(g) / len(gs) * (math.log((len(rows) + 1) / (df[g] + 1)) + 1) for i, gs in grams.items() for g in set(gs) if df[g] > 1}
+    assert {(r.doc_id, r.phrase): r.score for r in found["keyphrases_tfidf_documents"]} == pytest.approx(want, abs=1e-7)
+
+
 @pytest.mark.parametrize("held", [0, 8 << 20])
 def test_centrality_of_long_texts_converges(monkeypatch, held):
     """2,400 sentences in a chain: convergence takes more than twenty rounds."""
