@@ -75,6 +75,12 @@ def placeholder_nodes(spark, d):
     return G.with_placeholders(nodes(spark, d).where("id % 2 = 0"), edges(spark, d))
 
 
+@register("placeholder_nodes_whole", f"WITH {NODES}, e AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem) SELECT id, type FROM nodes UNION ALL SELECT DISTINCT x, 'unknown' FROM (SELECT src AS x FROM e UNION SELECT dst FROM e) WHERE x NOT IN (SELECT id FROM nodes)")
+def placeholder_nodes_whole(spark, d):
+    """All parts, and edges from orders to parts: orders whose number is no part's are the bare ends."""
+    return G.with_placeholders(nodes(spark, d), load(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")))
+
+
 @register("graph_entities", r"WITH m AS (SELECT unnest(list_transform(regexp_extract_all(text, '[a-z.0-9]+@[a-z0-9.]+'), lambda x: {'t': 'email', 'n': trim(x)}) || list_transform(regexp_extract_all(text, 'mail[0-9]'), lambda x: {'t': 'host', 'n': trim(x)})) AS x FROM documents) SELECT x.t || ':' || lower(x.n) AS id, x.t AS type, min(x.n) AS name, count(*) AS mentions FROM m GROUP BY 1, 2")
 def graph_entities(spark, d):
     return G.entities(load(spark, d, "documents"), {"email": r"[a-z.0-9]+@[a-z0-9.]+", "host": "mail[0-9]"})

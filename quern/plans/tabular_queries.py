@@ -133,6 +133,13 @@ def full_outer_join(spark, d):
     return a.join(load(spark, d, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), "label"), "id", "full")
 
 
+@register("full_outer_join_whole", "SELECT coalesce(doc_id, vec_id) AS id, n_chars, label FROM documents FULL JOIN embeddings ON doc_id = vec_id")
+def full_outer_join_whole(spark, d):
+    """All documents and all vectors; the tables differ in size, so unmatched ends are real."""
+    a = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    return a.join(load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id", "full")
+
+
 @register("semi_join", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 9000)")
 def semi_join(spark, d):
     c = load(spark, d, "customer").where("c_mktsegment = 'MACHINERY' AND c_acctbal > 9000").select(F.col("c_custkey").alias("o_custkey"))
@@ -430,6 +437,12 @@ def nulls_last_sort(spark, d):
     return t.orderBy(F.desc_nulls_last("label"), "doc_id").limit(30)
 
 
+@register("nulls_last_sort_whole", "SELECT doc_id, label, n_chars FROM documents LEFT JOIN embeddings ON doc_id = vec_id ORDER BY label DESC NULLS LAST, doc_id")
+def nulls_last_sort_whole(spark, d):
+    t = load(spark, d, "documents").join(load(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left").select("doc_id", "label", "n_chars")
+    return t.orderBy(F.desc_nulls_last("label"), "doc_id")
+
+
 @register("paged_listing", "WITH f AS (SELECT doc_id, source FROM documents WHERE contains(lower(source), 'rc1')) SELECT doc_id, source, (SELECT count(*) FROM f) AS total FROM f ORDER BY doc_id LIMIT 10 OFFSET 20")
 def paged_listing(spark, d):
     f = load(spark, d, "documents").where(F.contains(F.lower("source"), F.lit("rc1"))).select("doc_id", "source")
