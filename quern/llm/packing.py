@@ -8,6 +8,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from quern.llm.storage import materialise
 
 CAPACITY, END = 4096, 1
-#: Rounds of multiplicative weights, and how strongly a round moves the prices.
-ROUNDS, RATE = 160, 0.25
+#: Rounds of multiplicative weights, the share of tokens that may be covered amiss, and the weights of an empty token in turn.
+ROUNDS, TOLERANCE, EMPTY = 40, 0.02, (0.999, 0.995, 0.99, 0.98, 0.95, 0.9, 0.8, 0.5, 0.1)
+#: Patterns drawn from a solution at most, the share of pieces that is left to best-fit, and the seed of the draws.
+DRAWS, REMAINDER, SEED = 8000, 0.03, 7
 #: Words of a generation of a worker's memo; a full generation is kept until the next is full, which changes no result.
 MEMO = 600_000
 #: White space for Python that the tokenizer does not take as such.
@@ -109,71 +112,170 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
     return rows.mapInArrow(_pieces(path, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_pattern(prices: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length stands in the sequence of highest price: the knapsack by dynamic programming over capacity."""
-    best = np.zeros(capacity + 1)
-    took = np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        value = prices[1 : c + 1] + best[c - 1 :: -1]
-        l = int(value.argmax()) + 1  # noqa: E741
-        best[c], took[c] = value[l - 1], l
-        if best[c - 1] >= best[c]:
-            best[c], took[c] = best[c - 1], 0
-    counts, c = np.zeros(capacity + 1, np.int64), capacity
-    while c > 0:
-        if took[c]:
-            counts[took[c]] += 1
-            c -= took[c]
+@dataclass
+class Mixture:
+    """A fractional solution of the configuration program: patterns drawn from it cover every length in proportion to its need."""
+
+    lengths: np.ndarray
+    weights: np.ndarray  # of each length; a pattern's weight is the product over its pieces and its empty tokens
+    sums: np.ndarray  # [c]: the weight of all ways to fill exactly c tokens
+    ends: np.ndarray  # [c]: the weight of leaving c tokens empty
+    copies: float  # sequences in all
+    gap: float  # tokens covered too often or too seldom, as a share of all
+
+    def draw(self, size: int, rng: np.random.Generator) -> list[np.ndarray]:
+        """Patterns, each as the places in lengths of its pieces."""
+        room, sums, out = len(self.sums) - 1, np.append(self.sums, 0.0), []
+        empty = np.cumsum(self.ends * self.sums[::-1])
+        for low in range(0, size, 256):
+            n = min(256, size - low)
+            left = room - np.minimum(np.searchsorted(empty, rng.random(n) * empty[-1], side="right"), room)
+            rows: list[list[int]] = [[] for _ in range(n)]
+            live = np.flatnonzero(left > 0)
+            left = left[live]
+            while len(live):
+                known = np.searchsorted(self.lengths, left.max(), side="right")
+                after = left[:, None] - self.lengths[None, :known]
+                total = (sums[np.maximum(after, -1)] * self.weights[:known]).cumsum(1)
+                pick = np.minimum((total <= (rng.random(len(left)) * total[:, -1])[:, None]).sum(1), known - 1)
+                for row, p in zip(live.tolist(), pick.tolist()):
+                    rows[row].append(p)
+                left = left - self.lengths[pick]
+                live, left = live[left > 0], left[left > 0]
+            out += [np.array(r, np.int64) for r in rows]
+        return out
+
+
+def _levelled(lengths: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights times rate ** length, with the rate that makes them sum up to one, so that sums over patterns stay in range."""
+    low, high = -2.0, 2.0
+    for _ in range(50):
+        rate = (low + high) / 2
+        if np.exp(np.minimum(logs - rate * lengths, 50.0)).sum() > 1:
+            low = rate
         else:
-            c -= 1
-    return counts
+            high = rate
+    return np.exp(logs - high * lengths), high
+
 
+def _fillings(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> np.ndarray:
+    """[c]: the weight of all ways to fill c tokens: the knapsack by dynamic programming, summing where the plain one takes the best."""
+    sums, fit = np.zeros(capacity + 1), np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    sums[0] = 1.0
+    for c in range(1, capacity + 1):
+        k = fit[c]
+        if k:
+            sums[c] = weights[:k] @ sums[c - lengths[:k]]
+    return sums
 
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATE) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """Patterns with fractional numbers of copies that nearly solve the linear program, and a lower bound on the sequences.
 
-    Prices start in proportion to length. A round takes the pattern of highest price (priced by the knapsack) and lowers the
-    prices of what it covers; prices divided by that highest price are dual feasible, so each round gives a lower bound.
+def _settled(lengths: np.ndarray, need: np.ndarray, logs: np.ndarray, empty: float, capacity: int, rounds: int, tolerance: float) -> tuple[Mixture | None, np.ndarray]:
+    """The weights after rounds of multiplicative updates, and the mixture they make (None where no pattern has a weight)."""
+    mix, tokens = None, need * lengths
+    for _ in range(rounds):
+        weights, rate = _levelled(lengths, logs)
+        sums = _fillings(lengths, weights, capacity)
+        ends = (empty * np.exp(-rate)) ** np.arange(capacity + 1) if empty else np.eye(1, capacity + 1)[0]
+        whole = float((ends * sums[::-1]).sum())
+        if not whole > 0 or not np.isfinite(whole):
+            return None, logs
+        around = np.convolve(sums, sums)[: capacity + 1]
+        if empty:
+            around = np.convolve(around, ends)[: capacity + 1]
+        share = weights * np.maximum(around[capacity - lengths], 0.0) / whole  # pieces of each length to a sequence
+        copies = tokens.sum() / max((share * lengths).sum(), 1e-300)
+        cover = copies * share / need
+        mix = Mixture(lengths, weights, sums, ends, copies, float((np.abs(cover - 1) * tokens).sum() / tokens.sum()))
+        if mix.gap < tolerance:
+            break
+        logs = logs - 0.5 * np.log(np.clip(cover, 0.05, 20.0))
+    return mix, logs
+
+
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, tolerance: float = TOLERANCE, full: bool = True) -> Mixture | None:
+    """The configuration linear program, solved by multiplicative weights; None where nothing is to be packed.
+
+    A length's weight is the exponential of its dual price. A round prices all patterns at once by the knapsack's dynamic
+    program, in which a pattern counts by the exponential of its price, and divides each weight by a power of how far the
+    patterns so weighted cover the length beyond its need; it ends when the tokens covered amiss are under the tolerance.
+    First only full patterns count. Where these can't cover the lengths, empty tokens get a weight, which falls step by step,
+    each from the weights before, as long as the tolerance is reached.
     """
+    lengths = np.array(sorted(n for n, k in histogram.items() if k), np.int64)
+    if not len(lengths):
+        return None
+    need = np.array([histogram[n] for n in lengths.tolist()], float)
+    start = np.log(need / need.sum())
+    best = _settled(lengths, need, start, 0.0, capacity, rounds, tolerance)[0] if full else None
+    if best is not None and best.gap < tolerance:
+        return best
+    logs = start
+    for empty in EMPTY:
+        mix, logs = _settled(lengths, need, logs, empty, capacity, 3 * rounds, tolerance)
+        if mix is None or (best is not None and mix.gap >= 4 * tolerance and best.gap < mix.gap):
+            break
+        best = mix
+    return best
+
+
+def lower_bound(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
+    """Sequences that any packing needs: the best of dual solutions that count pieces over a half, and those small beside them."""
     need = np.zeros(capacity + 1)
     for length, n in histogram.items():
         need[length] = n
-    have = need > 0
-    prices = np.where(have, np.arange(capacity + 1) / capacity, -1.0)
-    bound, found = float(np.ceil((need * np.arange(capacity + 1)).sum() / capacity)), []
-    if not have.any():
-        return [], 0.0
-    for _ in range(rounds):
-        pattern = best_pattern(prices, capacity)
-        value = float((pattern * prices).sum())
-        if value > 0:
-            bound = max(bound, float((need * np.maximum(prices, 0)).sum() / value))
-        found.append(pattern)
-        share = np.zeros(capacity + 1)
-        share[have] = pattern[have] / need[have] * bound / rounds  # the part of the need that a round's copies cover
-        prices[have] *= np.exp(-rate * np.minimum(share[have], 1.0))
-    return [(p, bound / rounds) for p in found], bound
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[list[tuple[int, int]], int]], float]:
-    """Groups of like sequences ([(length, times)], how many), covering the histogram exactly, and the lower bound.
-
-    Copies of the linear program's patterns are rounded down to what is left to cover; the rest goes best-fit, longest
-    first, into the fullest sequence that has room, whole groups of like sequences at a time.
+    tokens, half = need * np.arange(capacity + 1), capacity // 2
+    best = tokens.sum() / capacity
+    over, sizes = np.cumsum(need[::-1])[::-1], np.cumsum(tokens[::-1])[::-1]  # of pieces of that length or more
+    for k in range(1, half + 1):
+        alone, large = over[capacity - k + 1], over[half + 1] - over[capacity - k + 1]
+        rest = sizes[k] - sizes[half + 1] - (capacity * large - (sizes[half + 1] - sizes[capacity - k + 1]))
+        best = max(best, alone + large + max(0.0, rest) / capacity)
+    return int(np.ceil(best - 1e-9))
+
+
+Group = tuple[list[tuple[int, int]], int]
+
+
+def program(histogram: dict[int, int], capacity: int = CAPACITY, draws: int = DRAWS, remainder: float = REMAINDER) -> tuple[list[Group], dict[int, int]]:
+    """Groups of like sequences by the rounded linear program, and the histogram of what it leaves.
+
+    Patterns drawn from the fractional solution are taken as whole copies (the number of sequences shared out among the draws)
+    as far as the pieces of every length go, until half of the sequences are made; then the program is solved anew for the
+    rest, until the remainder or a round that makes next to nothing is left.
     """
-    left = {length: n for length, n in histogram.items() if n}
-    patterns, bound = configurations(left, capacity, rounds)
-    groups: list[tuple[list[tuple[int, int]], int]] = []
-    for counts, copies in patterns:
-        items = [(int(length), int(counts[length])) for length in np.flatnonzero(counts)]
-        if not items:
-            continue
-        times = min(int(copies), *(left.get(length, 0) // k for length, k in items))
-        if times > 0:
-            groups.append((items, times))
-            for length, k in items:
-                left[length] -= times * k
-    room: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}
+    left, groups, full = dict(histogram), [], True
+    rng, pieces = np.random.default_rng(SEED), sum(histogram.values())
+    while sum(left.values()) > remainder * pieces:
+        mix = configurations(left, capacity, full=full)
+        if mix is None:
+            break
+        full = full and mix.ends[1:].max(initial=0.0) == 0
+        sequences = max(1, round(mix.copies))
+        size = min(4 * sequences, draws)
+        each, target, made = max(1, -(-sequences // size)), -(-sequences // 2), 0
+        for pattern in mix.draw(size, rng):
+            places, times = np.unique(pattern, return_counts=True)
+            items = list(zip(mix.lengths[places].tolist(), times.tolist()))
+            copies = min(each, target - made, *(left.get(length, 0) // k for length, k in items)) if items else 0
+            if copies > 0:
+                groups.append((items, copies))
+                made += copies
+                for length, k in items:
+                    left[length] -= k * copies
+        left = {length: n for length, n in left.items() if n}
+        if made < 0.05 * sequences:
+            break
+    return groups, left
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Group], float]:
+    """Groups of like sequences ([(length, times)], how many), covering the histogram exactly, and the share of pieces that the
+    rounded linear program places; the rest goes best-fit, longest first, into the fullest sequence that has room, whole
+    groups of like sequences at a time."""
+    whole = {length: n for length, n in histogram.items() if n}
+    groups, left = program(whole, capacity)
+    share = 1 - sum(left.values()) / sum(whole.values()) if whole else 0.0
+    room: dict[int, list[Group]] = {}
     levels: list[int] = []
 
     def put(items: list[tuple[int, int]], count: int) -> None:
@@ -206,10 +308,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
                 n, count = 0, count - 1
             if items and count:
                 put(items, count)
-    return [g for free in levels for g in room[free]], bound
+    return [g for free in levels for g in room[free]], share
 
 
-def placement(groups: list[tuple[list[tuple[int, int]], int]]) -> dict[int, tuple[np.ndarray, ...]]:
+def placement(groups: list[Group]) -> dict[int, tuple[np.ndarray, ...]]:
     """For each length, over its places in order: (places before, times in a sequence, first sequence, offset)."""
     entries: dict[int, list[tuple[int, int, int, int]]] = {}
     filled: dict[int, int] = {}
@@ -250,24 +352,25 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, i
 
     A null or empty text is one piece of the end id. Repeated rows are packed each; null ids are kept; extra columns are
     ignored; an empty table gives an empty result. The driver sees the histogram (capacity rows) and the sizes of ranking
-    groups (about 20,000 at most): pieces of a length are ranked in salted groups, so that no length is one task's work.
+    groups (about 20,000 at most): pieces of a length are ranked in salted groups by the row's number in the written table of
+    pieces, so that no length and no row that repeats thousands of times is one task's work.
     """
     spark = docs.sparkSession
-    pieces = materialise(tokenise(docs, path, capacity, end, id_col, text_col), "pieces")
+    pieces = materialise(tokenise(docs, path, capacity, end, id_col, text_col).withColumn("mark", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     if not histogram:
-        return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+        return pieces.drop("mark").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     groups, _ = plan(histogram, capacity)
     per = max(group_rows, sum(histogram.values()) // 20_000)
     salts = spark.createDataFrame([(length, -(-n // per)) for length, n in histogram.items()], "length long, salts long")  # capacity rows at most
-    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts")).drop("salts")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("mark"), "salts")).drop("salts")
     before: list[tuple[int, int, int]] = []
     seen: dict[int, int] = {}
     for r in salted.groupBy("length", "salt").count().orderBy("length", "salt").collect():
         before.append((r["length"], r["salt"], seen.get(r["length"], 0)))
         seen[r["length"]] = seen.get(r["length"], 0) + r["count"]
     offsets = spark.createDataFrame(before, "length long, salt long, before long")
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "salt").orderBy("mark")
     ranked = salted.withColumn("n", F.row_number().over(order)).join(F.broadcast(offsets), ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("n") - 1).alias("rank"))
     return ranked.mapInArrow(_assign(placement(groups)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -231,17 +231,47 @@ def test_plans_cover_every_histogram():
     for capacity in (1, 2, 7, 50):
         for _ in range(15):
             histogram = {n: rng.randrange(12) for n in range(1, capacity + 1)}
-            groups, bound = packing.plan(histogram, capacity, 10)
+            groups, share = packing.plan(histogram, capacity)
             found = collections.Counter()
             for items, count in groups:
                 assert count > 0 and sum(n * k for n, k in items) <= capacity
                 for n, k in items:
                     found[n] += k * count
             assert found == collections.Counter({n: c for n, c in histogram.items() if c})
-            assert sum(c for _, c in groups) >= bound - 1e-6
+            assert packing.lower_bound(histogram, capacity) <= sum(c for _, c in groups) <= 1.05 * packing.lower_bound(histogram, capacity) + 2
+            assert 0 <= share <= 1
     assert packing.plan({}, 8) == ([], 0.0)
 
 
+def test_most_pieces_are_placed_by_the_linear_program():
+    rng = np.random.default_rng(3)
+    lengths = np.minimum(rng.lognormal(6.4, 1.0, 6000).astype(int) + 1, 4096).tolist()
+    histogram = collections.Counter(lengths)
+    for times in (1, 1000):
+        table = {n: k * times for n, k in histogram.items()}
+        groups, share = packing.plan(table)
+        assert share > 0.95 and sum(c for _, c in groups) <= 1.00005 * packing.lower_bound(table) + 1
+    mix = packing.configurations(histogram)
+    drawn = [mix.lengths[p] for p in mix.draw(4000, np.random.default_rng(5))]
+    assert mix.gap < packing.TOLERANCE and all(d.sum() == 4096 for d in drawn)
+    per = np.bincount(np.concatenate(drawn), minlength=4097) * mix.copies / len(drawn)
+    need = np.array([histogram.get(n, 0) for n in range(4097)])
+    groups_of = np.arange(4097) // 256
+    assert np.abs(np.bincount(groups_of, per * np.arange(4097)) / np.bincount(groups_of, need * np.arange(4097)).clip(1) - 1)[:16].max() < 0.15
+
+
+def test_lower_bound_counts_pieces_over_a_half():
+    assert packing.lower_bound({3000: 5, 1000: 4}) == 5 and packing.lower_bound({4096: 2, 1: 1}) == 3 and packing.lower_bound({}) == 0
+    histogram = {k: 2 for k in range(1000, 4000, 50)}
+    assert sum(c for _, c in packing.plan(histogram)[0]) <= packing.lower_bound(histogram) + 2
+
+
+def test_one_row_repeated_thousands_of_times_is_packed_whole(spark):
+    df = spark.range(3000).selectExpr("cast(5 as long) doc_id", "'a b c' text").repartition(3)
+    got = packing.pack(df, WORDS).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got) == 3000 and len({r.sequence_id for r in got}) == -(-sum(r.length for r in got) // 4096)
+
+
 def test_shards(docs):
     rows = docs.collect()
     got = sharding.shard_by_bytes(docs).collect()
