@@ -12,10 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.storage import materialise
+
 #: Samples to a frame, and to the frames that are encoded (they stay in cache) or decoded (in step) together.
 BLOCK, ENCODE_SAMPLES, DECODE_SAMPLES = 4096, 1 << 16, 1 << 22
 RATE, PAD = 16_000, 64
 VERBATIM, CONSTANT = 1, 0
+#: The APPLICATION block that lists a stream's byte values in the order of their ranks.
+RANKS = b"rank"
 
 
 @cache
@@ -177,8 +181,36 @@ def encode_frames(samples: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -
     return [whole[a:b] for a, b in zip(first.tolist(), stop.tolist())]
 
 
-def encode_streams(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream for each payload: STREAMINFO with the MD5 of the samples, a seek point for every frame, frames."""
+def ranked(payload: bytes) -> tuple[bytes, bytes]:
+    """A payload's byte values, the most frequent first, and the payload with each value replaced by the sample of its rank.
+
+    Samples 0, -1, 1, -2, 2 and so on are those that residuals of order 0 code shortest. Bytes of texts are symbols and no
+    waves: no predictor comes near what the order of their frequencies saves.
+    """
+    raw = np.frombuffer(payload, np.uint8)
+    counts = np.bincount(raw, minlength=256)
+    order = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)].astype(np.uint8)
+    sample = np.zeros(256, np.uint8)
+    rank = np.arange(len(order))
+    sample[order] = ((rank >> 1) ^ -(rank & 1)).astype(np.int8).view(np.uint8) ^ 0x80
+    return order.tobytes(), sample[raw].tobytes()
+
+
+def unranked(order: bytes, pcm: bytes) -> bytes:
+    """The payload that ranked() made unsigned samples of."""
+    signed = (np.frombuffer(pcm, np.uint8) ^ 0x80).view(np.int8).astype(np.int16)
+    place = (signed << 1) ^ (signed >> 15)
+    if len(place) and int(place.max()) >= len(order):
+        raise ValueError("a sample that stands for no byte value")
+    return np.frombuffer(order, np.uint8)[place].tobytes()
+
+
+def encode_streams(payloads: list[bytes], by_rank: bool = False) -> list[bytes]:
+    """A FLAC stream for each payload of unsigned 8-bit samples: STREAMINFO with the MD5 of the samples, a seek point for every
+    frame, frames. With by_rank the samples are the ranks of the payload's byte values, which an APPLICATION block lists."""
+    orders = [b""] * len(payloads)
+    if by_rank:
+        orders, payloads = map(list, zip(*map(ranked, payloads))) if payloads else ([], [])
     plan: list[tuple[int, int, bytes]] = []
     for d, payload in enumerate(payloads):
         plan += [(d, n, payload[n * BLOCK : (n + 1) * BLOCK]) for n in range(-(-len(payload) // BLOCK))]
@@ -189,7 +221,7 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
         for (d, _, _), frame in zip(part, encode_frames(signed, np.array([len(x[2]) for x in part]), np.array([x[1] for x in part]))):
             frames[d].append(frame)
     out = []
-    for payload, own in zip(payloads, frames):
+    for payload, own, order in zip(payloads, frames, orders):
         lengths = [len(f) for f in own]
         signed = (np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()
         block = min(BLOCK, max(len(payload), 16))
@@ -200,7 +232,8 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
             points.append(struct.pack(">QQH", n * BLOCK, place, min(BLOCK, len(payload) - n * BLOCK)))
             place += length
         seek = b"".join(points)
-        out.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + b"".join(own))
+        listed = b"\x02" + (4 + len(order)).to_bytes(3, "big") + RANKS + order if by_rank else b""
+        out.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + listed + b"\x83" + len(seek).to_bytes(3, "big") + seek + b"".join(own))
     return out
 
 
@@ -210,7 +243,7 @@ class Stream:
     def __init__(self, data: bytes):
         if data[:4] != b"fLaC":
             raise ValueError("no FLAC stream")
-        at, last, self.points = 4, False, []
+        at, last, self.points, self.order = 4, False, [], None
         while not last:
             last, kind, size = bool(data[at] & 0x80), data[at] & 0x7F, int.from_bytes(data[at + 1 : at + 4], "big")
             body = data[at + 4 : at + 4 + size]
@@ -218,6 +251,8 @@ class Stream:
             if kind == 0:
                 word = int.from_bytes(body[10:18], "big")
                 self.channels, self.bits, self.total, self.md5 = (word >> 41 & 7) + 1, (word >> 36 & 31) + 1, word & (1 << 36) - 1, body[18:34]
+            elif kind == 2 and body[:4] == RANKS:
+                self.order = body[4:]
             elif kind == 3:
                 self.points = [p for p in struct.iter_unpack(">QQH", body) if p[0] != (1 << 64) - 1]
         if (self.channels, self.bits) != (1, 8):
@@ -336,6 +371,25 @@ def _rice(words: np.ndarray, pos: np.ndarray, sizes: np.ndarray, orders: np.ndar
     return out, pos
 
 
+def _predicted(subframes: list[tuple[np.ndarray, np.ndarray, list[int], int]]) -> list[np.ndarray]:
+    """Samples of linear-prediction subframes (warm-up, residuals, coefficients, shift): the i-th samples of all in one step."""
+    if not subframes:
+        return []
+    most = max(len(w) for w, *_ in subframes)
+    sizes = [len(w) + len(r) for w, r, *_ in subframes]
+    held = np.zeros((len(subframes), most + max(sizes)), np.int64)
+    added, weights = np.zeros_like(held), np.zeros((len(subframes), most), np.int64)
+    orders, shifts = np.array([len(w) for w, *_ in subframes]), np.array([x[3] for x in subframes])
+    for row, (warm, r, coefficients, _) in enumerate(subframes):
+        held[row, most : most + len(warm)] = warm
+        added[row, most + len(warm) : most + sizes[row]] = r
+        weights[row, most - len(coefficients) :] = coefficients[::-1]
+    for i in range(int(orders.min()), max(sizes)):
+        guess = (held[:, i : i + most] * weights).sum(1) >> shifts
+        held[:, most + i] = np.where(i >= orders, guess + added[:, most + i], held[:, most + i])
+    return [held[row, most : most + n].astype(np.int8) for row, n in enumerate(sizes)]
+
+
 def decode_frames(data: bytes, starts: list[int]) -> list[tuple[int, np.ndarray, int]]:
     """(number, signed samples, byte where the frame ends) of the frames that start at these bytes, checksums verified.
 
@@ -376,6 +430,7 @@ def decode_frames(data: bytes, starts: list[int]) -> list[tuple[int, np.ndarray,
         sizes = np.array([heads[c[1]][1] for c in coded])
         z, end = _rice(words, np.array([c[3] for c in coded]), sizes, np.array([c[2] for c in coded]))
         residual = np.ascontiguousarray(((z >> 1) ^ -(z & 1)).T)
+        linear = []
         for row, (count, f, order, _, coefficients, shift) in enumerate(coded):
             p = heads[f][2] + 1
             warm = raw[p : p + order].view(np.int8).astype(np.int64)
@@ -385,11 +440,11 @@ def decode_frames(data: bytes, starts: list[int]) -> list[tuple[int, np.ndarray,
                     r = np.cumsum(np.concatenate([np.diff(warm[:level], level - 1), r]))
                 samples = r
             else:
-                held = warm.tolist()
-                for v in r.tolist():
-                    held.append(v + (sum(c * s for c, s in zip(coefficients, reversed(held[-order:]))) >> shift))
-                samples = np.array(held)
+                linear.append((f, warm, r, coefficients, shift))
+                samples = warm
             found[f], ends[f] = samples.astype(np.int8), (int(end[row]) + 7) // 8
+        for (f, *_), samples in zip(linear, _predicted([x[1:] for x in linear])):
+            found[f] = samples
     first, stop = np.array(starts), np.array(ends)
     rank = np.argsort(first)
     wrong = crc16(raw, first[rank], stop[rank]) != (raw[stop[rank]].astype(np.uint16) << np.uint16(8) | raw[stop[rank] + 1])
@@ -399,8 +454,9 @@ def decode_frames(data: bytes, starts: list[int]) -> list[tuple[int, np.ndarray,
 
 
 def decode_streams(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
-    """For each stream its PCM blocks (sample offset, unsigned 8-bit samples). Frames of all streams are decoded together
-    where seek points name them; else a stream is decoded one frame after another. MD5 sums are verified."""
+    """For each stream its PCM blocks (sample offset, unsigned 8-bit samples; of ranks the byte values they stand for). Frames
+    of all streams are decoded together where seek points name them; else a stream is decoded one frame after another. MD5
+    sums are verified."""
     parsed = [Stream(s) for s in streams]
     blocks: list[list[tuple[int, np.ndarray]]] = [[] for _ in parsed]
     work: list[tuple[int, int, int]] = []
@@ -433,7 +489,8 @@ def decode_streams(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
         signed = np.concatenate([s for _, s in own]) if own else np.zeros(0, np.int8)
         if len(signed) != stream.total or stream.md5.strip(b"\0") and hashlib.md5(signed.tobytes()).digest() != stream.md5:
             raise ValueError("the samples are not those the stream was made of")
-        out.append([(sample, (s.view(np.uint8) ^ 0x80).tobytes()) for sample, s in own])
+        pcm = [(sample, (s.view(np.uint8) ^ 0x80).tobytes()) for sample, s in own]
+        out.append(pcm if stream.order is None else [(sample, unranked(stream.order, b)) for sample, b in pcm])
     return out
 
 
@@ -457,7 +514,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
         for part in _groups([len(t) for t in texts], DECODE_SAMPLES):
-            media = encode_streams([padded(t) for t in texts[part]])
+            media = encode_streams([padded(t) for t in texts[part]], by_rank=True)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)[part], pa.array([len(t) for t in texts[part]], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"]
             )
@@ -489,6 +546,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): every whole text as a FLAC stream of its UTF-8 bytes, zero-padded to a multiple of 64.
 
+    A byte is one sample of 8 bits, its value's rank of frequency in the text; the stream lists the values in that order.
     Null counts as empty (64 zero bytes). Repeated rows stay; equal texts give equal streams; extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -504,13 +562,33 @@ def decode_column(media: DataFrame) -> DataFrame:
 
 
 def pcm_blocks(decoded: DataFrame) -> DataFrame:
-    """One row for each PCM block: doc_id, block, sample_offset, pcm."""
-    return decoded.select("doc_id", F.posexplode("blocks").alias("block", "b")).select("doc_id", "block", "b.sample_offset", "b.pcm")
+    """One row for each PCM block: doc_id, block, sample_offset, samples, pcm."""
+    blocks = decoded.select("doc_id", F.posexplode("blocks").alias("block", "b"))
+    return blocks.select("doc_id", "block", "b.sample_offset", F.octet_length("b.pcm").cast("long").alias("samples"), "b.pcm")
+
+
+def write_pcm(media: DataFrame, path: str) -> DataFrame:
+    """Decodes a column of media and writes its PCM blocks as a table under path; the table, read back."""
+    pcm_blocks(decode_column(media)).write.option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.parquet(path)
+
+
+def seek(blocks: DataFrame, doc_id: int, first: int, count: int) -> DataFrame:
+    """(sample_offset, pcm) of the samples from first to first + count of a document; only blocks that hold some are read."""
+    last = first + count
+    held = blocks.where((F.col("doc_id") == doc_id) & (F.col("sample_offset") < last) & (F.col("sample_offset") + F.col("samples") > first))
+    start = F.greatest(F.lit(first) - F.col("sample_offset"), F.lit(0))
+    stop = F.least(F.lit(last) - F.col("sample_offset"), F.col("samples"))
+    return held.select((F.col("sample_offset") + start).alias("sample_offset"), F.substring("pcm", (start + 1).cast("int"), (stop - start).cast("int")).alias("pcm")).orderBy("sample_offset")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs the digests of what the decoded media hold: see the query of operator 6."""
-    back = decode_column(encode_column(docs, id_col, text_col))
+    """Per row of docs: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+
+    The streams are written as a table in the shared folder, read back and decoded; all but n_bytes is taken from what was
+    read. Null texts are empty; an empty table gives an empty result.
+    """
+    back = decode_column(materialise(encode_column(docs, id_col, text_col), "media"))
     whole = F.aggregate(F.transform("blocks", lambda b: b["pcm"]), F.lit(b""), lambda a, b: F.concat(a, b))
     return back.withColumn("payload", whole).select(
         "doc_id", "n_bytes",

@@ -291,6 +291,88 @@ def test_flac_round_trip(docs):
     assert [b.sample_offset for b in blocks] == [0, 4096, 8192] and b"".join(bytes(b.pcm) for b in blocks) == flac.padded(b"x" * 9000)
 
 
+def feature_by_hand(data):
+    x = [b - 128 for b in data]
+    changes = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+    return f"n={len(x)};peak={max(map(abs, x), default=0)};energy={sum(v * v for v in x)};crossings={changes};last={(len(x) - 1) // 4096 * 4096}"
+
+
+def test_flac_features_and_stored_streams(docs):
+    """Streams are read by a decoder of its own, bit by bit; features are computed from the padded bytes."""
+    texts = {i: t or "" for i, t in enumerate(ODD)}
+    got = {r.doc_id: r for r in flac.round_trip(docs.where("score = 'x' and doc_id <> 9")).collect()}
+    media = {r.doc_id: bytes(r.media) for r in flac.encode_column(docs.where("score = 'x' and doc_id <> 9")).collect()}
+    for i, r in got.items():
+        data = flac.padded(texts[i].encode())
+        assert r.feature == feature_by_hand(data) and read_flac(media[i]) == data
+        assert (r.media_bytes, r.media_sha256) == (len(media[i]), hashlib.sha256(media[i]).hexdigest())
+
+
+def read_flac(data):
+    """A plain FLAC reader for mono streams of 8 bits: metadata, fixed predictors, one Rice partition, constants, verbatim."""
+    assert data[:4] == b"fLaC"
+    at, last, order, points = 4, False, None, []
+    while not last:
+        last, kind, size = data[at] >= 128, data[at] % 128, int.from_bytes(data[at + 1 : at + 4], "big")
+        body = data[at + 4 : at + 4 + size]
+        if kind == 0:
+            total = int.from_bytes(body[10:18], "big") % (1 << 36)
+        elif kind == 2:
+            order = body[4:]
+        elif kind == 3:
+            points = [int.from_bytes(body[k + 8 : k + 16], "big") for k in range(0, size, 18)]
+        at += 4 + size
+    out = []
+    for point in points:
+        text = "".join(format(b, "08b") for b in data[at + point :][:20000])
+        p = 32
+        number = text[p : p + 8]
+        p += 8 * max(1, len(number) - len(number.lstrip("1")))
+        size = 4096
+        if text[16:20] == "0111":
+            size, p = int(text[p : p + 16], 2) + 1, p + 16
+        p += 8  # CRC-8
+        kind, p = int(text[p + 1 : p + 7], 2), p + 8
+        signed = lambda b: int(b, 2) - (256 if b[0] == "1" else 0)
+        if kind == 0:
+            own = [signed(text[p : p + 8])] * size
+        elif kind == 1:
+            own = [signed(text[p + 8 * j : p + 8 * j + 8]) for j in range(size)]
+        else:
+            o = kind - 8
+            own, p = [signed(text[p + 8 * j : p + 8 * j + 8]) for j in range(o)], p + 8 * o
+            k, p = int(text[p + 6 : p + 10], 2), p + 10
+            while len(own) < size:
+                q = text.index("1", p) - p
+                z = (q << k) | int(text[p + q + 1 : p + q + 1 + k] or "0", 2)
+                p += q + 1 + k
+                r = z // 2 if z % 2 == 0 else -(z + 1) // 2
+                own.append(r + {0: 0, 1: own[-1] if own else 0, 2: 2 * own[-1] - own[-2] if len(own) > 1 else 0}[o])
+        out += own
+    assert len(out) == total
+    return bytes(order[2 * v if v >= 0 else -2 * v - 1] if order is not None else v + 128 for v in out)
+
+
+def test_flac_pcm_tables_are_seekable(docs, tmp_path):
+    table = flac.write_pcm(flac.encode_column(docs), f"file://{tmp_path}/pcm")
+    data = flac.padded(ODD[6].encode())
+    for first, count in ((0, 64), (4000, 200), (4095, 1), (5000, 99999)):
+        assert b"".join(bytes(r.pcm) for r in flac.seek(table, 6, first, count).collect()) == data[first : first + count]
+    assert flac.seek(table, 6, 10**9, 5).count() == 0
+
+
+def test_flac_ranks():
+    for payload in (b"", b"\0" * 64, bytes(range(256)) * 3, b"hello world" * 50):
+        order, samples = flac.ranked(payload)
+        assert flac.unranked(order, samples) == payload and sorted(order) == sorted(set(payload))
+    with pytest.raises(ValueError):
+        flac.unranked(b"ab", bytes([0x80, 0x81]))
+    payloads = [flac.padded(b"the quick brown fox " * 900), flac.padded(bytes(random.Random(2).randrange(256) for _ in range(5000)))]
+    for by_rank in (True, False):
+        assert [b"".join(b for _, b in s) for s in flac.decode_streams(flac.encode_streams(payloads, by_rank))] == payloads
+    assert len(flac.encode_streams(payloads, True)[0]) < 0.8 * len(flac.encode_streams(payloads)[0])
+
+
 def test_flac_kinds_of_frames_and_damage():
     rng = random.Random(1)
     payloads = [flac.padded(p) for p in (b"", b"a" * 500, bytes(rng.randrange(256) for _ in range(9000)), bytes((i // 3) % 256 for i in range(9999)), bytes(128 if i % 500 else 255 for i in range(9000)))]
@@ -325,8 +407,19 @@ def test_flac_lpc_partitions_and_escapes():
     body = head + bytes([flac.crc8(head)]) + bits(*pairs)
     raw = np.frombuffer(body, np.uint8)
     crc = int(flac.crc16(raw, np.array([0]), np.array([len(body)]))[0])
-    number, got, end = flac.decode_frames(body + crc.to_bytes(2, "big"), [0])[0]
-    assert number == 0 and got.tolist() == samples and end == len(body) + 2
+    frame = body + crc.to_bytes(2, "big")
+    for number, got, end in flac.decode_frames(frame, [0]) + flac.decode_frames(frame * 2, [0, len(frame)])[:1]:
+        assert number == 0 and got.tolist() == samples and end == len(frame)
+    rng = np.random.default_rng(4)
+    subframes = []
+    for order, n in ((1, 5), (3, 40), (12, 30), (32, 33)):
+        c, warm, r = rng.integers(-40, 40, order), rng.integers(-9, 9, order), rng.integers(-5, 5, n)
+        subframes.append((warm, r, c.tolist(), 9))
+    for (warm, r, c, shift), found in zip(subframes, flac._predicted(subframes)):
+        held = warm.tolist()
+        for v in r.tolist():
+            held.append(v + (sum(a * b for a, b in zip(c, reversed(held[-len(c) :]))) >> shift))
+        assert found.tolist() == held
 
 
 def test_word_tokens_as_the_library_does():
