@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.storage import materialise
+from quern.llm.storage import materialise, release
 
 
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Large-star and small-star rounds run until the edge set stays as it is. A node's neighbours are never gathered: each
     round is a partial minimum for every node and a join of the edges with those minima; minima are written first, so that
-    adaptive execution can split a hot node's edges. Null ends and self links are ignored; nodes without links are absent.
+    adaptive execution can split a hot node's edges; the tables of a round go when the next is written. Null ends and self links are ignored; nodes without links are absent.
     """
     e = materialise(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and u <> v").distinct(),
@@ -44,17 +44,20 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "large")
-        star = materialise(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "star")
-        low = materialise(star.groupBy("u").agg(F.min("v").alias("m")), "small")
-        joined = star.join(low, "u")
-        e = materialise(
+        large = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "large")
+        star = materialise(both.join(large, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "star")
+        small = materialise(star.groupBy("u").agg(F.min("v").alias("m")), "small")
+        joined = star.join(small, "u")
+        links = materialise(
             joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v")
             .where("u <> v")
             .distinct(),
             "links",
         )
+        for done in (e, large, star, small):
+            release(done)
+        e = links
         before, state = state, _state(e)
         if state == before:
             break

@@ -19,14 +19,15 @@ OVERFULL = 2.0
 
 def _range_of(splitters: np.ndarray, parts: dict[int, int]):
     """Adds the range of a key, and within an overfull range the part its row falls in."""
+    held = np.ones(len(splitters) + 1, np.uint64)
+    held[list(parts)] = list(parts.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
             at = np.searchsorted(splitters, table.column("key").to_numpy(), side="right").astype(np.int32)
             salt = table.column("salt").to_numpy().view(np.uint64)
-            many = np.array([parts.get(int(k), 1) for k in range(len(splitters) + 1)], np.uint64)[at]
-            part = (salt % many).astype(np.int32)
+            part = (salt % held[at]).astype(np.int32)
             table = table.append_column("range", pa.array(at)).append_column("part", pa.array(part))
             yield from table.to_batches()
 
@@ -38,7 +39,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
 
     size is the UTF-8 bytes of the text plus 1 (null: 1). Rows are ordered by a hash of the text, so that equal texts stand
     together. Samples drawn with chances in proportion to size give the splitters (their weighted quantiles); rows are
-    range-partitioned by them, and a range over OVERFULL times the mean is divided by a second hash. The exact sizes of the
+    range-partitioned by them, and a range over OVERFULL times the mean is divided by a second hash (of the row's number). The exact sizes of the
     ranges (a number set by bytes, MOST_RANGES at most) give each range its place in the whole order, so a shard is an
     interval of that order and sizes differ by about one row. Slots count from 0 within a shard without gaps.
     Repeated rows each get a slot; null ids and null or empty texts are rows like others; extra columns are ignored; an
@@ -52,7 +53,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
             (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
             F.crc32(text).cast("long").alias("text_crc32"),
             F.xxhash64(text).alias("key"),
-            F.xxhash64(F.lit(7), F.col(id_col), text).alias("salt"),
+            F.xxhash64(F.lit(7), F.monotonically_increasing_id()).alias("salt"),
         ),
         "sizes",
     )
@@ -64,10 +65,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     draws = ranges * DRAWS
     # A row is drawn with chance draws * size / total, and stands for total / draws bytes, or for its own size if larger.
     chance = F.col("size") * F.lit(draws / total)
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(11), "salt", "doc_id"), 11).cast("double") / F.lit(float(1 << 53))
-    sample = rows.where(unit < chance).select("key", F.greatest(F.col("size").cast("double"), F.lit(total / draws)).alias("weight")).orderBy("key").collect()
-    keys = np.array([r["key"] for r in sample], np.int64)
-    weight = np.cumsum([r["weight"] for r in sample])
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(11), "salt"), 11).cast("double") / F.lit(float(1 << 53))
+    sample = rows.where(unit < chance).select("key", F.greatest(F.col("size").cast("double"), F.lit(total / draws)).alias("weight")).collect()
+    keys, drawn = np.array([r["key"] for r in sample], np.int64), np.array([r["weight"] for r in sample], np.float64)
+    inorder = np.argsort(keys, kind="stable")
+    keys, weight = keys[inorder], np.cumsum(drawn[inorder])
     cut = np.searchsorted(weight, weight[-1] * np.arange(1, ranges) / ranges) if len(keys) else np.zeros(0, np.int64)
     splitters = np.unique(keys[cut]) if len(keys) else keys
 
@@ -76,9 +78,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     mean = total / (len(splitters) + 1)
     parts = {r["range"]: -(-int(r["size"]) // int(mean + 1)) for r in first.where(F.col("size") > OVERFULL * mean).collect()}
     ranged = rows.mapInArrow(_range_of(splitters, parts), ranged_schema)
-    sums = ranged.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).orderBy("range", "part").collect()
+    sums = ranged.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
     before_bytes, before_rows, at = 0, 0, []
-    for r in sums:
+    for r in sorted(sums, key=lambda r: (r["range"], r["part"])):
         at.append((r["range"], r["part"], before_bytes, before_rows))
         before_bytes += r["bytes"]
         before_rows += r["rows"]

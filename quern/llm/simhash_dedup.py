@@ -221,9 +221,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
 def representatives(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stand for their group of near-duplicates: those with the group's smallest id, with all columns.
 
-    Rows that repeat an id are one document, of which one row stays; rows with a null id stay, as they name no document.
+    Rows that repeat an id are one document, of which the row whose text has the smallest hash stays (of rows with that text
+    any one); rows with a null id stay, as they name no document. An empty table gives an empty result.
     """
     groups = near_duplicates(docs, words, radius, id_col, text_col)
     kept = materialise(groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct(), "kept")
-    named = docs.where(F.col(id_col).isNotNull())
-    return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").select(*docs.columns)
+    others = [c for c in docs.columns if c != id_col]
+    one = named.groupBy(id_col).agg(F.min_by(F.struct(*others), F.xxhash64(text_col)).alias("row")).select(id_col, "row.*").select(*docs.columns)
+    return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -11,9 +11,12 @@ CHECKPOINT = "spark.checkpoint.dir"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder of this application under spark.checkpoint.dir; only where that is unset (tests), a temporary folder is taken."""
+    """A folder of this application under spark.checkpoint.dir; only where that is unset and the driver is the one machine (tests),
+    a temporary folder is taken."""
     base = spark.conf.get(CHECKPOINT, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT} must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quern-')}"
         spark.conf.set(CHECKPOINT, base)
     return f"{base.rstrip('/')}/quern-{spark.sparkContext.applicationId}"
