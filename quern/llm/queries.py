@@ -21,7 +21,7 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 @_query
 def op1_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_feistel.pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii_feistel.pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"), pii_feistel.key_of(spark))
 
 
 @_query

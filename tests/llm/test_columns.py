@@ -61,7 +61,7 @@ def luhn(d):
 
 
 def pseudonym(spark, text):
-    return pii_feistel.pseudonymise(spark.createDataFrame([(text,)], "text string")).first()
+    return pii_feistel.pseudonymise(spark.createDataFrame([(text,)], "text string"), KEY).first()
 
 
 def test_card_email_secret_by_hand(spark):
@@ -154,7 +154,7 @@ def test_values_beside_other_numbers(spark):
     every = [*cards, *ibans, *others]
     texts = [f"{v}{sep}{o}" for v in [*cards, *ibans] for o in others for sep in (" ", ", ", "-", ".")]
     texts += ["".join(rng.choice(every) + rng.choice([" ", " ", " ", "-", ".", ",", "\n", "  "]) for _ in range(rng.randrange(2, 7))) for _ in range(400)]
-    got = pii_feistel.pseudonymise(spark.createDataFrame([(t, t) for t in texts], "was string, text string").repartition(4)).collect()
+    got = pii_feistel.pseudonymise(spark.createDataFrame([(t, t) for t in texts], "was string, text string").repartition(4), KEY).collect()
     for r in got:
         want = values_by_brute_force(r.was)
         assert (r.pii_found, r.pii_kinds) == (len(want), ",".join(sorted({k for k, _ in want}))), (r, want)
@@ -177,7 +177,7 @@ def test_values_beside_other_numbers(spark):
 
 def test_dates_stay_dates_and_are_one_to_one(spark):
     days = spark.range(0, 73051, 7).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
-    out = pii_feistel.pseudonymise(days).select("text").collect()
+    out = pii_feistel.pseudonymise(days, KEY).select("text").collect()
     assert len({r.text for r in out}) == len(out) and all(1900 <= int(r.text[:4]) <= 2100 for r in out)
     a, b = pseudonym(spark, "1987-02-28").text, pseudonym(spark, "28/02/1987").text
     assert a.split("-") == b.split("/")[::-1]
@@ -199,12 +199,12 @@ def test_checks_hold_after(spark):
 
 
 def test_pii_odd_rows(docs):
-    out = pii_feistel.pseudonymise(docs)
+    out = pii_feistel.pseudonymise(docs, KEY)
     assert out.select("text").where("text is null").count() == 1 and out.count() == docs.count()
     assert sorted(r.text or "" for r in out.collect()) == sorted(t or "" for t in [*ODD, "same", "no id"])
-    assert pii_feistel.pseudonymise(docs.limit(0)).count() == 0
+    assert pii_feistel.pseudonymise(docs.limit(0), KEY).count() == 0
     twice = docs.withColumns({"pii_found": F.lit("old"), "pii_kinds": F.lit(1)})
-    assert pii_feistel.pseudonymise(twice).where("pii_found = 0").count() == docs.count()
+    assert pii_feistel.pseudonymise(twice, KEY).where("pii_found = 0").count() == docs.count()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 

@@ -382,6 +382,28 @@ def test_pipeline(spark, sf):
     assert p.run(spark, sf).count() == packed.count()
 
 
+def test_pipeline_stages_on_odd_rows(spark, sf):
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, pii_found string, score double, length long, fp string"
+    mail = "write to bo.1@mail.example.com " + "x" * 50
+    rows = [(1, None), (2, ""), (3, mail), (3, mail), (4, "a b c d e f g"), (4, "quite another text of some words"), (None, "no id 4111111111111111"), (None, None), (5, "w " * 30000)]
+    docs = spark.createDataFrame([(i, t, None, None, len(t or ""), "clash", 0.5, 7, "z") for i, t in rows], schema)
+    for stage in (p.quality, p.near_duplicates, p.personal_data):
+        assert stage(spark, docs, sf).columns == docs.columns and stage(spark, docs.limit(0), sf).count() == 0
+    alone = p.near_duplicates(spark, docs, sf)
+    assert sorted((r.doc_id or 0) for r in alone.collect()) == [0, 0, 1, 3, 4, 5]  # 2 is without words like 1
+    assert len({r.text for _ in range(2) for r in p.near_duplicates(spark, docs.repartition(3), sf).where("doc_id = 4").collect()}) == 1
+    hidden = p.personal_data(spark, docs, sf).collect()
+    assert collections.Counter(r.doc_id for r in hidden) == collections.Counter(i for i, _ in rows) and {r.pii_found for r in hidden} == {"clash"}
+    assert all(r.text != mail and r.n_chars == len(mail) for r in hidden if r.doc_id == 3) and all(r.text is None or "4111111111111111" not in r.text for r in hidden)
+    packed = p.pack(spark, docs, sf).collect()
+    assert collections.Counter(r.doc_id for r in packed if r.piece == 0) == collections.Counter(i for i, _ in rows)
+    assert p.pack(spark, docs.limit(0), sf).count() == 0
+    rejected = p.quality(spark, docs, sf).select("doc_id").collect()
+    assert all(sum(r.doc_id == i for r in rejected) in (0, k) for i, k in ((3, 2), (1, 1)))
+
+
 def test_every_operator_has_a_query():
     from quern.llm.queries import QUERIES
 
