@@ -15,27 +15,42 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject (score of at least its threshold), as they are."""
+    """Documents that the classifier does not reject (score of at least its threshold), as they are.
+
+    Null and empty texts are scored like others; repeated rows have one fate; rows without a doc_id are scored too; columns
+    of any name pass through. Without labels nothing is rejected; an empty table gives an empty result.
+    """
     return quality_gam.accepted(docs, quality_gam.train(docs, load(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates: the one with the smallest doc_id.
 
-    Texts without words have fingerprint zero and so make one group. Rows that repeat a kept doc_id are one document; rows
-    without a doc_id stay.
+    Texts without words (null and empty ones too) have fingerprint zero and so make one group. Rows that repeat a kept doc_id
+    are one document, of which the row whose text has the smallest hash stays; rows without a doc_id stay. An empty table
+    gives an empty result.
     """
     return simhash_dedup.representatives(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values replaced by pseudonyms of the same format; n_chars follows the text."""
-    clean = pii_feistel.pseudonymise(docs)
-    return clean.withColumn("n_chars", F.when(F.col("pii_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Personal values replaced by pseudonyms of the same format; n_chars follows the text.
+
+    Null and empty texts stay as they are, and so do columns whose names the operator gives to its counts. Repeated rows are
+    rewritten alike; an empty table gives an empty result.
+    """
+    clashing = {c: f"{c}_of_docs" for c in docs.columns if c in ("pii_found", "pii_kinds", "_found")}
+    clean = pii_feistel.pseudonymise(docs.withColumnsRenamed(clashing), pii_feistel.key_of(spark))
+    clean = clean.withColumn("n_chars", F.when(F.col("pii_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return clean.select(*[F.col(clashing.get(c, c)).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of all documents in as few sequences of 4,096 as can be."""
+    """The tokens of all documents in as few sequences of 4,096 as can be, one row for each piece (the operator's columns).
+
+    A null or empty text is one piece of the end id; repeated rows and rows without a doc_id are packed each; extra columns
+    are left out; an empty table gives an empty result.
+    """
     return packing.pack(docs, TOKENIZER)
 
 
