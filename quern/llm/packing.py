@@ -13,6 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +26,16 @@ ROUNDS, TOLERANCE, EMPTY = 40, 0.02, (0.999, 0.995, 0.99, 0.98, 0.95, 0.9, 0.8,
 DRAWS, REMAINDER, SEED = 8000, 0.03, 7
 #: Words of a generation of a worker's memo; a full generation is kept until the next is full, which changes no result.
 MEMO = 600_000
-#: White space for Python that the tokenizer does not take as such.
-UNLIKE = re.compile("[\x1c-\x1f]")
+#: Bytes of the texts whose words are told apart together.
+GROUP_BYTES = 4 << 20
+#: Texts that are encoded whole: with white space for Python that the tokenizer does not take as such, or a special token.
+UNLIKE = re.compile("[\x1c-\x1f]|<\\|")
 #: Letters whose lower case may depend on what stands around them, or that this version may know otherwise than the tokenizer's.
 FAR = re.compile("[\u0130-\U0010ffff]")
-TAIL = ".,;:!?"
+#: A letter and the punctuation between it and white space, which the tokenizer encodes apart from the letter; an apostrophe is not sure to be.
+TAIL = r"""([a-z\x{df}-\x{f6}\x{f8}-\x{12f}])([!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)(\s|$)"""
+#: Words of letters that are encoded in one call.
+JOINED = 4096
 
 
 class WordTokens:
@@ -43,39 +49,58 @@ class WordTokens:
         self.tool = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        vocabulary = self.tool.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _joined(self, stems: list[str]) -> list[bytes]:
+        """Ids of words of letters, encoded as one text: an id that can only end a word tells where each stops."""
+        ids = np.array(self.tool.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+        if len(ends) != len(stems):
+            return self._ids(stems)
+        data, stops = ids.tobytes(), [0, *ends.tolist()]
+        return [data[x:y] for x, y in zip(stops, stops[1:])]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        """A text's words, in lower case where that is sure to be what the tokenizer makes of them."""
-        return (text.lower() if text.isascii() or not FAR.search(text) else text).split()
+    def lowered(text: str) -> str:
+        """A text in lower case where that is sure to be what the tokenizer makes of it."""
+        return text.lower() if text.isascii() or not FAR.search(text) else text
 
-    @staticmethod
-    def parts(word: str) -> tuple[str, ...]:
-        """A word of letters and the punctuation after it, which the tokenizer encodes apart."""
-        stem = word.rstrip(TAIL)
-        return (stem, word[len(stem) :]) if stem != word and stem.isalpha() and not FAR.search(stem) else (word,)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def learn(self, words: list[str]) -> None:
+        """Makes the ids of these distinct words known; what the older generation knows is not encoded anew."""
         if len(self.known) >= MEMO:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        split = [None if UNLIKE.search(t) else self.words(t) for t in texts]
-        missing = set().union(*(w for w in split if w is not None)).difference(known)
-        apart = []
+        missing = [w for w in words if w not in known]
+        need = []
         for w in missing:
-            if (ids := older.get(w)) is not None:
-                known[w] = ids
+            if (ids := older.get(w)) is None:
+                need.append(w)
             else:
-                apart.append((w, self.parts(w)))
-        if apart:
-            need = [p for p in {p for _, parts in apart for p in parts} if p not in known]
-            known.update(zip(need, self._ids(need)))
-            known.update((w, known[p[0]] + known[p[1]]) for w, p in apart if len(p) == 2)
-        return [self._ids([t])[0] if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split)]
+                known[w] = ids
+        plain = [w for w in need if w.isalpha() and (w.isascii() or not FAR.search(w))]
+        for at in range(0, len(plain), JOINED):
+            known.update(zip(plain[at : at + JOINED], self._joined(plain[at : at + JOINED])))
+        rest = [w for w in need if w not in known]
+        known.update(zip(rest, self._ids(rest)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. Words are split, told apart and laid out by Arrow, so that
+        each distinct word of these texts is looked up once."""
+        odd = [bool(UNLIKE.search(t)) for t in texts]
+        plain = pa.array(["" if o else self.lowered(t) for t, o in zip(texts, odd)], pa.large_string())
+        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(plain, TAIL, r"\1 \2\3"))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self.learn(words)
+        laid = pa.array([self.known[w] for w in words], pa.large_binary()).take(coded.indices.cast(pa.int64()))
+        ends = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1)[np.asarray(lists.offsets)].tolist() if len(laid) else [0] * (len(texts) + 1)
+        data = laid.buffers()[2].to_pybytes() if len(laid) and laid.buffers()[2] is not None else b""
+        return [self._ids([t])[0] if o else data[x:y] for t, o, x, y in zip(texts, odd, ends, ends[1:])]
 
 
 @cache
@@ -91,9 +116,11 @@ def _pieces(path: str, capacity: int, end: int):
         tool = word_tokens(path)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
-            for at in range(0, batch.num_rows, 256):
-                texts = [x or "" for x in batch.column(1)[at : at + 256].to_pylist()]
-                for doc, found in zip(ids[at : at + 256], tool.encode(texts)):
+            ends = np.cumsum(np.maximum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), 1))
+            cuts = [0, *(np.flatnonzero(np.diff(ends // GROUP_BYTES)) + 1).tolist(), batch.num_rows]
+            for at, stop in zip(cuts, cuts[1:]):
+                texts = [x or "" for x in batch.column(1)[at:stop].to_pylist()]
+                for doc, found in zip(ids[at:stop], tool.encode(texts)):
                     found += close
                     for piece, start in enumerate(range(0, len(found), 4 * capacity)):
                         part = found[start : start + 4 * capacity]

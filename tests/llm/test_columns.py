@@ -426,6 +426,6 @@ def test_word_tokens_as_the_library_does():
     tool = packing.word_tokens(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(4)
     texts = ["", "İstanbul ΣΑΣ. ΣΑΣ", "don't. can't, it's!! A.B.", "é café.", "a\x1cb \x85 c\xa0d", "<|endoftext|> x.", "ß ẞ. ŸÀ,"]
-    texts += ["".join(rng.choice(" \n.,!?aBé'sİΣ1́ß") for _ in range(30)) for _ in range(500)]
+    texts += ["".join(rng.choice(" \n.,!?aBé'sİΣ1́ß$%#<|>_-&(\\]\"\xa0÷") for _ in range(30)) for _ in range(3000)]
     for t in texts:
         assert np.frombuffer(tool.encode([t])[0], "<u4").tolist() == tool.tool.encode(t, add_special_tokens=False).ids, t
