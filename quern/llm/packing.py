@@ -25,9 +25,9 @@ ROUNDS, TOLERANCE, EMPTY = 40, 0.02, (0.999, 0.995, 0.99, 0.98, 0.95, 0.9, 0.8,
 #: Patterns drawn from a solution at most, the share of pieces that is left to best-fit, and the seed of the draws.
 DRAWS, REMAINDER, SEED = 8000, 0.03, 7
 #: Words of a generation of a worker's memo; a full generation is kept until the next is full, which changes no result.
-MEMO = 600_000
+MEMO = 400_000
 #: Bytes of the texts whose words are told apart together.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 #: Texts that are encoded whole: with white space for Python that the tokenizer does not take as such, or a special token.
 UNLIKE = re.compile("[\x1c-\x1f]|<\\|")
 #: Letters whose lower case may depend on what stands around them, or that this version may know otherwise than the tokenizer's.
