@@ -57,11 +57,12 @@ def validity(nodes: DataFrame, edges: DataFrame, ends: list[str], amends: list[s
     return one.select("id", status.alias("verdict"), F.when(F.col("status").isNull(), 0.5).otherwise(0.9).alias("confidence"))
 
 
-def reach(edges: DataFrame, starts: list, depth: int, types: list[str] | None = None, reverse: bool = False, both: bool = False) -> DataFrame:
-    """(id, depth, via, type): nodes within `depth` steps, each with the first edge it was found by (the smallest of a level).
+def reach(edges: DataFrame, starts: list, depth: int | None = None, types: list[str] | None = None, reverse: bool = False, both: bool = False, goal=None) -> DataFrame:
+    """(id, depth, via, type): nodes within `depth` steps (all that can be reached where that is None), each with the first edge it
+    was found by (the smallest of a level); with a goal, no level after the one that holds it.
 
-    Level by level: the frontier joins the edges and nodes seen before drop by an anti join. Each level is checkpointed, as
-    the next one needs it twice.
+    Level by level until the frontier is empty: it joins the edges, and nodes seen before drop by an anti join. Each level is
+    checkpointed, as the next one needs it twice.
     """
     spark = edges.sparkSession
     e = edges if types is None else edges.where(F.col("type").isin(*types))
@@ -71,33 +72,55 @@ def reach(edges: DataFrame, starts: list, depth: int, types: list[str] | None =
     kind = edges.schema["src"].dataType
     none = F.lit(None)
     seen = spark.createDataFrame([(s,) for s in starts], f"id {kind.simpleString()}").select("id", F.lit(0).cast("long").alias("depth"), none.cast(kind).alias("via"), none.cast("string").alias("type"))
-    front = seen
-    for level in range(1, depth + 1):
+    front, level = seen, 0
+    while depth is None or level < depth:
+        level += 1
         found = front.select(F.col("id").alias("a")).join(step, "a").groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.col("a").alias("via"), "type")).alias("e"))
         front = cut(found.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).cast("long").alias("depth"), "e.via", "e.type"))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = cut(seen.unionByName(front)) if level % 8 == 0 else seen.unionByName(front)
+        if goal is not None and not front.where(F.col("id") == F.lit(goal)).isEmpty():
+            break
     return seen
 
 
-def shortest_path(edges: DataFrame, start, goal, most: int = 6) -> DataFrame:
-    """(step, id, type): a shortest path over edges in either direction, smallest predecessors first; empty if none is found.
+def chain(edges: DataFrame, start, types: list[str]) -> DataFrame:
+    """(src, type, dst, depth): all edges of these types into a node or into what was found before it, whatever the depth; cycles end
+    where a node was seen."""
+    found = reach(edges, [start], types=types, reverse=True).select(F.col("id").alias("dst"), "depth")
+    return edges.where(F.col("type").isin(*types)).join(found, "dst").select("src", "type", "dst", "depth")
+
+
+def related(edges: DataFrame, start, depth: int = 2) -> DataFrame:
+    """(src, dst, type, direction): the edges by which a search along the edges, and another against them, first reach each node
+    within `depth` steps. Directions are not mixed: what shares a target with the start is not related by that alone."""
+    ahead = reach(edges, [start], depth).where("depth > 0").select(F.col("via").alias("src"), F.col("id").alias("dst"), "type", F.lit("forward").alias("direction"))
+    behind = reach(edges, [start], depth, reverse=True).where("depth > 0").select(F.col("id").alias("src"), F.col("via").alias("dst"), "type", F.lit("backward").alias("direction"))
+    return ahead.unionByName(behind)
+
 
-    The way back follows each node's predecessor: at most `most` rows of the reached table.
+def shortest_path(edges: DataFrame, start, goal) -> DataFrame:
+    """(step, id, type): a shortest path along the edges, smallest predecessors first; empty if there is none, of any length.
+
+    The way back follows each node's predecessor: one lookup for each step of the path.
     """
-    found = cut(reach(edges, [start], most, both=True))
+    found = cut(reach(edges, [start], goal=goal))
     path = found.where(F.col("id") == F.lit(goal)).select(F.col("depth").alias("step"), "id", "type", "via")
-    at = path
-    for _ in range(most):
-        before = at.first()  # one row of the path, or none
-        if before is None or before["via"] is None:
-            break
-        at = found.where(F.col("id") == F.lit(before["via"])).select(F.col("depth").alias("step"), "id", "type", "via")
-        path = path.unionByName(at)
+    at = path.first()  # one row of the path, or none
+    while at is not None and at["via"] is not None:
+        one = found.where(F.col("id") == F.lit(at["via"])).select(F.col("depth").alias("step"), "id", "type", "via")
+        at = one.first()
+        path = path.unionByName(one)
     return path.select("step", "id", "type").orderBy("step")
 
 
+def path_text(path: DataFrame) -> DataFrame:
+    """One row: the path as text, ids joined by the relations between them; no row where there is no path."""
+    said = F.array_sort(F.collect_list(F.struct("step", F.concat_ws("", F.concat(F.lit(" -["), "type", F.lit("]-> ")), F.col("id").cast("string")).alias("t"))))
+    return path.agg(F.array_join(F.transform(said, lambda x: x["t"]), "").alias("path")).where("path <> ''")
+
+
 def type_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     part = lambda df, s: df.groupBy("type").agg(F.count("*").alias("n")).select(F.lit(s).alias("of"), "type", "n")
     return part(nodes, "node").unionByName(part(edges, "edge"))

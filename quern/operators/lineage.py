@@ -4,16 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read from spark.checkpoint.dir from now on; a temporary folder where that is unset and the driver
-    is the one machine (tests)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one where that is unset and the driver is the one machine (tests)."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and context._jsc.sc().getCheckpointDir().isDefined():
+        base = context._jsc.sc().getCheckpointDir().get()
+    if not base:
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quern-"))
+        base = f"file://{tempfile.mkdtemp(prefix='quern-')}"
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and read from the shared folder from now on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

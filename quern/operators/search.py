@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.matching import quoted
+from quern.operators.lineage import cut
 
 K1, B, RRF = 1.5, 0.75, 60
 
@@ -41,16 +42,14 @@ def question_terms(spark: SparkSession, question: str) -> DataFrame:
     return spark.createDataFrame([(question,)], "q string").select(F.explode(T.tokens("q")).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
 
 
-def _scored(docs: DataFrame, question: str, id_col: str, text_col: str) -> DataFrame:
-    """(term, times, doc_id, tf, idf, score): one narrow pass over the texts; only postings of the question's terms are shuffled."""
-    import re
+def asked_terms(spark: SparkSession, question: str) -> list[str]:
+    """The question's words, as the plan's own tokens see them: as few as the question has."""
+    return sorted(r["term"] for r in question_terms(spark, question).collect())
+
 
-    terms = [t for t in re.split(r"\s+", re.sub(r"[^\w\s]", " ", question.lower())) if t]
-    base = docs.select(F.col(id_col).alias("doc_id"), T.tokens(text_col).alias("ts"))
-    hits = base.select("doc_id", F.size("ts").alias("len"), F.explode(F.filter("ts", lambda t: t.isin(*sorted(set(terms))))).alias("term")).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
+def weighted(hits: DataFrame, stats: DataFrame, asked: DataFrame) -> DataFrame:
+    """BM25 parts of (term, doc_id, len, tf) rows, with (n, avg_len) in one row and (term, times) of a question."""
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    stats = base.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avg_len"))
-    asked = question_terms(docs.sparkSession, question)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.greatest("avg_len", F.lit(1.0)))
     return (
@@ -60,6 +59,18 @@ def _scored(docs: DataFrame, question: str, id_col: str, text_col: str) -> DataF
     )
 
 
+def _scored(docs: DataFrame, question: str, id_col: str, text_col: str) -> DataFrame:
+    """(term, times, doc_id, len, tf, idf, score): texts are read and split once, into a checkpointed table of each document's length
+    and the question's words in it; all else reads that narrow table. An index (quern.operators.retrieval) saves that pass."""
+    spark = docs.sparkSession
+    terms = asked_terms(spark, question)
+    found = docs.select(F.col(id_col).alias("doc_id"), T.tokens(text_col).alias("ts"))
+    own = F.filter("ts", lambda t: t.isin(*terms)) if terms else F.array().cast("array<string>")
+    base = cut(found.select("doc_id", F.size("ts").alias("len"), own.alias("own")))
+    hits = base.select("doc_id", "len", F.explode("own").alias("term")).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
+    return weighted(hits, base.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")), question_terms(spark, question))
+
+
 def bm25(docs: DataFrame, question: str, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Top k by BM25 (doc_id, score); only scores above 0, ties by id."""
     ranked = _scored(docs, question, id_col, text_col).groupBy("doc_id").agg(F.round(F.sum("score"), 4).alias("score"))
@@ -145,9 +156,8 @@ def nearest_to_row(vectors: DataFrame, row_id: int, k: int, id_col: str = "vec_i
 def knn_join(left: DataFrame, right: DataFrame, k: int = 2, least: float = 0.5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1024) -> DataFrame:
     """Per row of left its k nearest rows of right with cosine of at least `least`: (left_id, right_id, score, rank).
 
-    Right is dealt into salted blocks and every row of left visits each block once; a block keeps k candidates for a left
-    row before anything is merged, so a task holds one block of right and what is shuffled is k rows for each pair of row
-    and block.
+    Both sides are dealt into blocks of about `block` rows, and a task compares one block of each, so it holds two blocks
+    whatever the tables' sizes. A task keeps k candidates for a left row; what is merged is k rows for each row and block.
     """
     import numpy as np
     import pandas as pd
@@ -156,26 +166,24 @@ def knn_join(left: DataFrame, right: DataFrame, k: int = 2, least: float = 0.5,
         n = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
-    rows = right.count()
-    parts = max(1, -(-rows // block))
-    side = right.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("part")).where("v is not null")
-    asks = left.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")).where("v is not null")
+    parts = [max(1, -(-side.count() // block)) for side in (left, right)]
+    own = lambda side, n: side.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).alias("own")).where("v is not null")
+    other = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asks = own(left, parts[0]).select("id", "v", F.col("own").alias("a"), other(parts[1]).alias("b"))
+    side = own(right, parts[1]).select("id", "v", other(parts[0]).alias("a"), F.col("own").alias("b"))
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
             b = b.sort_values("id")
             ids = b["id"].to_numpy()
-            base = unit(np.array(b["v"].tolist(), float))
-            for at in range(0, len(a), 2048):
-                part = a.iloc[at : at + 2048]
-                s = np.round(unit(np.array(part["v"].tolist(), float)) @ base.T, 6)
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                for r, own in zip(range(len(part)), best):
-                    out += [(part["id"].iloc[r], ids[j], s[r, j]) for j in own if s[r, j] >= least]
+            s = np.round(unit(np.array(a["v"].tolist(), float)) @ unit(np.array(b["v"].tolist(), float)).T, 6)
+            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            for r, mine in enumerate(best):
+                out += [(a["id"].iloc[r], ids[j], s[r, j]) for j in mine if s[r, j] >= least]
         return pd.DataFrame(out, columns=["left_id", "right_id", "score"])
 
-    found = asks.groupBy("part").cogroup(side.groupBy("part")).applyInPandas(run, "left_id long, right_id long, score double")
+    found = asks.groupBy("a", "b").cogroup(side.groupBy("a", "b")).applyInPandas(run, "left_id long, right_id long, score double")
     w = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 

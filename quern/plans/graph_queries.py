@@ -33,20 +33,34 @@ def graph_validity(spark, d):
 WALK = "SELECT id, min(depth) AS depth FROM r GROUP BY id"
 
 
-@register("amendment_chain", f"WITH RECURSIVE {EDGES}, r AS (SELECT 1 AS id, 0 AS depth UNION SELECT e.src, r.depth + 1 FROM r JOIN edges e ON e.dst = r.id AND e.type IN ('amends', 'replaces') WHERE r.depth < 6) SELECT CAST(id AS BIGINT) AS id, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY id")
+#: Nodes that a walk may reach, with their depth; a part's half is smaller than it, so no walk runs in a circle.
+BACK = "r AS (SELECT 1 AS id, 0 AS depth UNION SELECT e.src, r.depth + 1 FROM r JOIN edges e ON e.dst = r.id AND e.type IN ('amends', 'replaces'))"
+
+
+@register("amendment_chain", f"WITH RECURSIVE {EDGES}, {BACK} SELECT e.src, e.type, CAST(e.dst AS BIGINT) AS dst, CAST(m.depth AS BIGINT) AS depth FROM edges e JOIN (SELECT id, min(depth) AS depth FROM r GROUP BY id) m ON e.dst = m.id WHERE e.type IN ('amends', 'replaces')")
 def amendment_chain(spark, d):
-    return G.reach(edges(spark, d), [1], 6, ["amends", "replaces"], reverse=True).select("id", "depth")
+    return G.chain(edges(spark, d), 1, ["amends", "replaces"])
 
 
-@register("related_documents", f"WITH RECURSIVE {EDGES}, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT 9 AS id, 0 AS depth UNION SELECT b.b, r.depth + 1 FROM r JOIN b ON b.a = r.id WHERE r.depth < 2) SELECT CAST(id AS BIGINT) AS id, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY id")
+@register(
+    "related_documents",
+    f"""WITH RECURSIVE {EDGES}, f AS (SELECT 40 AS id, 0 AS depth UNION SELECT e.dst, f.depth + 1 FROM f JOIN edges e ON e.src = f.id WHERE f.depth < 2), b AS (SELECT 40 AS id, 0 AS depth UNION SELECT e.src, b.depth + 1 FROM b JOIN edges e ON e.dst = b.id WHERE b.depth < 2)
+    SELECT e.src, e.dst, e.type, 'forward' AS direction FROM edges e JOIN f ON e.src = f.id WHERE f.depth < 2 UNION SELECT e.src, e.dst, e.type, 'backward' FROM edges e JOIN b ON e.dst = b.id WHERE b.depth < 2""",
+)
 def related_documents(spark, d):
-    return G.reach(edges(spark, d), [9], 2, both=True).select("id", "depth")
+    """A part has one half and no node is reached twice, so the edges of the search trees are all edges of the walks."""
+    return G.related(edges(spark, d), 40, 2)
 
 
-@register("shortest_path", "SELECT CAST(step AS BIGINT) AS step, CAST(id AS BIGINT) AS id FROM (VALUES (0, 9), (1, 4), (2, 2), (3, 5), (4, 11)) v(step, id)")
+@register(
+    "shortest_path",
+    f"""WITH RECURSIVE {EDGES}, r AS (SELECT max(p_partkey) AS id, 0 AS step, CAST(NULL AS VARCHAR) AS type FROM part UNION SELECT e.dst, r.step + 1, e.type FROM r JOIN edges e ON e.src = r.id WHERE r.id <> 1)
+    SELECT CAST(step AS BIGINT) AS step, CAST(id AS BIGINT) AS id, type FROM r""",
+)
 def shortest_path(spark, d):
-    """From part 9 to part 11: up to their common ancestor and down again."""
-    return G.shortest_path(edges(spark, d), 9, 11).select("step", "id")
+    """From the part with the largest number along the edges to part 1."""
+    last = load(spark, d, "part").agg(F.max("p_partkey")).first()[0]
+    return G.shortest_path(edges(spark, d), last, 1)
 
 
 @register("graph_stats", f"WITH {EDGES}, {NODES} SELECT 'node' AS of, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type")
@@ -70,13 +84,8 @@ def edge_upsert(spark, d):
     return G.upsert_edges(e, ["k"])
 
 
-@register("placeholder_nodes", f"WITH {EDGES}, {NODES}, n AS (SELECT id, type FROM nodes WHERE id % 2 = 0) SELECT * FROM n UNION ALL SELECT DISTINCT x, 'unknown' FROM (SELECT src AS x FROM edges UNION SELECT dst FROM edges) WHERE x NOT IN (SELECT id FROM n)")
+@register("placeholder_nodes", f"WITH {NODES}, e AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem) SELECT id, type FROM nodes UNION ALL SELECT DISTINCT x, 'unknown' FROM (SELECT src AS x FROM e UNION SELECT dst FROM e) WHERE x NOT IN (SELECT id FROM nodes)")
 def placeholder_nodes(spark, d):
-    return G.with_placeholders(nodes(spark, d).where("id % 2 = 0"), edges(spark, d))
-
-
-@register("placeholder_nodes_whole", f"WITH {NODES}, e AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem) SELECT id, type FROM nodes UNION ALL SELECT DISTINCT x, 'unknown' FROM (SELECT src AS x FROM e UNION SELECT dst FROM e) WHERE x NOT IN (SELECT id FROM nodes)")
-def placeholder_nodes_whole(spark, d):
     """All parts, and edges from orders to parts: orders whose number is no part's are the bare ends."""
     return G.with_placeholders(nodes(spark, d), load(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")))
 

@@ -127,14 +127,8 @@ def validation_report(spark, d):
     return sums.select("documents", "labelled", F.round(F.try_divide("covered", "documents"), 6).alias("coverage"), "orphans", "without_vector", (F.col("orphans") == 0).alias("passed"))
 
 
-@register("full_outer_join", "WITH a AS (SELECT doc_id AS id, n_chars FROM documents WHERE doc_id % 3 = 0), b AS (SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 2 = 0) SELECT coalesce(a.id, b.id) AS id, n_chars, label FROM a FULL JOIN b ON a.id = b.id")
+@register("full_outer_join", "SELECT coalesce(doc_id, vec_id) AS id, n_chars, label FROM documents FULL JOIN embeddings ON doc_id = vec_id")
 def full_outer_join(spark, d):
-    a = load(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), "n_chars")
-    return a.join(load(spark, d, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), "label"), "id", "full")
-
-
-@register("full_outer_join_whole", "SELECT coalesce(doc_id, vec_id) AS id, n_chars, label FROM documents FULL JOIN embeddings ON doc_id = vec_id")
-def full_outer_join_whole(spark, d):
     """All documents and all vectors; the tables differ in size, so unmatched ends are real."""
     a = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
     return a.join(load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id", "full")
@@ -431,14 +425,8 @@ def ranking_metrics(spark, d):
     return X.ranking(res, gold, [1, 3, 5, 10, 20])
 
 
-@register("nulls_last_sort", "SELECT doc_id, label, n_chars FROM documents LEFT JOIN embeddings ON doc_id = vec_id ORDER BY label DESC NULLS LAST, doc_id LIMIT 30")
+@register("nulls_last_sort", "SELECT doc_id, label, n_chars FROM documents LEFT JOIN embeddings ON doc_id = vec_id ORDER BY label DESC NULLS LAST, doc_id")
 def nulls_last_sort(spark, d):
-    t = load(spark, d, "documents").join(load(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left").select("doc_id", "label", "n_chars")
-    return t.orderBy(F.desc_nulls_last("label"), "doc_id").limit(30)
-
-
-@register("nulls_last_sort_whole", "SELECT doc_id, label, n_chars FROM documents LEFT JOIN embeddings ON doc_id = vec_id ORDER BY label DESC NULLS LAST, doc_id")
-def nulls_last_sort_whole(spark, d):
     t = load(spark, d, "documents").join(load(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left").select("doc_id", "label", "n_chars")
     return t.orderBy(F.desc_nulls_last("label"), "doc_id")
 

@@ -45,13 +45,13 @@ def test_query(spark, sf, duck, name):
         assert rows(found, df.columns) == rows(want.fetchall(), names)
 
 
-def test_whole_tables_are_joined_and_sorted(spark, sf, duck):
+def test_tables_are_joined_and_sorted(spark, sf, duck):
     count = lambda sql: duck.execute(sql).fetchone()[0]
-    joined = {r.id for r in QUERIES["full_outer_join_whole"](spark, sf).collect()}
+    joined = {r.id for r in QUERIES["full_outer_join"](spark, sf).collect()}
     assert len(joined) == count("SELECT count(*) FROM (SELECT doc_id FROM documents UNION SELECT vec_id FROM embeddings)")
-    found = [tuple(r) for r in QUERIES["nulls_last_sort_whole"](spark, sf).collect()]
-    assert found == duck.execute(ORACLES["nulls_last_sort_whole"]).fetchall() and len(found) == count("SELECT count(*) FROM documents")
-    types = [r.type for r in QUERIES["placeholder_nodes_whole"](spark, sf).collect()]
+    found = [tuple(r) for r in QUERIES["nulls_last_sort"](spark, sf).collect()]
+    assert found == duck.execute(ORACLES["nulls_last_sort"]).fetchall() and len(found) == count("SELECT count(*) FROM documents")
+    types = [r.type for r in QUERIES["placeholder_nodes"](spark, sf).collect()]
     assert types.count("unknown") > 0 and len(types) - types.count("unknown") == count("SELECT count(*) FROM part")
 
 
