@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN_BREAK = r"[^\p{L}\p{N}_\s]"
 
@@ -81,6 +85,26 @@ def without_accents(c: Column | str) -> Column:
     return F.translate(col(c), ACCENTED, PLAIN)
 
 
+@F.pandas_udf(StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKC", t) if c.isprintable() or c in "\n\t"))
+
+
+def clean_contract(c: Column | str) -> Column:
+    """Compatibility forms composed, characters that can't be printed out, page marks and source lines to blanks, runs of dots to
+    one, blanks and blank lines squeezed, trimmed. ASCII texts stay in the JVM; only the others are normalised in Arrow batches."""
+    plain = F.regexp_replace(col(c), r"[\x00-\x08\x0b-\x1f\x7f]", "")
+    out = F.when(col(c).rlike(r"[^\x00-\x7F]"), _nfkc(col(c))).otherwise(plain)
+    for pattern, by in ((r"(?i)\bPage\s+\d+\s+of\s+\d+\b", " "), (r"(?i)Source:\s*[^\n]+", " "), (r"\.{3,}", "."), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")):
+        out = F.regexp_replace(out, pattern, by)
+    return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
+
+
+def segmented(c: Column | str, segmenter: Callable[[Column], Column] | None = None) -> Column:
+    """Words that belong together joined by a language's segmenter, an adapter from column to column; without one the text as it is."""
+    return col(c) if segmenter is None else segmenter(col(c))
+
+
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
 
@@ -120,6 +144,22 @@ def sentences(c: Column | str, least_chars: int = 0) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: F.length(s) > least_chars)
 
 
+#: Capitals that begin a sentence, with the marked ones of the corpus' language: fixed values.
+CAPITALS = "A-ZĐÁÀẢÃẠĂẮẰẲẴẶÂẤẦẨẪẬÉÈẺẼẸÊẾỀỂỄỆÍÌỈĨỊÓÒỎÕỌÔỐỒỔỖỘƠỚỜỞỠỢÚÙỦŨỤƯỨỪỬỮỰÝỲỶỸỴ"
+
+
+def sentences_before_capitals(c: Column | str, least_chars: int = 10) -> Column:
+    """Sentences that end in . ! or ? before white space and a capital or digit, and at line ends; trimmed, longer than least_chars."""
+    parts = F.split(F.coalesce(col(c), F.lit("")), rf"(?<=[.!?])\s+(?=[{CAPITALS}0-9])|\n+")
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > least_chars)
+
+
+def clauses(c: Column | str) -> Column:
+    """Parts that end in . ! ? or ; before white space, trimmed, without empty ones."""
+    parts = F.split(F.coalesce(col(c), F.lit("")), r"(?<=[.!?;])\s+")
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
 def sentences_by_words(c: Column | str, least: int = 5, most: int = 80) -> Column:
     return F.filter(sentences(c), lambda s: F.size(F.split(s, " ")).between(least, most))
 
@@ -172,6 +212,27 @@ def dmy_date(c: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", part(3), part(2), part(1)), "yyyy-M-d")
 
 
+def first_match(c: Column | str, pattern: str, most: int, cut: int = 50) -> Column:
+    """The pattern's first group in the first `most` characters (where the reference values stand), trimmed and cut; '' if absent."""
+    return F.left(F.trim(F.regexp_extract(F.left(F.coalesce(col(c), F.lit("")), F.lit(most)), pattern, 1)), F.lit(cut))
+
+
+def first_listed(c: Column | str, names: list[str], most: int) -> Column:
+    """The first of the names, in their order, that the first `most` characters contain in capitals; '' if none."""
+    head = F.upper(F.left(F.coalesce(col(c), F.lit("")), F.lit(most)))
+    out = F.lit("")
+    for name in reversed(names):
+        out = F.when(F.contains(head, F.lit(name)), name).otherwise(out)
+    return out
+
+
+def long_date(c: Column | str, pattern: str, most: int = 5000) -> Column:
+    """The date whose day, month and year are the groups of the pattern's first match; null where it is none."""
+    head = F.left(F.coalesce(col(c), F.lit("")), F.lit(most))
+    part = lambda i: F.regexp_extract(head, pattern, i)
+    return F.try_to_date(F.concat_ws("-", part(3), part(2), part(1)), "yyyy-M-d")
+
+
 def title_line(c: Column | str, fallback: Column, skip: str, least: int = 15, most: int = 500) -> Column:
     """The first line longer than `least` that doesn't match skip, else fallback, cut to `most` characters."""
     fit = F.filter(F.transform(F.split(col(c), "\n"), lambda s: F.trim(s)), lambda s: (F.length(s) > least) & ~s.rlike(skip))

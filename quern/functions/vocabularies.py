@@ -65,14 +65,46 @@ CONCEPTS = {
 }
 OTHER_CONCEPT = "khac"
 
-INTENTS = [
-    "hoi_dieu_khoan", "hoi_luat_moi", "tra_cuu_thong_tu", "tra_cuu_nghi_dinh", "tra_cuu_luat", "hoi_hieu_luc", "hoi_sua_doi", "hoi_dinh_nghia", "hoi_thu_tuc", "hoi_hinh_phat",
-    "hoi_quyen_loi", "hoi_nghia_vu", "hoi_bieu_phi", "hoi_thoi_han", "hoi_doi_tuong", "hoi_dieu_kien", "hoi_phan_biet", "hoi_so_sanh", "hoi_tom_tat", "hoi_tong_hop",
+#: References to legal texts by type; the first group is the reference's value.
+REFERENCES = {
+    "THONG_TU": r"(?iu)Thông\s+tư\s+(?:số\s+)?([\d/]+(?:/TT-(?U:\w)+)?)",
+    "NGHI_DINH": r"(?iu)Nghị\s+định\s+(?:số\s+)?([\d/]+(?:/NĐ-CP)?)",
+    "LUAT": r"(?iuU)Luật\s+([\w\s]+?)(?:\s+số\s+|năm|\d{4}|$)",
+    "DIEU": r"(?iu)Điều\s+(\d+)",
+    "KHOAN": r"(?iu)Khoản\s+(\d+)",
+    "DIEM": r"(?iu)Điểm\s+([a-zđ]+)",
+}
+
+#: Entities of questions by label.
+ENTITIES = {
+    "LUAT": r"(?iu)Luật\s+[A-ZÀ-Ỹ][a-zà-ỹ\s]+(?:\d{4})?",
+    "NGHI_DINH": r"(?iu)Nghị\s+định\s+(?:số\s+)?\d+/\d{4}/NĐ-CP",
+    "THONG_TU": r"(?iu)Thông\s+tư\s+(?:số\s+)?\d+/\d{4}/(?:TT-BTC|TT-BLĐTBXH|TT-BTP|TT-BTNMT)",
+    "DIEU": r"(?iu)Điều\s+\d+(?:\.\d+)?",
+    "KHOAN": r"(?iu)khoản\s+\d+",
+    "DIEM": r"(?iu)điểm\s+[a-zđ]",
+    "NGAY_THANG": r"\d{1,2}/\d{1,2}/\d{4}",
+}
+
+#: What an entity of a question says of the documents that can answer it.
+ENTITY_FILTERS = {"LUAT": "luat", "NGHI_DINH": "nghi_dinh", "THONG_TU": "thong_tu"}
+
+#: A document's number, its date of issue, and the date it ceases to be in force.
+DOCUMENT_NUMBER = r"(?iu)Số[:\s]+([0-9][^\n]{0,60})"
+ISSUE_DATE = r"(?iu)ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
+EXPIRY_DATE = r"(?iu)hết\s+hiệu\s+lực[^.]{0,60}ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
+
+#: Issuing bodies; the first of these that a head of a document names is taken.
+ISSUING_BODIES = [
+    "QUỐC HỘI", "ỦY BAN THƯỜNG VỤ QUỐC HỘI", "CHỦ TỊCH NƯỚC",
+    "CHÍNH PHỦ", "THỦ TƯỚNG CHÍNH PHỦ", "NGÂN HÀNG NHÀ NƯỚC",
+    "BỘ TÀI CHÍNH", "BỘ TƯ PHÁP", "BỘ LAO ĐỘNG", "BỘ CÔNG THƯƠNG",
+    "BỘ Y TẾ", "BỘ GIÁO DỤC", "BỘ CÔNG AN", "BỘ QUỐC PHÒNG",
+    "BỘ KẾ HOẠCH VÀ ĐẦU TƯ", "BỘ TÀI NGUYÊN VÀ MÔI TRƯỜNG",
 ]
-DEFAULT_INTENT = "hoi_tong_hop"
-ENTITY_TYPES = ["LUAT", "THONG_TU", "NGHI_DINH", "DIEU", "KHOAN", "DIEM", "CO_QUAN", "KHAISUAT", "NGAY_THANG"]
-RELATION_TYPES = ["DUA_TREN", "THAM_CHIEU", "HET_HIEU_LUC", "THAY_THE", "SUA_DOI_BO_SUNG", "HUONG_DAN", "CHUA"]
-DOCUMENT_TYPES = ["hien_phap", "bo_luat", "luat", "nghi_dinh", "thong_tu", "quyet_dinh", "nghi_quyet"]
+
+#: Lines that are no title.
+NO_TITLE = r"(?iu)^(Số|www|http|Copyright|©|\d{1,4}$|Độc\s+lập|Cộng\s+hòa)"
 
 #: Header lines of a law, from the outermost level in: part, chapter, section, article, clause, point.
 LAW_LEVELS = [r"(?iu)^\s*phần\s+thứ", r"(?iu)^\s*chương\s+[ivxlc\d]+", r"(?iu)^\s*mục\s+\d+", r"(?iu)^\s*điều\s+\d+", r"^\s*\d+\.\s", r"^\s*[a-zđ]\)\s"]

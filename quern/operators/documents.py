@@ -244,3 +244,46 @@ def distinct_by_signature(docs: DataFrame, chars: int = 100, id_col: str = "doc_
     """Of rows whose texts start alike, the one with the smallest id; hashed before the shuffle, so texts stay where they are."""
     keys = docs.groupBy(F.md5(F.left(F.coalesce(text_col, F.lit("")), F.lit(chars))).alias("_k")).agg(F.min(id_col).alias(id_col))
     return docs.join(keys.select(id_col), id_col, "left_semi")
+
+
+def typed_values(docs: DataFrame, patterns: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, type, value, full, start, end) of every typed pattern, value being its first group (the whole match without one)."""
+    found = references(docs, patterns, id_col, text_col)
+    value = F.col("value")
+    for kind, pattern in patterns.items():
+        if "(" in pattern.replace("(?", ""):
+            value = F.when(F.col("type") == kind, F.trim(F.regexp_extract("value", pattern, 1))).otherwise(value)
+    return found.select("doc_id", "type", value.alias("value"), F.col("value").alias("full"), "start", "end")
+
+
+def metadata(docs: DataFrame, number: str, issued: str, ended: str, bodies: list[str], no_title: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, title, number, body, effective, expiry): what the head of a document says of it; '' or null where it says nothing."""
+    return docs.select(
+        F.col(id_col).alias("doc_id"), T.title_line(text_col, F.col(id_col).cast("string"), no_title).alias("title"), T.first_match(text_col, number, 3000).alias("number"),
+        T.first_listed(text_col, bodies, 3000).alias("body"), T.long_date(text_col, issued).alias("effective"), T.long_date(text_col, ended).alias("expiry"),
+    )
+
+
+def with_parents(sections: DataFrame, version: str = "version", key: str = "key", parent_key: str = "parent_key", id_col: str = "section_id") -> DataFrame:
+    """sections with parent_id: the id of the last earlier section of the same version that has the parent's key; null if there is none."""
+    named = sections.where(F.col(key).isNotNull()).select(F.col(version).alias("_v"), F.col(key).alias("_k"), F.col(id_col).alias("_id"))
+    near = sections.join(named, (F.col(version) == F.col("_v")) & (F.col(parent_key) == F.col("_k")) & (F.col("_id") < F.col(id_col)), "left")
+    best = near.groupBy(F.col(id_col)).agg(F.max("_id").alias("parent_id"))
+    return sections.join(best, id_col)
+
+
+def tag_rows(tagged: DataFrame, id_col: str, names: list[str]) -> DataFrame:
+    """(id, name, value) of the columns that hold something: one row for each tag, arrays one for each element."""
+    cell = lambda c: F.col(c) if tagged.schema[c].dataType.typeName() == "array" else F.array(F.col(c))
+    named = lambda c: F.transform(cell(c), lambda v: F.struct(F.lit(c).alias("name"), v.cast("string").alias("value")))
+    each = F.flatten(F.array(*[named(c) for c in names]))
+    return tagged.select(id_col, F.explode(F.filter(each, lambda x: F.coalesce(x["value"], F.lit("")) != "")).alias("t")).select(id_col, "t.*")
+
+
+def pages_of(pages: DataFrame, noise: list[str], id_col: str = "doc_id", page: str = "page", text_col: str = "text", least: int = 50, looked: int = 3) -> DataFrame:
+    """(doc_id, text, needs_ocr): pages in order without noise lines, joined; a document whose first pages have fewer than `least`
+    characters on average needs character recognition, which is an adapter's work."""
+    rows = pages.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.coalesce(text_col, F.lit("")).alias("t")))).alias("o"))
+    heads = F.slice("o", 1, looked)
+    mean = F.aggregate(heads, F.lit(0).cast("long"), lambda a, x: a + F.length(F.trim(x["t"]))) / F.greatest(F.size(heads), F.lit(1))
+    return rows.select(id_col, F.array_join(F.transform("o", lambda x: T.drop_noise_lines(x["t"], noise)), "\n").alias("text"), (mean < least).alias("needs_ocr"))

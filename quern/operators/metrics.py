@@ -146,3 +146,29 @@ def _longest_common_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 def longest_common(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two arrays of any length; 0 where one is null."""
     return _longest_common_udf(a, b)
+
+
+def single_gold(results: DataFrame, gold: DataFrame, ks: list[int], words: int = 4) -> DataFrame:
+    """One row for queries with one right answer: n, found, mean rank of the found ones, recall and MRR at each k, and the share of
+    queries one of whose first 5 and 10 results has `words` of the answer's words in a row.
+
+    results (query, id, rank, text), gold (query, id, answer). Words are lower case and parted by white space; an answer of fewer
+    words counts as a whole.
+    """
+    flat = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " ")), F.lit(" "))
+    said = F.split(F.trim(flat(F.col("answer"))), " ")
+    runs = F.when(F.size(said) >= words, F.transform(F.sequence(F.lit(1), F.size(said) - (words - 1)), lambda i: F.array_join(F.slice(said, i, words), " "))).otherwise(F.array(F.trim(flat(F.col("answer")))))
+    asked = gold.select("query", F.col("id").alias("gold"), F.filter(runs, lambda r: r != "").alias("runs"))
+    each = asked.join(results.select("query", "id", "rank", flat(F.col("text")).alias("t")), "query", "left")
+    overlap = F.exists("runs", lambda r: F.contains("t", r))
+    per = each.groupBy("query").agg(
+        F.min(F.when(F.col("id") == F.col("gold"), F.col("rank"))).alias("at"), *[F.max(F.coalesce(overlap & (F.col("rank") <= k), F.lit(False)).cast("int")).alias(f"o{k}") for k in (5, 10)]
+    )
+    at = [F.round(F.avg(F.coalesce((F.col("at") <= k).cast("double"), F.lit(0.0))), 6).alias(f"recall_{k}") for k in ks]
+    mrr = [F.round(F.avg(F.when(F.col("at") <= k, 1 / F.col("at")).otherwise(0.0)), 6).alias(f"mrr_{k}") for k in ks]
+    return per.agg(F.count("*").alias("n"), F.count("at").alias("found"), F.round(F.avg("at"), 6).alias("mean_rank"), *at, *mrr, *[F.round(F.avg(f"o{k}"), 6).alias(f"overlap_{k}") for k in (5, 10)])
+
+
+def means_per_group(scores: DataFrame, group: str, measures: list[str], digits: int = 4) -> DataFrame:
+    """(group, n, mean of every measure, rounded); rows without a group are left out."""
+    return scores.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), *[F.round(F.avg(m), digits).alias(m) for m in measures])

@@ -156,3 +156,43 @@ def guided(scored: DataFrame, clauses: DataFrame, least: float = 0.35, share: fl
     good = F.filter(best, lambda b: -b["low"] >= least)
     cap = F.greatest(F.lit(1), F.round(F.size("ss") * F.lit(share)).cast("int"))
     return rows.select("doc_id", F.explode(F.slice(F.array_sort(good), F.lit(1), cap)).alias("b")).select("doc_id", "b.clause", "b.idx", "b.sentence", F.round(-F.col("b.low"), 6).alias("score"))
+
+
+LEGAL_WEIGHTS = (0.4, 0.4, 0.2)
+
+
+def legal_summaries(docs: DataFrame, question: str = "", k: int = 4, gap: int = 0, weights: tuple[float, float, float] = LEGAL_WEIGHTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, sentences, chosen, summary): of sentences that end before capitals the k best by relevance to the question (all alike
+    without one), centrality and position, in reading order and more than `gap` apart. Texts of k sentences or fewer are kept whole.
+    Of equal sentences the later one is taken first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, ss in zip(batch["doc_id"], batch["ss"]):
+                ss = list(ss)
+                if len(ss) <= k:
+                    out.append((key, len(ss), list(range(len(ss))), " ".join(ss)))
+                    continue
+                unit, _ = _matrix(ss)
+                asked, _ = _matrix([question, *ss])
+                relevance = asked[1:] @ asked[0] if question else np.ones(len(ss))
+                i = np.arange(len(ss))
+                place = (1 / (1 + 0.1 * i) + np.where(i == 0, 0.3, np.where(i == 1, 0.15, 0.0))) / 1.3
+                whole = weights[0] * relevance + weights[1] * power_rank(unit) + weights[2] * place
+                taken: list[int] = []
+                for at in np.argsort(whole, kind="stable")[::-1].tolist():
+                    if len(taken) < k and not (gap and any(abs(at - t) <= gap for t in taken)):
+                        taken.append(at)
+                taken.sort()
+                out.append((key, len(ss), taken, " ".join(ss[t] for t in taken)))
+            yield pd.DataFrame(out, columns=["doc_id", "sentences", "chosen", "summary"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), T.sentences_before_capitals(text_col).alias("ss"))
+    return rows.mapInPandas(run, "doc_id long, sentences long, chosen array<long>, summary string")
+
+
+def reference_texts(cells: DataFrame, id_col: str, at: list[str], value: str = "value") -> DataFrame:
+    """(id, reference): a document's clauses in the order of their place, each once, joined by blanks."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*at, value))), lambda x: x[value])
+    return cells.groupBy(id_col).agg(F.array_join(F.array_distinct(ordered), " ").alias("reference"))

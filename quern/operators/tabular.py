@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.lineage import cut
+
 
 # --- joins ----------------------------------------------------------------------------------------------------------
 
@@ -238,3 +240,50 @@ def sliding(events: DataFrame, time: str, width: str, step: str, *keys: str, agg
 
 def sessions(events: DataFrame, time: str, gap: str, *keys: str, aggs: list[Column]) -> DataFrame:
     return events.groupBy(F.session_window(F.col(time).cast("timestamp"), gap).alias("w"), *keys).agg(*aggs)
+
+
+def delay_status(minutes: Column, four: bool = False) -> Column:
+    """LATE, EARLY or ON_TIME by a quarter of an hour either way; with four, early, on time, a moderate or a severe delay (over an hour)."""
+    if four:
+        return F.when(minutes <= -15, "EARLY").when(minutes <= 15, "ON_TIME").when(minutes <= 60, "MODERATE_DELAY").when(minutes > 60, "SEVERE_DELAY")
+    return F.when(minutes > 15, "LATE").when(minutes < -15, "EARLY").when(minutes.isNotNull(), "ON_TIME")
+
+
+def kept_rows(df: DataFrame, deleted: str | None = None, active: str | None = None) -> DataFrame:
+    """Rows that are not marked as deleted and, where named, are marked as active; an unset mark counts as not deleted and not active."""
+    rows = df if deleted is None else df.where(F.col(deleted).isNull())
+    return rows if active is None else rows.where(F.coalesce(F.col(active), F.lit(False)))
+
+
+def uploads(files: DataFrame, suffixes: list[str], name: str = "name") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): files whose suffix is allowed, and the others with an error; rows without a name are in neither."""
+    suffix = F.lower(F.regexp_extract(F.regexp_extract(name, r"([^/\\\\]*)$", 1), r".(\.[^.]*)$", 1))
+    rows = files.where(F.coalesce(F.col(name), F.lit("")) != "").withColumn("suffix", suffix)
+    fits = F.col("suffix").isin(*suffixes)
+    return rows.where(fits), rows.where(~fits).withColumn("error", F.concat(F.lit("Unsupported file type: "), F.col("suffix")))
+
+
+def natural_key_ids(target: DataFrame, source: DataFrame, key: str, id_col: str = "id", order: str | None = None) -> DataFrame:
+    """source with ids: that of the target's row with the same key (the smallest), one new id for all rows that share a key the target
+    lacks, and one for each row without a key. New ids follow the target's largest, by key, then by order."""
+    known = target.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.min(id_col).alias("_old"))
+    rows = source.join(known, key, "left")
+    bare = F.coalesce(F.col(key), F.lit("")) == ""
+    place = F.when(bare, F.struct(F.lit(1).alias("b"), F.lit("").alias("k"), F.col(order or key).cast("string").alias("o"))).otherwise(F.struct(F.lit(0).alias("b"), F.col(key).cast("string").alias("k"), F.lit("").alias("o")))
+    fresh = rows.where("_old is null").withColumn("_place", place)
+    places = fresh.select("_place").distinct()
+    # New keys are numbered without one sorted window over all of them: range partitions are counted, then numbered from their offsets.
+    ordered = cut(places.repartitionByRange("_place").withColumn("_part", F.spark_partition_id()))
+    sizes = {r["_part"]: r["count"] for r in ordered.groupBy("_part").count().collect()}  # as many rows as partitions
+    before, offsets = 0, []
+    for part in sorted(sizes):
+        offsets.append((part, before))
+        before += sizes[part]
+    top = target.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).first()[0]
+    numbered = (
+        ordered.join(F.broadcast(target.sparkSession.createDataFrame(offsets or [(0, 0)], "_part int, _before long")), "_part")
+        .withColumn("_new", F.row_number().over(Window.partitionBy("_part").orderBy("_place")) + F.col("_before") + F.lit(top))
+        .select("_place", "_new")
+    )
+    out = rows.where("_old is not null").withColumn(id_col, F.col("_old").cast("long")).drop("_old")
+    return out.unionByName(fresh.join(numbered, "_place").withColumn(id_col, F.col("_new").cast("long")).drop("_old", "_new", "_place"))

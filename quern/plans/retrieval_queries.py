@@ -87,7 +87,7 @@ def active_first(spark, d):
 
 @register(
     "entity_filters",
-    "WITH e AS (SELECT l_orderkey AS id, l_linenumber AS at, l_returnflag AS type FROM lineitem WHERE l_returnflag IN ('R', 'A')) SELECT id, CASE arg_max(type, (at, type)) WHEN 'R' THEN 'law' ELSE 'decree' END AS doc_type FROM e GROUP BY id",
+    "WITH e AS (SELECT l_orderkey AS id, l_linenumber AS pos, l_returnflag AS type FROM lineitem WHERE l_returnflag IN ('R', 'A')) SELECT id, CASE arg_max(type, (pos, type)) WHEN 'R' THEN 'law' ELSE 'decree' END AS doc_type FROM e GROUP BY id",
 )
 def entity_filters(spark, d):
     e = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("start"), F.col("l_returnflag").alias("type"))
@@ -197,9 +197,6 @@ def relabelled_gold(spark, d):
     return R.relabel(rows, rule)
 
 
-@register(
-    "cross_reference_sections",
-    r"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '(?:[Ss]ection|§)\s*(\d+(?:\.\d+)*)', 1))) AS refs FROM documents WHERE regexp_matches(text, '(?:[Ss]ection|§)\s*\d')",
-)
+@register("cross_reference_sections", r"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, 'mail(\d+)', 1))) AS refs FROM documents WHERE regexp_matches(text, 'mail\d')")
 def cross_reference_sections(spark, d):
-    return load(spark, d, "documents").where(F.col("text").rlike(r"(?:[Ss]ection|§)\s*\d")).select("doc_id", T.cross_references("text").alias("refs"))
+    return load(spark, d, "documents").where(F.col("text").rlike(r"mail\d")).select("doc_id", T.cross_references("text", r"mail(\d+)").alias("refs"))

@@ -58,11 +58,11 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def parse(files: DataFrame) -> DataFrame:
     """(path, format, text, error) of (path, content) rows, batch or streaming; text and HTML in the JVM, the rest by adapters.
 
-    Text without an adapter here (PDF without its library) is null with an error; callers keep rows with text and write
+    Bad bytes of a text are replaced, so no file stops the others. Text without an adapter here (PDF without its library) is null with an error; callers keep rows with text and write
     the others to a dead-letter table.
     """
     rows = files.select("path", "content", detect_format("path").alias("format"))
-    plain = F.decode("content", "UTF-8")
+    plain = F.make_valid_utf8(F.col("content").cast("string"))  # bad bytes become replacement characters
     native = rows.where(F.col("format").isin("text", "html")).select(
         "path", "format", F.when(F.col("format") == "html", T.html_text(plain)).otherwise(plain).alias("text"), F.lit(None).cast("string").alias("error")
     )

@@ -52,6 +52,20 @@ def delete_from(spark, path: str, gone: DataFrame, keys: list[str]) -> int:
     return write_table(B.delete_keys(read_table(spark, path), gone, keys), path)
 
 
+def replace_in(source: DataFrame, path: str, gone: DataFrame, keys: list[str]) -> int:
+    """A new version of a table without the rows whose keys are in `gone`, and with those of source."""
+    target = read_table(source.sparkSession, path)
+    return write_table(source if target is None else B.delete_keys(target, gone, keys).unionByName(source), path)
+
+
+def expire(spark, path: str, keep: int = 3) -> None:
+    """Removes all but the last `keep` whole versions; readers of the newest one are not disturbed."""
+    jvm = spark.sparkContext._jvm
+    for version in _versions(spark, path)[:-keep]:
+        old = jvm.org.apache.hadoop.fs.Path(f"{path}/v{version:010d}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def write_json_splits(df: DataFrame, path: str, id_col: str, shares: list[tuple[str, float]]) -> None:
     """JSON lines under one folder for each part of a split by hash."""
     df.withColumn("split", B.hash_split(id_col, shares)).write.mode("overwrite").partitionBy("split").json(path)
@@ -70,3 +84,15 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **opti
 def match_report(df: DataFrame, path: str) -> None:
     """A line of text for each document and algorithm."""
     df.select(F.format_string("%d\t%s\t%d matches\t%d comparisons", "id", "algorithm", "matches", "comparisons").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_evaluation(summary: DataFrame, per_group: DataFrame, path: str, name: str) -> None:
+    """An evaluation as JSON: one object with the method, its summary and its rows for each group (as few as groups are named)."""
+    whole = summary.select(F.lit(name).alias("method"), F.struct(*summary.columns).alias("summary"))
+    groups = per_group.agg(F.array_sort(F.collect_list(F.struct(*per_group.columns))).alias("groups"))
+    whole.crossJoin(groups).coalesce(1).write.mode("overwrite").json(path)  # one row by one row
+
+
+def write_tags(tags: DataFrame, path: str, keys: list[str]) -> int:
+    """Upserts (id, name, value) rows of tags into a versioned table, by their keys."""
+    return merge_into(tags, path, keys)

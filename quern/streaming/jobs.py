@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quern.functions import text as T
 from quern.operators import documents as D
+from quern.operators import retrieval
+from quern.operators.lineage import cut
 from quern.sources import sinks
 from quern.sources.files import parse
 
@@ -24,31 +26,37 @@ def file_stream(spark: SparkSession, path: str, pattern: str = "*", per_batch: i
     return reader.load(path)
 
 
-def store_documents(target: str) -> Callable[[DataFrame, int], None]:
+def store_documents(target: str, index: bool = False) -> Callable[[DataFrame, int], None]:
     """A batch function: parse, clean and chunk files, and upsert documents and chunks by path and content.
 
-    The same files in any number of batches, or a batch that runs twice, leave the same tables. Files without text go to a
-    dead-letter table with the reason.
+    A batch is parsed once, into a checkpointed table. A document that is seen again replaces all its chunks; files without
+    text go to a dead-letter table with the reason, and leave it when they come back with text. The same files in any number
+    of batches, or a batch that runs twice, leave the same tables. With index, a batch's documents become a segment of a
+    search index under its number.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         hashes = batch.select("path", F.sha2("content", 256).alias("version"), "modificationTime")
-        parsed = parse(batch).join(hashes, "path")
+        parsed = cut(parse(batch).join(hashes, "path"))
         said = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
-        good = parsed.where(said)
+        good, bad = parsed.where(said), parsed.where(~said)
         docs = good.select(F.sha2("path", 256).alias("doc_id"), "path", "format", "version", F.col("modificationTime").alias("seen_at"), T.clean_lines("text").alias("text"))
         sinks.merge_into(docs, f"{target}/documents", ["doc_id"])
         chunks = docs.select("doc_id", F.posexplode(D.sentence_window(T.sentences("text"), least=1)).alias("chunk", "text"))
-        sinks.merge_into(chunks.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "text"), f"{target}/chunks", ["doc_id", "chunk"])
-        bad = parsed.where(~said)
-        sinks.merge_into(bad.select("path", F.coalesce("error", F.lit("no text")).alias("error")), f"{target}/dead_letters", ["path"])
+        sinks.replace_in(chunks.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "text"), f"{target}/chunks", docs.select("doc_id"), ["doc_id"])
+        sinks.replace_in(bad.select("path", F.coalesce("error", F.lit("no text")).alias("error")), f"{target}/dead_letters", parsed.select("path"), ["path"])
+        if index:
+            retrieval.write_segment(docs.select("doc_id", "text"), f"{target}/index", batch_id)
+        for table in ("documents", "chunks", "dead_letters"):
+            sinks.expire(spark, f"{target}/{table}")
 
     return run
 
 
-def start_documents(spark: SparkSession, source: str, target: str, checkpoint: str, seconds: int | None = None, **options) -> StreamingQuery:
+def start_documents(spark: SparkSession, source: str, target: str, checkpoint: str, seconds: int | None = None, index: bool = False, **options) -> StreamingQuery:
     """The document job: every `seconds`, or once over what is there."""
-    writer = file_stream(spark, source, **options).writeStream.foreachBatch(store_documents(target)).option("checkpointLocation", checkpoint)
+    writer = file_stream(spark, source, **options).writeStream.foreachBatch(store_documents(target, index)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
 
 

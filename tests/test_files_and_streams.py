@@ -5,6 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from quern.operators import retrieval as R
 from quern.sources import files, sinks
 from quern.streaming import jobs
 
@@ -84,3 +85,50 @@ def test_docx_without_document_part_is_a_dead_letter(spark):
         z.writestr("other.xml", "<a/>")
     row = files.parse(spark.createDataFrame([("x.docx", data.getvalue()), ("y.txt", None)], "path string, content binary")).orderBy("path").collect()
     assert row[0].error and row[1].text is None
+
+
+def test_bad_bytes_are_replaced(spark):
+    row = files.parse(spark.createDataFrame([("a.txt", b"caf\xe9 ok"), ("b.html", b"<p>x\xff</p>")], "path string, content binary")).orderBy("path").collect()
+    assert row[0].text == "caf� ok" and row[1].text == "x�" and row[0].error is None
+
+
+def test_documents_that_shrink_and_files_that_are_repaired(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+    run = jobs.store_documents(out, index=True)
+    batch = lambda *rows: spark.createDataFrame(list(rows), "path string, content binary").selectExpr("path", "current_timestamp() as modificationTime", "length(content) as length", "content")
+    long = " ".join(f"Sentence number {i} of a long document with several words in it." for i in range(400)).encode()
+    run(batch(("a.txt", long), ("b.pdf", b"broken"), ("c.txt", b"A license here.")), 0)
+    chunks = lambda: sinks.read_table(spark, f"{out}/chunks").count()
+    assert chunks() > 2 and sinks.read_table(spark, f"{out}/dead_letters").count() == 1
+    for n in (1, 1, 2, 3, 4):  # a batch may run twice
+        run(batch(("a.txt", b"Short now."), ("b.pdf", b"broken")), n)
+    assert chunks() == 2 and sinks.read_table(spark, f"{out}/documents").count() == 2
+    assert len(list((tmp_path / "out" / "documents").iterdir())) == 3
+    run(batch(("b.pdf", b"")), 5)
+    assert sinks.read_table(spark, f"{out}/dead_letters").count() == 1
+    docs = {r.path: r.doc_id for r in sinks.read_table(spark, f"{out}/documents").collect()}
+    hits = lambda q: [r.doc_id for r in R.search_index(spark, f"{out}/index", q).collect()]
+    assert hits("license") == [docs["c.txt"]] and hits("short") == [docs["a.txt"]] and hits("number") == [] and hits("...") == []
+
+
+def test_index_segments(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    docs = spark.createDataFrame([(1, "red apple"), (2, "green apple apple"), (3, None)], "doc_id long, text string")
+    assert R.index_all(docs, path) == 0 and R.index_all(docs, path) is None and R.index_all(docs, path, force=True) == 1
+    assert [r.doc_id for r in R.search_index(spark, path, "apple red").collect()] == [1, 2]
+    R.write_segment(docs.where("doc_id = 2").selectExpr("doc_id", "'blue' as text"), path, gone=docs.where("doc_id = 1").select("doc_id"))
+    assert R.search_index(spark, path, "apple").count() == 0 and [r.doc_id for r in R.search_index(spark, path, "blue").collect()] == [2]
+    assert sorted(r.doc_id for r in R.live_documents(spark, path).collect()) == [2, 3]
+
+
+def test_evaluation_and_tags(spark, tmp_path):
+    import json
+
+    one = spark.createDataFrame([(3, 0.5)], "n long, mrr double")
+    sinks.write_evaluation(one, spark.createDataFrame([("a", 1), ("b", 2)], "source string, n long"), f"file://{tmp_path}/e", "bm25")
+    text = "".join(p.read_text() for p in (tmp_path / "e").glob("*.json"))
+    assert json.loads(text) == {"method": "bm25", "summary": {"n": 3, "mrr": 0.5}, "groups": [{"source": "a", "n": 1}, {"source": "b", "n": 2}]}
+    tags = spark.createDataFrame([(1, "lang", "en")], "doc_id long, name string, value string")
+    for value in ("en", "de"):
+        sinks.write_tags(tags.withColumn("value", F.lit(value)), f"file://{tmp_path}/tags", ["doc_id", "name"])
+    assert [tuple(r) for r in sinks.read_table(spark, f"file://{tmp_path}/tags").collect()] == [(1, "lang", "de")]
