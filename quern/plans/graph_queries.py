@@ -100,7 +100,11 @@ def graph_relations(spark, d):
     return G.relations(load(spark, d, "documents"), {"licensed": "Licensed under", "worked": "This work is licensed"}, r"(?:GNU|CC|MIT|Apache)[A-Za-z -]{0,20}[0-9.]*")
 
 
-@register("question_graph")
+@register(
+    "question_graph",
+    r"""WITH p AS (SELECT q.conv_id || '-' || q.turn AS id, q.text AS question, a.text AS answer FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn - 1 = q.turn WHERE q.role = 'user' AND a.role = 'assistant')
+    SELECT 'q:' || id AS src, 'a:' || id AS dst, 'answered_by' AS type FROM p WHERE question IS NOT NULL AND answer IS NOT NULL UNION ALL SELECT 'a:' || id, unnest(list_distinct(list_transform(list_filter(regexp_extract_all(answer, '[\p{L}\p{Nd}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{9,}')), lambda x: lower(x)))), 'cites' FROM p""",
+)
 def question_graph(spark, d):
     c = load(spark, d, "conversations")
     pairs = c.where("role = 'user'").select("conv_id", F.col("turn").alias("t"), F.col("text").alias("q")).join(c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("t"), F.col("text").alias("a")), ["conv_id", "t"])

@@ -73,6 +73,37 @@ def retrieval_cascade(spark, d):
     return R.cascade(hybrid=lambda: near().limit(0), lexical=lambda: _lexical(spark, d), vector=near)
 
 
+_GRAMS = r"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_LIKE = "round(len(list_intersect({g}, q)) / greatest(len({g}) + len(q) - len(list_intersect({g}, q)), 1)::DOUBLE, 6)"
+PROBE = "license token"
+
+
+@register(
+    "hybrid_rrf4_lists",
+    f"""WITH q AS (SELECT {_GRAMS.format(f"'{PROBE}'")} AS q, {_GRAMS.format("'src1'")} AS t), vc AS ({NEAR} ORDER BY score DESC, id LIMIT 200), vec AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM vc),
+    g AS (SELECT doc_id AS id, {_GRAMS.format("coalesce(text, '')")} AS g, {_GRAMS.format("coalesce(source, '')")} AS h, text, lang FROM documents),
+    tri AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (SELECT id, {_LIKE.format(g="g")} AS s FROM g, q) WHERE s > 0.005 QUALIFY rank <= 200),
+    tit AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (SELECT id, {_LIKE.format(g="h").replace("q)", "t)").replace("len(q", "len(t")} AS s FROM g, q) WHERE s > 0.15 QUALIFY rank <= 200),
+    ph AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (SELECT id, max(s) AS s FROM (SELECT id, w, {_LIKE.format(g="wg")} AS s FROM (SELECT id, w, {_GRAMS.format("w")} AS wg FROM (SELECT DISTINCT id, unnest(regexp_extract_all(text, '(?:licen[a-z]+|token)')) AS w FROM g)), q) WHERE s >= 0.3 GROUP BY id) QUALIFY rank <= 200),
+    u AS (SELECT id, 'vector' AS s, rank, 0.50 / (60 + rank) AS p FROM vec UNION ALL SELECT id, 'trigram', rank, 0.18 / (60 + rank) FROM tri UNION ALL SELECT id, 'title', rank, 0.22 / (60 + rank) FROM tit UNION ALL SELECT id, 'phrase', rank, 0.10 / (60 + rank) FROM ph),
+    f AS (SELECT id, round(sum(p), 6) AS score, min(rank) FILTER (s = 'vector') AS vector_rank, min(rank) FILTER (s = 'trigram') AS trigram_rank, min(rank) FILTER (s = 'title') AS title_rank, min(rank) FILTER (s = 'phrase') AS phrase_rank FROM u GROUP BY id)
+    SELECT f.id, round(f.score + CASE WHEN d.lang = 'en' THEN 0.005 ELSE 0.0 END, 6) AS score, vector_rank, trigram_rank, title_rank, phrase_rank FROM f JOIN documents d ON d.doc_id = f.id ORDER BY score DESC, f.id LIMIT 20""",
+)
+def hybrid_rrf4_lists(spark, d):
+    """Vector, text trigrams, title trigrams (of the source) and phrases, each a list of 200, and 0.005 more for roots (English texts)."""
+    docs = load(spark, d, "documents")
+    like = lambda c, q, least: docs.select(F.col("doc_id").alias("id"), F.round(T.trigram_similarity(F.coalesce(c, F.lit("")), F.lit(q)), 6).alias("s")).where(F.col("s") > least)
+    words = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?:licen[a-z]+|token)"), F.lit(0)))).alias("w"))
+    phrases = words.select("id", F.round(T.trigram_similarity("w", F.lit(PROBE)), 6).alias("s")).where("s >= 0.3").groupBy("id").agg(F.max("s").alias("s"))
+    lists = [
+        ("vector", 0.50, S.ranked(S.nearest_to_row(load(spark, d, "embeddings"), 0, 200), "score", "id", 200)), ("trigram", 0.18, S.ranked(like(F.col("text"), PROBE, 0.005), "s", "id", 200)),
+        ("title", 0.22, S.ranked(like(F.col("source"), "src1", 0.15), "s", "id", 200)), ("phrase", 0.10, S.ranked(phrases, "s", "id", 200)),
+    ]
+    fused = S.fuse(lists, 1000)  # four lists of 200
+    roots = docs.select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", 0.005).otherwise(0.0).alias("more"))
+    return fused.join(roots, "id").withColumn("score", F.round(F.col("score") + F.col("more"), 6)).drop("more").orderBy(F.desc("score"), "id").limit(20)
+
+
 @register(
     "active_first",
     "SELECT id, type, status, rank FROM (SELECT o_orderkey AS id, o_orderpriority AS type, CASE o_orderstatus WHEN 'F' THEN 'expired' WHEN 'P' THEN 'replaced' ELSE 'active' END AS status, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE replace(lower(type), ' ', '_') IN ('1-urgent', '4-not_specified') ORDER BY status <> 'active', rank LIMIT 50",

@@ -12,7 +12,7 @@ from quern.operators import documents as D
 from quern.operators import metrics as X
 from quern.operators import search as S
 from quern.operators import summarise as M
-from quern.plans.registry import register
+from quern.plans.registry import ORACLES, register
 from quern.plans.search_queries import QUESTION, TOK
 
 STOP = ["the", "and", "for", "that", "with", "les", "des", "die", "der", "los", "las", "una"]
@@ -120,7 +120,7 @@ def concept_tags(spark, d):
     return D.concepts(load(spark, d, "documents"), CONCEPTS, "other")
 
 
-@register("concept_distribution")
+@register("concept_distribution", f"SELECT concept AS value, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM ({ORACLES['concept_tags']}) GROUP BY concept")
 def concept_distribution(spark, d):
     return X.distribution(D.concepts(load(spark, d, "documents"), CONCEPTS, "other"), "concept")
 
@@ -177,13 +177,21 @@ def sentence_dedup(spark, d):
 
 @register("typed_references", r"WITH r AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[a-z.0-9]+@[a-z0-9.]+'), lambda x: {'t': 'email', 'v': x}) || list_transform(regexp_extract_all(text, '\d{1,3}(?:\.\d{1,3}){3}'), lambda x: {'t': 'ip', 'v': x})) AS x FROM documents) SELECT doc_id, x.t AS type, x.v AS value, count(*) AS n FROM r GROUP BY ALL")
 def typed_references(spark, d):
-    r = D.references(load(spark, d, "documents"), {"email": r"[a-z.0-9]+@[a-z0-9.]+", "ip": r"\d{1,3}(?:\.\d{1,3}){3}"})
+    r = D.references(load(spark, d, "documents"), {"email": _EMAIL, "ip": _IP})
     return r.groupBy("doc_id", "type", "value").agg(F.count("*").alias("n"))
 
 
-@register("reference_offsets")
+_EMAIL, _IP = r"[a-z.0-9]+@[a-z0-9.]+", r"\d{1,3}(?:\.\d{1,3}){3}"
+
+
+@register(
+    "reference_offsets",
+    f"""WITH m AS (SELECT doc_id, type, regexp_extract_all(text, p) AS v, regexp_split_to_array(text, p) AS s FROM documents, (VALUES ('email', '{_EMAIL}'), ('ip', '{_IP}')) k(type, p)),
+    u AS (SELECT doc_id, type, unnest(v) AS value, unnest(s[1:len(v)]) AS piece, generate_subscripts(v, 1) AS i FROM m WHERE len(v) > 0),
+    e AS (SELECT doc_id, type, value, CAST(sum(length(piece) + length(value)) OVER (PARTITION BY doc_id, type ORDER BY i) AS BIGINT) AS "end" FROM u) SELECT doc_id, type, value, "end" - length(value) AS start, "end" FROM e""",
+)
 def reference_offsets(spark, d):
-    return D.references(load(spark, d, "documents"), {"email": r"[a-z.0-9]+@[a-z0-9.]+", "ip": r"\d{1,3}(?:\.\d{1,3}){3}"})
+    return D.references(load(spark, d, "documents"), {"email": _EMAIL, "ip": _IP})
 
 
 @register("bio_labels")
@@ -214,7 +222,12 @@ def chunk_fixed_overlap(spark, d):
     return load(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("chunk", "text")).select("doc_id", F.col("chunk").cast("long").alias("chunk"), T.word_count("text").alias("tokens"))
 
 
-@register("chunk_merge")
+@register(
+    "chunk_merge",
+    """WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: trim(s, ' ') <> '') AS ls FROM documents), u AS (SELECT doc_id, unnest(list_transform(ls, lambda s: length(s))) AS n, generate_subscripts(ls, 1) AS i FROM l),
+    r AS (SELECT doc_id, i, CAST(0 AS BIGINT) AS chunk, n FROM u WHERE i = 1 UNION ALL SELECT u.doc_id, u.i, CASE WHEN r.n + 2 + u.n <= 1200 THEN r.chunk ELSE r.chunk + 1 END, CASE WHEN r.n + 2 + u.n <= 1200 THEN r.n + 2 + u.n ELSE u.n END FROM r JOIN u ON u.doc_id = r.doc_id AND u.i = r.i + 1)
+    SELECT doc_id, chunk, max(n) AS chars FROM r GROUP BY ALL""",
+)
 def chunk_merge(spark, d):
     lines = F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")
     return load(spark, d, "documents").select("doc_id", F.posexplode(D.merged_parts(lines)).alias("chunk", "text")).select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.length("text").cast("long").alias("chars"))
@@ -260,7 +273,16 @@ def extractive_answers(spark, d):
     return context.select("query", "source", A.extractive_answer(F.lit(QUESTION), "context").alias("answer"), A.prompt(F.lit(QUESTION), "context").alias("prompt"))
 
 
-@register("answer_checks")
+_TOKENS = r"list_filter(regexp_split_to_array(trim(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda x: x <> '')"
+_FOURS = "list_transform(range(1, len({0}) - 2), lambda i: array_to_string({0}[i:i + 3], ' '))"
+
+
+@register(
+    "answer_checks",
+    f"""WITH p AS (SELECT q.conv_id, q.turn AS t, q.text AS question, a.text AS answer FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn - 1 = q.turn WHERE q.role = 'user' AND a.role = 'assistant'), k AS (SELECT *, {_TOKENS.format('question')} AS qt, {_TOKENS.format('answer')} AS rt FROM p)
+    SELECT conv_id, t, len(list_intersect(list_distinct(rt), list_distinct(qt))) / greatest(len(list_distinct(rt)), 1)::DOUBLE < 0.15 AS low_overlap,
+    CAST(len(list_filter(list_distinct(list_filter(regexp_extract_all(answer, '[\\p{{L}}\\p{{Nd}}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{8,}}'))), lambda r: NOT contains(question, r))) AS BIGINT) AS missing, len(list_intersect({_FOURS.format('rt')}, {_FOURS.format('qt')})) > 0 AS shares_phrase FROM k""",
+)
 def answer_checks(spark, d):
     c = load(spark, d, "conversations")
     pairs = c.where("role = 'user'").select("conv_id", F.col("turn").alias("t"), F.col("text").alias("question")).join(
@@ -270,7 +292,7 @@ def answer_checks(spark, d):
     return pairs.select("conv_id", "t", u.alias("u"), A.answer_in(F.col("answer"), F.col("question")).alias("shares_phrase")).select("conv_id", "t", "u.low_overlap", F.size("u.missing").cast("long").alias("missing"), "shares_phrase")
 
 
-@register("question_templates")
+@register("question_templates", "SELECT question, count(*) AS n FROM (SELECT DISTINCT unnest(['What is ' || p_name || '?', 'Who makes ' || p_name || ' of ' || p_brand || '?']) AS question FROM part) GROUP BY 1")
 def question_templates(spark, d):
     rows = load(spark, d, "part").select("p_partkey", "p_name", "p_brand")
     return A.questions_from(rows, ["What is {name}?", "Who makes {name} of {brand}?"], name="p_name", brand="p_brand").groupBy("question").agg(F.count("*").alias("n"))
