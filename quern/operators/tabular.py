@@ -242,11 +242,9 @@ def sessions(events: DataFrame, time: str, gap: str, *keys: str, aggs: list[Colu
     return events.groupBy(F.session_window(F.col(time).cast("timestamp"), gap).alias("w"), *keys).agg(*aggs)
 
 
-def delay_status(minutes: Column, four: bool = False) -> Column:
-    """LATE, EARLY or ON_TIME by a quarter of an hour either way; with four, early, on time, a moderate or a severe delay (over an hour)."""
-    if four:
-        return F.when(minutes <= -15, "EARLY").when(minutes <= 15, "ON_TIME").when(minutes <= 60, "MODERATE_DELAY").when(minutes > 60, "SEVERE_DELAY")
-    return F.when(minutes > 15, "LATE").when(minutes < -15, "EARLY").when(minutes.isNotNull(), "ON_TIME")
+def delay_bucket(minutes: Column) -> Column:
+    """Early by a quarter of an hour or more, on time up to a quarter late, a moderate delay up to an hour, else a severe one."""
+    return F.when(minutes <= -15, "EARLY").when(minutes <= 15, "ON_TIME").when(minutes <= 60, "MODERATE_DELAY").when(minutes > 60, "SEVERE_DELAY")
 
 
 def kept_rows(df: DataFrame, deleted: str | None = None, active: str | None = None) -> DataFrame:

@@ -97,7 +97,7 @@ def single_gold_metrics(spark, d):
 )
 def delay_status(spark, d):
     m = F.col("l_quantity") * 4 - 60
-    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", B.delay_status(m).alias("status"), B.delay_status(m, True).alias("bucket"))
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", B.delay_status(m, 15, -15).alias("status"), B.delay_bucket(m).alias("bucket"))
 
 
 @register("kept_accounts", "SELECT c_custkey FROM customer WHERE c_acctbal >= 0 AND c_mktsegment = 'BUILDING'")
