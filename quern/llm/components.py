@@ -44,9 +44,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "large")
-        star = materialise(both.join(large, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "star")
-        small = materialise(star.groupBy("u").agg(F.min("v").alias("m")), "small")
+        large = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "large", rows=state[0])
+        star = materialise(both.join(large, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "star", rows=state[0])
+        small = materialise(star.groupBy("u").agg(F.min("v").alias("m")), "small", rows=state[0])
         joined = star.join(small, "u")
         links = materialise(
             joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
@@ -54,6 +54,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             .where("u <> v")
             .distinct(),
             "links",
+            rows=state[0],
         )
         for done in (e, large, star, small):
             release(done)

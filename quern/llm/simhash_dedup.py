@@ -177,13 +177,14 @@ def linked_classes(prints: DataFrame, radius: int = 4, side: int = SIDE) -> Data
     sizes = celled.groupBy("high", "low").count().collect()  # at most 33 x 33
     if not sizes:
         return classes.select("fp", "rep", F.col("rep").alias("component"))
+    many = sum(r["count"] for r in sizes)
     sides = {(r["high"], r["low"]): -(-r["count"] // side) for r in sizes}
     tiles = F.create_map(*[F.lit(x) for r in sizes for x in (r["high"] * 33 + r["low"], -(-r["count"] // TILE))])
     per_side = side // TILE
     packed = celled.withColumn("tile", F.pmod(F.xxhash64("fp"), F.element_at(tiles, F.col("high") * 33 + F.col("low")))).groupBy("high", "low", "tile").applyInArrow(
         _pack, "high int, low int, tile long, prints binary, reps binary"
     )
-    packed = materialise(packed, "tiles")
+    packed = materialise(packed, "tiles", rows=many)
     steps = neighbour_cells(radius)
     targets = []
     for (h, low), n in sides.items():
@@ -203,7 +204,8 @@ def linked_classes(prints: DataFrame, radius: int = 4, side: int = SIDE) -> Data
     tasks = one.where(~own | (F.col("side_a") <= F.col("side_b"))).unionByName(two.where(~own | (F.col("side_a") < F.col("side_b"))))
     forest = tasks.groupBy("high_a", "low_a", "side_a", "high_b", "low_b", "side_b").applyInArrow(_compare(radius), "rep long, root long")
     component = connected_components(forest, "rep", "root").withColumnRenamed("node", "rep")
-    return classes.join(component, "rep", "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
+    joined = classes.join(component, "rep", "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
+    return materialise(joined, "components", rows=many)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,7 +216,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     a fingerprint and the component of its class (null if no doc_id is reachable). Repeated rows stay, one result each.
     """
     prints = materialise(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    classes = materialise(linked_classes(prints, radius).select("fp", "component"), "components")
+    classes = linked_classes(prints, radius).select("fp", "component")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 

@@ -26,9 +26,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back, so that a lost executor costs a reread and no recomputation."""
+#: Files that a table of known size has at least, and rows to a file.
+LEAST_FILES, FILE_ROWS = 8, 200_000
+
+
+def files_for(rows: int) -> int:
+    """How many files a table of so many narrow rows is written as: more with its size, and no hundreds for a small one."""
+    return max(LEAST_FILES, -(-rows // FILE_ROWS))
+
+
+def materialise(df: DataFrame, name: str, *partition_by: str, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back, so that a lost executor costs a reread and no recomputation.
+
+    Where the number of rows is known about, the files are as many as files_for says, if df has more partitions.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(files_for(rows))
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
