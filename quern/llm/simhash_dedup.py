@@ -49,15 +49,17 @@ def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            names = [batch.schema.names[0], "fp", *batch.schema.names[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], names)
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed 64-bit number; null texts count as empty."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints(words), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", *longs: str) -> DataFrame:
+    """(doc_id, fp and the columns named in longs): the fingerprint of every whole text as a signed 64-bit number; null texts
+    count as empty."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *longs)
+    return rows.mapInArrow(_fingerprints(words), ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in longs)]))
 
 
 def part_counts(prints: np.ndarray) -> np.ndarray:
@@ -111,7 +113,6 @@ def _pack(key: tuple, table: pa.Table) -> pa.Table:
             "low": pa.array([key[1].as_py()], pa.int32()),
             "tile": pa.array([key[2].as_py()], pa.int64()),
             "prints": pa.array([table.column("fp").to_numpy().astype("<i8").tobytes()], pa.binary()),
-            "reps": pa.array([table.column("rep").to_numpy().astype("<i8").tobytes()], pa.binary()),
         }
     )
 
@@ -122,25 +123,24 @@ def _compare(radius: int):
         same = left == tuple(k.as_py() for k in key[3:])
         is_left = table.column("is_left").to_numpy(zero_copy_only=False)
 
-        def gather(which: bool) -> tuple[np.ndarray, np.ndarray]:
-            part = table.filter(pa.array(is_left == which))
-            join = lambda name, kind: np.frombuffer(b"".join(part.column(name).to_pylist()), kind)
-            return join("prints", "<u8"), join("reps", "<i8")
+        def gather(which: bool) -> np.ndarray:
+            return np.frombuffer(b"".join(table.filter(pa.array(is_left == which)).column("prints").to_pylist()), "<u8")
 
-        pa_, ra = gather(True)
-        pb, rb = (pa_, ra) if same else gather(False)
-        shift = 0 if same else len(ra)
-        reps = ra if same else np.concatenate([ra, rb])
-        order = np.argsort(reps, kind="stable")
+        pa_ = gather(True)
+        pb = pa_ if same else gather(False)
+        shift = 0 if same else len(pa_)
+        # Nodes are the fingerprints themselves, as signed numbers; document ids, which may be null, play no part here.
+        nodes = (pa_ if same else np.concatenate([pa_, pb])).view("<i8")
+        order = np.argsort(nodes, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        root = np.arange(len(reps), dtype=np.int64)
-        touched = np.zeros(len(reps), bool)
+        root = np.arange(len(nodes), dtype=np.int64)
+        touched = np.zeros(len(nodes), bool)
         xs, ys, held = [], [], 0
 
         def settle() -> np.ndarray:
-            every = np.arange(len(reps))
-            return local_roots(len(reps), np.concatenate([every, *xs]), np.concatenate([root, *ys]))
+            every = np.arange(len(nodes))
+            return local_roots(len(nodes), np.concatenate([every, *xs]), np.concatenate([root, *ys]))
 
         for x, y in close_pairs(pa_, pb, radius, same):
             xs.append(place[x])
@@ -151,9 +151,9 @@ def _compare(radius: int):
                 root, xs, ys, held = settle(), [], [], 0
         if xs:
             root = settle()
-        keep = np.flatnonzero(touched & (root != np.arange(len(reps))))
-        by_place = reps[order]
-        return pa.table({"rep": by_place[keep], "root": by_place[root[keep]]})
+        keep = np.flatnonzero(touched & (root != np.arange(len(nodes))))
+        by_place = nodes[order]
+        return pa.table({"fp": by_place[keep], "root": by_place[root[keep]]})
 
     return run
 
@@ -164,7 +164,8 @@ def neighbour_cells(radius: int) -> list[tuple[int, int]]:
 
 
 def linked_classes(prints: DataFrame, radius: int = 4, side: int = SIDE) -> DataFrame:
-    """(fp, rep, component) of the distinct fingerprints: rep is the smallest doc_id with it, component the smallest reachable.
+    """(fp, root, component) of the distinct fingerprints: root is one fingerprint of all that are reachable from each other,
+    component the smallest doc_id that any of them has, null if none has one.
 
     Fingerprints stand in cells by the population counts of their halves, (0..32, 0..32): at most 1,089 cells, whose sizes
     the driver knows. A cell is dealt into sides of about `side` rows; a task compares two sides of cells at most radius
@@ -176,13 +177,13 @@ def linked_classes(prints: DataFrame, radius: int = 4, side: int = SIDE) -> Data
     celled = classes.withColumns({"high": half(32), "low": half(0)})
     sizes = celled.groupBy("high", "low").count().collect()  # at most 33 x 33
     if not sizes:
-        return classes.select("fp", "rep", F.col("rep").alias("component"))
+        return classes.select("fp", F.col("fp").alias("root"), F.col("rep").alias("component"))
     many = sum(r["count"] for r in sizes)
     sides = {(r["high"], r["low"]): -(-r["count"] // side) for r in sizes}
     tiles = F.create_map(*[F.lit(x) for r in sizes for x in (r["high"] * 33 + r["low"], -(-r["count"] // TILE))])
     per_side = side // TILE
     packed = celled.withColumn("tile", F.pmod(F.xxhash64("fp"), F.element_at(tiles, F.col("high") * 33 + F.col("low")))).groupBy("high", "low", "tile").applyInArrow(
-        _pack, "high int, low int, tile long, prints binary, reps binary"
+        _pack, "high int, low int, tile long, prints binary"
     )
     packed = materialise(packed, "tiles", rows=many)
     steps = neighbour_cells(radius)
@@ -195,25 +196,28 @@ def linked_classes(prints: DataFrame, radius: int = 4, side: int = SIDE) -> Data
     pairs = spark.createDataFrame(targets, "high_a int, low_a int, high_b int, low_b int, n_a long, n_b long")  # at most 33 x 33 x 25 rows
     by_side = packed.withColumn("side", F.floor(F.col("tile") / per_side))
     one = by_side.join(F.broadcast(pairs), (F.col("high") == F.col("high_a")) & (F.col("low") == F.col("low_a"))).select(
-        "high_a", "low_a", F.col("side").alias("side_a"), "high_b", "low_b", F.explode(F.expr("sequence(0L, n_b - 1)")).alias("side_b"), F.lit(True).alias("is_left"), "prints", "reps"
+        "high_a", "low_a", F.col("side").alias("side_a"), "high_b", "low_b", F.explode(F.expr("sequence(0L, n_b - 1)")).alias("side_b"), F.lit(True).alias("is_left"), "prints"
     )
     own = (F.col("high_a") == F.col("high_b")) & (F.col("low_a") == F.col("low_b"))
     two = by_side.join(F.broadcast(pairs), (F.col("high") == F.col("high_b")) & (F.col("low") == F.col("low_b"))).select(
-        "high_a", "low_a", F.explode(F.expr("sequence(0L, n_a - 1)")).alias("side_a"), "high_b", "low_b", F.col("side").alias("side_b"), F.lit(False).alias("is_left"), "prints", "reps"
+        "high_a", "low_a", F.explode(F.expr("sequence(0L, n_a - 1)")).alias("side_a"), "high_b", "low_b", F.col("side").alias("side_b"), F.lit(False).alias("is_left"), "prints"
     )
     tasks = one.where(~own | (F.col("side_a") <= F.col("side_b"))).unionByName(two.where(~own | (F.col("side_a") < F.col("side_b"))))
-    forest = tasks.groupBy("high_a", "low_a", "side_a", "high_b", "low_b", "side_b").applyInArrow(_compare(radius), "rep long, root long")
-    component = connected_components(forest, "rep", "root").withColumnRenamed("node", "rep")
-    joined = classes.join(component, "rep", "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
-    return materialise(joined, "components", rows=many)
+    forest = tasks.groupBy("high_a", "low_a", "side_a", "high_b", "low_b", "side_b").applyInArrow(_compare(radius), "fp long, root long")
+    found = connected_components(forest, "fp", "root").select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    rooted = materialise(classes.join(found, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted", rows=many)
+    # Most classes are alone; the others' smallest id goes by their root.
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
+    return materialise(rooted.join(least, "root").select("fp", "root", "component"), "components", rows=many)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint as 16 lowercase hex digits, component_id) for every row of docs.
 
     Fingerprints link at radius or fewer differing bits; component_id is the smallest doc_id reachable, itself included.
-    Null and empty texts have fingerprint zero and link like any other; very long texts are read whole. A null doc_id gets
-    a fingerprint and the component of its class (null if no doc_id is reachable). Repeated rows stay, one result each.
+    Null and empty texts have fingerprint zero and link like any other; very long texts are read whole. Rows without a doc_id
+    link others as well; they get the component of their class (null if no doc_id is reachable). Ids are any 64-bit numbers.
+    Repeated rows stay, one result each.
     """
     prints = materialise(fingerprints(docs, words, id_col, text_col), "fingerprints")
     classes = linked_classes(prints, radius).select("fp", "component")
@@ -221,14 +225,24 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
 
 
 def representatives(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stand for their group of near-duplicates: those with the group's smallest id, with all columns.
+    """One row of docs for each group of near-duplicates, with all columns: that of the group's smallest id.
 
-    Rows that repeat an id are one document, of which the row whose text has the smallest hash stays (of rows with that text
-    any one); rows with a null id stay, as they name no document. An empty table gives an empty result.
+    Where several rows of a group have that id, the one whose text has the smallest hash stays, and one of equal rows. Rows
+    that repeat an id with texts of unlike groups stay, one for each group. Rows with a null id stay, as they name no
+    document. An empty table gives an empty result.
     """
-    groups = near_duplicates(docs, words, radius, id_col, text_col)
-    kept = materialise(groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct(), "kept")
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").select(*docs.columns)
-    others = [c for c in docs.columns if c != id_col]
-    one = named.groupBy(id_col).agg(F.min_by(F.struct(*others), F.xxhash64(text_col)).alias("row")).select(id_col, "row.*").select(*docs.columns)
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
+    named = docs.where(F.col(id_col).isNotNull())
+    prints = materialise(fingerprints(docs.withColumn("_text_key", text_key), words, id_col, text_col, "_text_key"), "fingerprints")
+    roots = linked_classes(prints.select("doc_id", "fp"), radius)
+    rows = prints.where("doc_id is not null").join(roots, "fp").where("doc_id = component")
+    firsts = rows.groupBy("root").agg(F.min(F.struct("doc_id", "_text_key")).alias("first"), F.count("*").alias("copies"))
+    kept = materialise(firsts.select(F.col("first.doc_id").alias("_kept_id"), F.col("first._text_key").alias("_kept_key"), F.col("copies").alias("_copies")), "kept")
+    met = (named[id_col].cast("long") == kept["_kept_id"]) & (text_key == kept["_kept_key"])
+    held = named.join(kept, met).select(*[named[c] for c in docs.columns], kept["_copies"].alias("_rows"))
+    once = held.where("_rows = 1").select(*docs.columns)
+    if not kept.where("_copies > 1").isEmpty():  # only where an id is repeated are rows gathered
+        others = [c for c in docs.columns if c != id_col]
+        again = held.where("_rows > 1").withColumn("_text_key", text_key).groupBy(id_col, "_text_key").agg(F.first(F.struct(*others)).alias("_row"))
+        once = once.unionByName(again.select(id_col, "_row.*").select(*docs.columns))
+    return once.unionByName(docs.where(F.col(id_col).isNull()))

@@ -47,7 +47,7 @@ def duplicate_payloads(rows: DataFrame, least_bytes: int) -> DataFrame:
     return long.groupBy("digest").agg(first.alias("original"), F.count("*").alias("copies")).where("copies > 1").select("digest", "original")
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 100, every_row: bool = False) -> str:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 100, every_row: bool = True) -> str:
     """Writes a request, a response or revisit, and a metadata record for every row, as gzip WARC 1.1 files under path.
 
     The request and the metadata record name the response or revisit in WARC-Concurrent-To. Of rows with equal payloads of
@@ -199,7 +199,7 @@ def resolve(captures: DataFrame) -> DataFrame:
     return keyed.join(originals, F.col("wanted") == F.col("original"), "left").drop("wanted")
 
 
-def write_and_read(pages: DataFrame, path: str | None = None, every_row: bool = False) -> DataFrame:
+def write_and_read(pages: DataFrame, path: str | None = None, every_row: bool = True) -> DataFrame:
     """Archives of pages, written and read back: page_id, payload_bytes, payload_digest, record_type, refers_to, requests.
 
     With every_row there is one row for each of pages; without it, rows alike in page_id, url and html are one capture (rows

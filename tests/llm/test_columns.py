@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -198,6 +199,30 @@ def test_checks_hold_after(spark):
     assert all(0 <= int(x) <= 255 for x in ip.split(".")) and phone.startswith("+1 (") and phone != "+1 (988) 555-2485"
 
 
+def test_pii_many_values_in_one_text(spark):
+    """The scan takes time in proportion to the values of a text, and values next to each other are told apart."""
+    rng = random.Random(22)
+    days = [f"{rng.randrange(1950, 2050)}-0{rng.randrange(1, 10)}-1{rng.randrange(10)}" for _ in range(50_000)]
+    secret = "sk-" + "aB3" * 900
+    began = time.monotonic()
+    row = pseudonym(spark, " ".join(days[:25_000]) + f" {secret}.{secret} " + " ".join(days[25_000:]))
+    assert time.monotonic() - began < 240
+    assert row.pii_found == 50_002 and row.pii_kinds == "date,secret" and secret not in row.text
+    shown = [x for x in row.text.split() if len(x) == 10]
+    pairs = dict(zip(days, shown))
+    assert len(shown) == 50_000 and all(pairs[a] == b for a, b in zip(days, shown)) and len(set(pairs.values())) == len(pairs)
+
+
+def test_pii_key_is_of_the_session(spark):
+    spark.conf.unset(pii_feistel.KEY_SETTING)
+    key = pii_feistel.key_of(spark)
+    assert len(key) == 64 and pii_feistel.key_of(spark) == key
+    spark.conf.set(pii_feistel.KEY_SETTING, "own")
+    assert pii_feistel.key_of(spark) == "own"
+    spark.conf.unset(pii_feistel.KEY_SETTING)
+    assert pii_feistel.key_of(spark) != key
+
+
 def test_pii_odd_rows(docs):
     out = pii_feistel.pseudonymise(docs, KEY)
     assert out.select("text").where("text is null").count() == 1 and out.count() == docs.count()
