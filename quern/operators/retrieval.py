@@ -1,94 +1,15 @@
-"""A stored index and what retrieval does around it: segments by term bucket, cascades, filters, concepts, cross references."""
+"""What retrieval does around a stored index: cascades, filters, concepts, cross references, names and requests."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import search as S
 
-#: Folders that the postings of a segment are dealt into by a hash of the term.
-BUCKETS = 64
-
-
-def _bucket(term: Column | str) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
-def _last_segment(spark: SparkSession, path: str) -> int:
-    """The number of the newest segment, -1 where there is no index."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/documents")
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return -1
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    return max((int(n.split("=")[1]) for n in names if n.startswith("segment=")), default=-1)
-
-
-def write_segment(docs: DataFrame, path: str, segment: int | None = None, gone: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> int:
-    """Adds documents to the index under path as one segment; returns its number.
-
-    A segment has postings (term, doc_id, len, tf) in folders by term bucket, and documents (doc_id, len). What a newer segment
-    says of a document counts, so documents that change are written again, and `gone` (doc_id) takes some away; nothing that
-    stands is rewritten. A segment written twice under its number is the same, so a batch may run again. The documents are
-    written last: a segment without them is not seen.
-    """
-    number = _last_segment(docs.sparkSession, path) + 1 if segment is None else segment
-    rows = docs.select(F.col(id_col).alias("doc_id"), T.tokens(text_col).alias("ts"))
-    words = rows.select("doc_id", F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
-    words.withColumn("bucket", _bucket("term")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={number}")
-    sizes = rows.select("doc_id", F.size("ts").alias("len"))
-    if gone is not None:
-        sizes = sizes.unionByName(gone.select(F.col(id_col).alias("doc_id"), F.lit(None).cast("int").alias("len")))
-    sizes.write.mode("overwrite").parquet(f"{path}/documents/segment={number}")
-    return number
-
-
-def live_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, len, segment): the documents of the index, each with the segment that has its newest text."""
-    rows = spark.read.parquet(f"{path}/documents")
-    newest = rows.groupBy("doc_id").agg(F.max(F.struct("segment", F.col("len").isNull().alias("gone"), "len")).alias("n"))
-    return newest.where("not n.gone").select("doc_id", "n.len", "n.segment")
-
-
-def search_index(spark: SparkSession, path: str, question: str, k: int = 10) -> DataFrame:
-    """Top k by BM25 (doc_id, score) from the stored index: only the buckets and rows of the question's terms are read."""
-    terms = S.asked_terms(spark, question)
-    asked = S.question_terms(spark, question)
-    buckets = [r[0] for r in asked.select(_bucket("term")).distinct().collect()]  # as few as the question's terms
-    live = live_documents(spark, path)
-    stats = live.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    postings = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms)) if terms else None
-    if postings is None:
-        return live.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    hits = postings.join(live.select("doc_id", "segment"), ["doc_id", "segment"], "left_semi").select("term", "doc_id", "len", "tf")
-    ranked = S.weighted(hits, stats, asked).groupBy("doc_id").agg(F.round(F.sum("score"), 4).alias("score"))
-    return ranked.where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
-
-
-def index_all(docs: DataFrame, path: str, force: bool = False, id_col: str = "doc_id", text_col: str = "text") -> int | None:
-    """Indexes the documents that the index lacks, or with force all of them; the segment's number, None where nothing was to do."""
-    spark = docs.sparkSession
-    if not force and _last_segment(spark, path) >= 0:
-        docs = docs.join(live_documents(spark, path).select(F.col("doc_id").alias(id_col)), id_col, "left_anti")
-    return None if docs.isEmpty() else write_segment(docs, path, id_col=id_col, text_col=text_col)
-
-
-def active_versions(versions: DataFrame, id_col: str = "doc_id", version: str = "version", status: str = "status") -> DataFrame:
-    """The newest of the active versions of each document, with all columns."""
-    others = [c for c in versions.columns if c != id_col]
-    best = versions.where(F.col(status) == "active").groupBy(id_col).agg(F.max_by(F.struct(*others), F.col(version)).alias("row"))
-    return best.select(id_col, "row.*").select(*versions.columns)
-
-
-def rebuild(versions: DataFrame, path: str, **columns: str) -> int:
-    """A new index under path from the active versions alone."""
-    return write_segment(active_versions(versions, **columns), path, 0)
-
-
 # --- cascade --------------------------------------------------------------------------------------------------------
 
 Search = Callable[[], DataFrame]

@@ -10,6 +10,7 @@ from quern.catalog import load
 from quern.functions import text as T
 from quern.operators import retrieval as R
 from quern.operators import search as S
+from quern.operators import text_index as I
 from quern.operators.lineage import shared_folder
 from quern.plans.registry import register
 from quern.plans.search_queries import NEAR, QUESTION, SCORED
@@ -25,8 +26,8 @@ def _folder(spark) -> str:
 def bm25_indexed(spark, d):
     """The index is written and read back; the search reads the buckets of the question's terms alone."""
     path = _folder(spark)
-    R.index_all(load(spark, d, "documents"), path)
-    return R.search_index(spark, path, QUESTION)
+    I.index_all(load(spark, d, "documents"), path)
+    return I.search_index(spark, path, QUESTION)
 
 
 @register("index_merge", f"WITH {SCORED} {TOP}")
@@ -34,10 +35,10 @@ def index_merge(spark, d):
     """Three segments: English documents with their texts reversed, the other ones, and the English ones as they are, which count."""
     path, docs = _folder(spark), load(spark, d, "documents").select("doc_id", "text", "lang")
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
-    R.write_segment(docs.where(english).withColumn("text", F.reverse("text")), path)
-    R.index_all(docs, path)
-    R.write_segment(docs.where(english), path)
-    return R.search_index(spark, path, QUESTION)
+    I.write_segment(docs.where(english).withColumn("text", F.reverse("text")), path)
+    I.index_all(docs, path)
+    I.write_segment(docs.where(english), path)
+    return I.search_index(spark, path, QUESTION)
 
 
 @register("index_rebuild", f"WITH RECURSIVE good AS (SELECT doc_id FROM labels WHERE quality = 1), {SCORED.replace('FROM documents', 'FROM documents SEMI JOIN good USING (doc_id)')} {TOP}")
@@ -49,8 +50,8 @@ def index_rebuild(spark, d):
     new = known.select("doc_id", "text", F.lit(2).alias("version"), status.alias("status"))
     old = known.where("quality = 1").select("doc_id", F.reverse("text").alias("text"), F.lit(1).alias("version"), F.lit("active").alias("status"))
     path = _folder(spark)
-    R.rebuild(new.unionByName(old), path)
-    return R.search_index(spark, path, QUESTION)
+    I.rebuild(new.unionByName(old), path)
+    return I.search_index(spark, path, QUESTION)
 
 
 def _lexical(spark, d):

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quern.functions import text as T
 from quern.operators import documents as D
-from quern.operators import retrieval
+from quern.operators import text_index
 from quern.operators.lineage import cut
 from quern.sources import sinks
 from quern.sources.files import parse
@@ -47,7 +47,7 @@ def store_documents(target: str, index: bool = False) -> Callable[[DataFrame, in
         sinks.replace_in(chunks.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "text"), f"{target}/chunks", docs.select("doc_id"), ["doc_id"])
         sinks.replace_in(bad.select("path", F.coalesce("error", F.lit("no text")).alias("error")), f"{target}/dead_letters", parsed.select("path"), ["path"])
         if index:
-            retrieval.write_segment(docs.select("doc_id", "text"), f"{target}/index", batch_id)
+            text_index.write_segment(docs.select("doc_id", "text"), f"{target}/index", batch_id)
         for table in ("documents", "chunks", "dead_letters"):
             sinks.expire(spark, f"{target}/{table}")
 

@@ -5,7 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from quern.operators import retrieval as R
+from quern.operators import text_index as I
 from quern.sources import files, sinks
 from quern.streaming import jobs
 
@@ -107,18 +107,18 @@ def test_documents_that_shrink_and_files_that_are_repaired(spark, tmp_path):
     run(batch(("b.pdf", b"")), 5)
     assert sinks.read_table(spark, f"{out}/dead_letters").count() == 1
     docs = {r.path: r.doc_id for r in sinks.read_table(spark, f"{out}/documents").collect()}
-    hits = lambda q: [r.doc_id for r in R.search_index(spark, f"{out}/index", q).collect()]
+    hits = lambda q: [r.doc_id for r in I.search_index(spark, f"{out}/index", q).collect()]
     assert hits("license") == [docs["c.txt"]] and hits("short") == [docs["a.txt"]] and hits("number") == [] and hits("...") == []
 
 
 def test_index_segments(spark, tmp_path):
     path = f"file://{tmp_path}/index"
     docs = spark.createDataFrame([(1, "red apple"), (2, "green apple apple"), (3, None)], "doc_id long, text string")
-    assert R.index_all(docs, path) == 0 and R.index_all(docs, path) is None and R.index_all(docs, path, force=True) == 1
-    assert [r.doc_id for r in R.search_index(spark, path, "apple red").collect()] == [1, 2]
-    R.write_segment(docs.where("doc_id = 2").selectExpr("doc_id", "'blue' as text"), path, gone=docs.where("doc_id = 1").select("doc_id"))
-    assert R.search_index(spark, path, "apple").count() == 0 and [r.doc_id for r in R.search_index(spark, path, "blue").collect()] == [2]
-    assert sorted(r.doc_id for r in R.live_documents(spark, path).collect()) == [2, 3]
+    assert I.index_all(docs, path) == 0 and I.index_all(docs, path) is None and I.index_all(docs, path, force=True) == 1
+    assert [r.doc_id for r in I.search_index(spark, path, "apple red").collect()] == [1, 2]
+    I.write_segment(docs.where("doc_id = 2").selectExpr("doc_id", "'blue' as text"), path, gone=docs.where("doc_id = 1").select("doc_id"))
+    assert I.search_index(spark, path, "apple").count() == 0 and [r.doc_id for r in I.search_index(spark, path, "blue").collect()] == [2]
+    assert sorted(r.doc_id for r in I.live_documents(spark, path).collect()) == [2, 3]
 
 
 def test_evaluation_and_tags(spark, tmp_path):
