@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def ends(lengths: list[int]) -> list[int]:
-    return np.cumsum(lengths).tolist()
-
-
 class Aligner:
     """Token groups of texts: a group ends wherever a token of each side ends."""
 
@@ -48,9 +45,14 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         letters = byte_letters()
-        self.a_bytes: dict[int, bytes] = {i: bytes(letters[c] for c in s) for s, i in self.a.get_vocab(with_added_tokens=False).items()}
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
+        for s, i in vocabulary.items():
+            self.a_bytes[i] = bytes(letters[c] for c in s)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.names = [str(i) for i in range(max(len(self.a_size), len(self.b_size)))]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece with a blank inside could reach over a cut")
         self.memo: dict[str, tuple | None] = {}
@@ -59,16 +61,19 @@ class Aligner:
     def _grouped(self, segment: str, a: list[int], b: list[int]) -> tuple | None:
         """(group keys, tokens of A, tokens of B) of a segment, or None where the bytes of either side differ from it."""
         whole = segment.encode("utf-8", "surrogatepass")
-        as_, bs = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(as_) != whole or b"".join(bs) != whole:
+        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return None
-        ea, eb = ends([len(x) for x in as_]), ends([len(x) for x in bs])
-        common = set(ea) & set(eb)
-        keys, i, j = [], 0, 0
-        for end in sorted(common):
-            ni, nj = ea.index(end, i) + 1, eb.index(end, j) + 1
-            keys.append(",".join(map(str, a[i:ni])) + "|" + ",".join(map(str, b[j:nj])))
-            i, j = ni, nj
+        keys, size_a, size_b, name = [], self.a_size, self.b_size, self.names
+        i = j = from_i = from_j = end_a = end_b = 0
+        for x in a:
+            i += 1
+            end_a += size_a[x]
+            while end_b < end_a:
+                end_b += size_b[b[j]]
+                j += 1
+            if end_a == end_b:
+                keys.append(f"{','.join([name[x] for x in a[from_i:i]])}|{','.join([name[x] for x in b[from_j:j]])}")
+                from_i, from_j = i, j
         return tuple(keys), len(a), len(b)
 
     def learn(self, segments: list[str]) -> dict[str, tuple | None]:
@@ -106,7 +111,7 @@ class Aligner:
     def links(self, key: str) -> Counter:
         """(A id, B id) to how many occurrence pairs of the group overlap in bytes."""
         a, b = ([int(x) for x in side.split(",")] for side in key.split("|"))
-        ea, eb = ends([len(self.a_bytes[x]) for x in a]), ends([len(self.b_bytes[x]) for x in b])
+        ea, eb = list(accumulate(self.a_size[x] for x in a)), list(accumulate(self.b_size[x] for x in b))
         out: Counter = Counter()
         i = j = 0
         while i < len(a) and j < len(b):
