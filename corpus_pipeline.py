@@ -26,9 +26,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates: the one with the smallest doc_id.
 
-    Texts without words (null and empty ones too) have fingerprint zero and so make one group. Rows that repeat a kept doc_id
-    are one document, of which the row whose text has the smallest hash stays; rows without a doc_id stay. An empty table
-    gives an empty result.
+    Texts without words (null and empty ones too) have fingerprint zero and so make one group. Of rows of a group
+    that repeat its doc_id the one whose text has the smallest hash stays; rows that repeat a doc_id with texts of unlike groups
+    stay, one for each group; so do rows without a doc_id. An empty table gives an empty result.
     """
     return simhash_dedup.representatives(docs)
 
