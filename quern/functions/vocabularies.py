@@ -108,3 +108,8 @@ NO_TITLE = r"(?iu)^(Số|www|http|Copyright|©|\d{1,4}$|Độc\s+lập|Cộng\s+
 
 #: Header lines of a law, from the outermost level in: part, chapter, section, article, clause, point.
 LAW_LEVELS = [r"(?iu)^\s*phần\s+thứ", r"(?iu)^\s*chương\s+[ivxlc\d]+", r"(?iu)^\s*mục\s+\d+", r"(?iu)^\s*điều\s+\d+", r"^\s*\d+\.\s", r"^\s*[a-zđ]\)\s"]
+
+# Headers of articles, clauses and points, and the names in their keys.
+LAW_HEADERS = [r"(?mdiU)^Điều\s+(\d+)[.:]?\s*(.*)", r"(?mdU)^\s*(\d+)\.\s+(.*)", r"(?mdU)^\s*([a-zđ])\)\s+(.*)"]
+LAW_KEYS = ["dieu", "khoan", "diem"]
+LAW_UNTITLED = "Nội dung"

@@ -143,3 +143,30 @@ def epoch_log(lines: DataFrame, file: str = "file", at: str = "at", line: str =
     return rows.select(
         "model", number(r"(?i)epoch[ :]+(\d+)").cast("long").alias("epoch"), number(r"(?i)loss[ =:]+([0-9.]+)").try_cast("double").alias("loss"), number(r"(?i)acc(?:uracy)?[ =:]+([0-9.]+)").try_cast("double").alias("accuracy")
     )
+
+
+def sniffed_records(payloads: DataFrame, fields: dict[str, tuple[str, list[str]]], needed: str, id_col: str = "path", text_col: str = "text", sample: str = "sample") -> DataFrame:
+    """(id, shape, at, fields..., error) of the records of JSON payloads of three shapes, read without a schema as VARIANT.
+
+    list: every item is a record. sample: an object with a record under `sample` is followed by its other objects that have
+    `needed`, in the order of their names. nested: the first list with items, by name, of an object. fields gives each column's type
+    and the names it may have in a record; a value of another type is null. What cannot be read is a row with an error
+    and no fields: a text that is no JSON, another shape, or an item that is no object.
+    """
+    v = F.try_parse_json(F.col(text_col))
+    rows = payloads.select(F.col(id_col), v.alias("v")).withColumn("kind", F.schema_of_variant("v"))
+    items = lambda c: F.try_variant_get(c, "$", "array<variant>")
+    inside = lambda c, name: F.try_variant_get(c, f"$['{name}']", "variant")
+    record = lambda c: F.schema_of_variant(c).startswith("OBJECT")
+    entries = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
+    first = F.get(F.filter(F.transform(entries, lambda e: items(e["value"])), lambda x: F.size(x) > 0), F.lit(0))
+    rest = F.filter(entries, lambda e: (e["key"] != sample) & record(e["value"]) & inside(e["value"], needed).isNotNull())
+    sampled = F.concat(F.array(inside(F.col("v"), sample)), F.transform(rest, lambda e: e["value"]))
+    is_object = F.col("kind").startswith("OBJECT")
+    rows = rows.withColumn("shape", F.when(F.col("kind").startswith("ARRAY"), "list").when(is_object & inside(F.col("v"), sample).isNotNull(), "sample").when(is_object & first.isNotNull(), "nested"))
+    found = F.when(F.col("shape") == "list", items(F.col("v"))).when(F.col("shape") == "sample", sampled).when(F.col("shape") == "nested", first)
+    rows = rows.select(id_col, "shape", F.col("kind").isNotNull().alias("read"), F.posexplode_outer(found).alias("at", "item")).where("at is not null or shape is null")
+    good = F.coalesce(record(F.col("item")), F.lit(False))
+    error = F.when(~F.col("read"), "not JSON").when(F.col("shape").isNull(), "unexpected shape").when(~good, "not a record")
+    columns = [F.when(good, F.coalesce(*[F.try_variant_get("item", f"$['{n}']", kind) for n in known])).alias(name) for name, (kind, known) in fields.items()]
+    return rows.select(id_col, "shape", F.col("at").cast("long").alias("at"), *columns, error.alias("error"))
