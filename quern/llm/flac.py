@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -521,6 +522,8 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 BLOCKS = "blocks array<struct<sample_offset:bigint,pcm:binary>>"
+#: PCM tables are written once and read in parts: pages of 8 MB, compressed well.
+PCM_PAGES = {"parquet.compression.codec.zstd.level": "11", "parquet.page.size": str(8 << 20)}
 
 
 def feature(blocks: list[tuple[int, bytes]]) -> str:
@@ -537,10 +540,29 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups([len(m) for m in media], DECODE_SAMPLES):
             found = decode_streams(media[part])
             blocks = pa.array([[{"sample_offset": s, "pcm": b} for s, b in own] for own in found], kind)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[part], batch.column(1)[part], batch.column(2)[part], blocks, pa.array([feature(own) for own in found])],
-                ["doc_id", "n_bytes", "media", "blocks", "feature"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], batch.column(2)[part], blocks], ["doc_id", "n_bytes", "media", "blocks"])
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a table of decoded streams, all columns but the blocks, and what the samples say. Blocks are hashed one after another."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    for batch in batches:
+        hashes, sizes, tails, features = [], [], [], []
+        for row in batch.column(4):
+            blocks = [(b["sample_offset"], b["pcm"]) for b in row.as_py()]
+            whole, size, tail = hashlib.sha256(), 0, b""
+            for offset, pcm in blocks:
+                if offset != size:
+                    raise ValueError("a PCM block does not follow the one before it")
+                whole.update(pcm)
+                size += len(pcm)
+                tail = (tail + pcm)[-PAD:]
+            hashes.append(whole.hexdigest())
+            sizes.append(size)
+            tails.append(zlib.crc32(tail))
+            features.append(feature(blocks))
+        found = [pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(tails, pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found, batch.column(2), batch.column(3), pa.array(features, pa.string())], names)
 
 
 def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -554,11 +576,11 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def decode_column(media: DataFrame) -> DataFrame:
-    """Adds blocks (PCM with the sample offset each starts at) and feature to (doc_id, n_bytes, media).
+    """Adds blocks (PCM with the sample offset each starts at) to (doc_id, n_bytes, media).
 
     A stream with a wrong frame checksum or MD5 sum fails the task: media are never passed on unverified.
     """
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode, f"doc_id long, n_bytes long, media binary, {BLOCKS}, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode, f"doc_id long, n_bytes long, media binary, {BLOCKS}")
 
 
 def pcm_blocks(decoded: DataFrame) -> DataFrame:
@@ -582,20 +604,19 @@ def seek(blocks: DataFrame, doc_id: int, first: int, count: int) -> DataFrame:
     return held.select((F.col("sample_offset") + start).alias("sample_offset"), F.substring("pcm", (start + 1).cast("int"), (stop - start).cast("int")).alias("pcm")).orderBy("sample_offset")
 
 
+def store_decoded(media: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media_bytes, media_sha256, blocks): a column of media decoded and written as a table in the shared folder,
+    read back. A row holds a stream's PCM blocks with the sample offset each starts at; pcm_blocks and seek read parts of it."""
+    stored = ["doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "blocks"]
+    return materialise(decode_column(media).select(*stored), "pcm", **PCM_PAGES)
+
+
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
-    The streams are written as a table in the shared folder, read back and decoded; all but n_bytes is taken from what was
-    read. Null texts are empty; an empty table gives an empty result.
+    The streams are written as a table in the shared folder and read back; their PCM blocks are decoded into a second table,
+    which is read back too. All of the payload and the feature is taken from the blocks in it. Null texts are empty; an empty
+    table gives an empty result.
     """
-    back = decode_column(materialise(encode_column(docs, id_col, text_col), "media"))
-    whole = F.aggregate(F.transform("blocks", lambda b: b["pcm"]), F.lit(b""), lambda a, b: F.concat(a, b))
-    return back.withColumn("payload", whole).select(
-        "doc_id", "n_bytes",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -PAD, PAD)).cast("long").alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        "feature",
-    )
+    kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return store_decoded(materialise(encode_column(docs, id_col, text_col), "media")).mapInArrow(_digest, kinds)

@@ -35,16 +35,16 @@ def files_for(rows: int) -> int:
     return max(LEAST_FILES, -(-rows // FILE_ROWS))
 
 
-def materialise(df: DataFrame, name: str, *partition_by: str, rows: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, *partition_by: str, rows: int | None = None, **options: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, so that a lost executor costs a reread and no recomputation.
 
-    Where the number of rows is known about, the files are as many as files_for says, if df has more partitions.
+    options go to the writer. Where the number of rows is known about, the files are as many as files_for says, if df has more partitions.
     """
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(files_for(rows))
     path = new_path(spark, name)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").options(**options)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -384,6 +385,19 @@ def test_flac_pcm_tables_are_seekable(docs, tmp_path):
     for first, count in ((0, 64), (4000, 200), (4095, 1), (5000, 99999)):
         assert b"".join(bytes(r.pcm) for r in flac.seek(table, 6, first, count).collect()) == data[first : first + count]
     assert flac.seek(table, 6, 10**9, 5).count() == 0
+    stored = flac.store_decoded(flac.encode_column(docs))
+    assert b"".join(bytes(r.pcm) for r in flac.seek(flac.pcm_blocks(stored), 6, 4000, 200).collect()) == data[4000:4200]
+    assert stored.inputFiles() and stored.count() == docs.count()
+
+
+def test_flac_blocks_out_of_order_are_refused():
+    kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("pcm", pa.binary())]))
+    good, bad = ([{"sample_offset": at, "pcm": b"y" * 64} for at in ats] for ats in ((0, 64), (0, 128)))
+    row = lambda blocks: pa.RecordBatch.from_arrays([pa.array([1]), pa.array([100]), pa.array([50]), pa.array(["m"]), pa.array([blocks], kind)], list("abcde"))
+    (found,) = flac._digest(iter([row(good)]))
+    assert found.to_pylist()[0]["payload_sha256"] == hashlib.sha256(b"y" * 128).hexdigest() and found.to_pylist()[0]["feature"] == feature_by_hand(b"y" * 128)[: -len("0")] + "64"
+    with pytest.raises(ValueError, match="PCM block"):
+        list(flac._digest(iter([row(bad)])))
 
 
 def test_flac_ranks():
