@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.catalog import load
 from quern.operators import graph as G
 from quern.operators import learning as L
+from quern.operators import reasoner as Z
 from quern.operators import tabular as B
 from quern.plans.registry import register
 
@@ -138,3 +139,34 @@ def batch_predictions(spark, d):
 @register("principal_components")
 def principal_components(spark, d):
     return L.principal(load(spark, d, "embeddings"))
+
+
+_NAMES = "nm AS (SELECT p_partkey AS id, p_name AS name FROM part)"
+
+
+def named_nodes(spark, d):
+    return nodes(spark, d).join(load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "id")
+
+
+@register(
+    "validity_answers",
+    f"""WITH {EDGES}, {NODES}, i AS (SELECT dst AS id, count(*) FILTER (type = 'replaces') AS e, count(*) FILTER (type = 'amends') AS a FROM edges GROUP BY 1), asked AS (SELECT p_partkey AS id FROM part UNION SELECT -1 - p_partkey FROM part),
+    v AS (SELECT asked.id, coalesce(p_name, CAST(asked.id AS VARCHAR)) AS name, status, p_partkey IS NULL AS gone, coalesce(e, 0) AS e, coalesce(a, 0) AS a FROM asked LEFT JOIN part ON p_partkey = asked.id LEFT JOIN nodes ON nodes.id = asked.id LEFT JOIN i ON i.id = asked.id)
+    SELECT id, 'Is ' || name || ' in force?' AS question, CASE WHEN gone THEN 'No document ' || chr(39) || name || chr(39) || ' is known.' ELSE name || ' is ' || CASE WHEN status = 'expired' THEN 'no longer in force' WHEN e > 0 THEN 'replaced by a later document' WHEN a > 0 THEN 'in force as amended' ELSE 'in force' END || '.' END AS answer,
+      CAST(CASE WHEN gone THEN 0 WHEN status IS NULL THEN 0.5 ELSE 0.9 END AS DOUBLE) AS confidence, CASE WHEN gone THEN 0 WHEN status = 'expired' OR e > 0 THEN e ELSE a END AS n_evidence FROM v""",
+)
+def validity_answers(spark, d):
+    """Every part, and as many ids that are none."""
+    known = named_nodes(spark, d)
+    asked = known.select("id").unionByName(known.select((-1 - F.col("id")).alias("id")))
+    return Z.validity_answers(asked, known, edges(spark, d), ["replaces"], ["amends"])
+
+
+@register(
+    "amendments_answer",
+    f"""WITH RECURSIVE {EDGES}, {BACK}, {_NAMES}, c AS (SELECT e.src, e.type, e.dst, m.depth FROM edges e JOIN (SELECT id, min(depth) AS depth FROM r GROUP BY id) m ON e.dst = m.id WHERE e.type IN ('amends', 'replaces')),
+    s AS (SELECT a.name || ' --' || c.type || '--> ' || b.name AS line, row_number() OVER (ORDER BY depth, src, dst, c.type) AS i FROM c JOIN nm a ON a.id = c.src JOIN nm b ON b.id = c.dst)
+    SELECT 'Which documents amend ' || name || '?' AS question, name || ' has ' || (SELECT count(*) FROM c) || ' amending documents.' AS answer, CAST(0.85 AS DOUBLE) AS confidence, (SELECT count(*) FROM c) AS n_evidence, (SELECT list(line ORDER BY i) FROM s WHERE i <= 10) AS steps FROM nm WHERE id = 1""",
+)
+def amendments_answer(spark, d):
+    return Z.amendments_answer(named_nodes(spark, d), edges(spark, d), 1, ["amends", "replaces"])

@@ -9,6 +9,7 @@ from quern.functions import vocabularies as V
 from quern.operators import documents as D
 from quern.operators import graph as G
 from quern.operators import metrics as X
+from quern.operators import reasoner as W
 from quern.operators import retrieval as R
 from quern.operators import search as S
 from quern.operators import summarise as Z
@@ -117,3 +118,23 @@ def test_uploads_keys_summaries(spark):
 def test_questions_are_split_like_texts(spark):
     docs = spark.createDataFrame([(1, "İstanbul café x²"), (2, "other")], "doc_id long, text string")
     assert [r.doc_id for r in S.bm25(docs, "İstanbul CAFÉ x²").collect()] == [1] and S.bm25(docs, "?!").count() == 0
+
+
+def test_answers_of_the_reasoner(spark):
+    nodes = spark.createDataFrame([(1, "Law", "active"), (2, "Decree", "active"), (3, None, None), (4, "Old", "expired"), (5, "Alone", "active")], "id long, name string, status string")
+    e = spark.createDataFrame([(2, "amends", 1), (3, "replaces", 2), (4, "cites", 1), (1, "cites", 4), (9, "amends", 3)], "src long, type string, dst long")
+    asked = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,), (7,), (1,)], "id long")
+    got = {r.id: r for r in W.validity_answers(asked, nodes, e, ["replaces"], ["amends"]).collect()}
+    assert {i: (r.answer, r.confidence, r.n_evidence) for i, r in got.items()} == {
+        1: ("Law is in force as amended.", 0.9, 1), 2: ("Decree is replaced by a later document.", 0.9, 1), 3: ("3 is in force as amended.", 0.5, 1), 4: ("Old is no longer in force.", 0.9, 0),
+        5: ("Alone is in force.", 0.9, 0), 7: ("No document '7' is known.", 0.0, 0),
+    }
+    row = lambda df: tuple(df.first())[1:]
+    both = ["amends", "replaces"]
+    assert row(W.amendments_answer(nodes, e, 1, both)) == ("Law has 3 amending documents.", 0.85, 3, ["Decree --amends--> Law", "3 --replaces--> Decree", "9 --amends--> 3"])
+    assert row(W.amendments_answer(nodes, e, 1, both, most=1))[2:] == (3, ["Decree --amends--> Law"])
+    assert row(W.amendments_answer(nodes, e, 5, both)) == ("Alone has not been amended.", 1.0, 0, [])
+    assert row(W.related_answer(nodes, e, 4, 1)) == ("2 documents are related to Old.", 0.8, 2, ["Law --cites--> Old", "Old --cites--> Law"])
+    assert row(W.related_answer(nodes, e, 5)) == ("Nothing is related to Alone.", 0.3, 0, [])
+    assert row(W.path_answer(nodes, e, 3, 4)) == ("By: replaces -> amends -> cites", 0.7, 3, ["3 --replaces--> Decree", "Decree --amends--> Law", "Law --cites--> Old"])
+    assert row(W.path_answer(nodes, e, 5, 4)) == ("No path leads from Alone to Old.", 0.1, 0, [])
