@@ -135,9 +135,9 @@ def keyphrases_tfidf(spark, d):
     return D.keyphrase_scores(load(spark, d, "benchmark"), STOP, id_col="item_id")
 
 
-@register("keyphrases_tfidf_documents")
+@register("keyphrases_tfidf_documents", ORACLES["keyphrases_tfidf"].replace("item_id AS doc_id", "doc_id").replace("benchmark", "documents"))
 def keyphrases_tfidf_documents(spark, d):
-    """As keyphrases_tfidf, whose SQL twin reads the benchmark table, over the corpus."""
+    """As keyphrases_tfidf, over the corpus."""
     return D.keyphrase_scores(load(spark, d, "documents"), STOP)
 
 
