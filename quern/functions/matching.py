@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import runs
 from quern.functions.text import col
 
 
@@ -22,9 +23,7 @@ def positions(c: Column | str, pattern: str, ignore_case: bool = False) -> Colum
     text = F.lower(col(c)) if ignore_case else col(c)
     want = pattern.lower() if ignore_case else pattern
     parts = F.split(text, f"(?={quoted(want)})", -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("seen"))
-    step = lambda h, p: F.struct((h["at"] + F.length(p)).alias("at"), F.concat(h["seen"], F.array(h["at"] + F.length(p))).alias("seen"))
-    cuts = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step, lambda h: h["seen"])
+    cuts = runs.sums(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.length))
     return F.when(text.isNull(), F.array().cast("array<int>")).when(F.startswith(text, F.lit(want)), F.concat(F.array(F.lit(0)), cuts)).otherwise(cuts)
 
 

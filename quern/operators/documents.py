@@ -1,4 +1,4 @@
-"""Document processing: references with offsets, sections, chunks, tags, keyphrases, duplicates. Folds run in the JVM."""
+"""Document processing: references with offsets, sections, chunks, tags, keyphrases, duplicates."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import runs
 from quern.functions import text as T
 
 #: Folded chunk windows: tokens to a chunk, tokens carried over, tokens below which a windowed chunk is dropped.
@@ -17,22 +18,16 @@ MOST, OVERLAP, LEAST = 512, 64, 20
 
 
 def spans(c: Column | str, pattern: str, group: int = 0) -> Column:
-    """All matches of a pattern as structs (value, start, end), offsets from 0 in characters.
+    """All matches of a pattern as structs (value, start, end), offsets from 0 in characters; null for null.
 
-    Between the matches stand the pieces that split() leaves, so their lengths give the offsets.
+    Between the matches stand the pieces that split() leaves, so the running sums of their lengths give the offsets.
     """
     text = T.col(c)
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("p"), found.alias("m"), values.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value:string,start:int,end:int>>").alias("out"))
-
-    def step(h: Column, x: Column) -> Column:
-        first = h["at"] + F.length(x["p"])
-        last = first + F.length(x["m"])
-        return F.struct(last.alias("at"), F.concat(h["out"], F.array(F.struct(x["v"].alias("value"), first.alias("start"), last.alias("end")))).alias("out"))
-
-    return F.aggregate(pairs, start, step, lambda h: h["out"])
+    ends = runs.sums(F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.length(p) + F.length(m)))
+    each = F.arrays_zip(values.alias("v"), found.alias("m"), ends.alias("e"))
+    return F.transform(each, lambda x: F.struct(x["v"].alias("value"), (x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end")))
 
 
 def references(docs: DataFrame, patterns: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,64 +60,25 @@ def sentence_window(parts: Column, most: int = MOST, overlap: int = OVERLAP, lea
     """Sentences packed into chunks of at most `most` white-space tokens; whole trailing sentences of up to `overlap` tokens
     are carried into the next chunk; chunks under `least` tokens go; a sentence over `most` is a chunk of its own."""
     size = lambda s: F.size(F.split(s, r"\s+"))
-    kind = "array<string>"
-    start = F.struct(F.array().cast(kind).alias("open"), F.lit(0).alias("n"), F.array().cast("array<array<string>>").alias("done"))
-
-    def carried(own: Column) -> Column:
-        back = F.aggregate(
-            F.reverse(own), F.struct(F.array().cast(kind).alias("keep"), F.lit(0).alias("n"), F.lit(False).alias("full")),
-            lambda h, s: F.when(h["full"] | (h["n"] + size(s) > overlap), F.struct(h["keep"].alias("keep"), h["n"].alias("n"), F.lit(True).alias("full"))).otherwise(
-                F.struct(F.concat(F.array(s), h["keep"]).alias("keep"), (h["n"] + size(s)).alias("n"), F.lit(False).alias("full"))
-            ),
-        )
-        return back["keep"]
-
-    def step(h: Column, s: Column) -> Column:
-        fits = (h["n"] + size(s) <= most) | (F.size(h["open"]) == 0)
-        kept = carried(h["open"])
-        kept = F.when(F.aggregate(kept, F.lit(0), lambda a, x: a + size(x)) + size(s) > most, F.array().cast(kind)).otherwise(kept)
-        grown = F.concat(kept, F.array(s))
-        return F.when(fits, F.struct(F.concat(h["open"], F.array(s)).alias("open"), (h["n"] + size(s)).alias("n"), h["done"].alias("done"))).otherwise(
-            F.struct(grown.alias("open"), F.aggregate(grown, F.lit(0), lambda a, x: a + size(x)).alias("n"), F.concat(h["done"], F.array(h["open"])).alias("done"))
-        )
-
-    packed = F.aggregate(parts, start, step, lambda h: F.when(F.size(h["open"]) > 0, F.concat(h["done"], F.array(h["open"]))).otherwise(h["done"]))
-    return F.filter(F.transform(packed, lambda c: F.array_join(c, " ")), lambda c: size(c) >= least)
+    chunks = runs.joined(parts, runs.by_size(F.transform(parts, size), most, overlap), " ")
+    return F.filter(chunks, lambda c: size(c) >= least)
 
 
 def merged_parts(parts: Column, most: int = 1200, gap: int = 2) -> Column:
-    """Neighbouring parts joined by blank lines while they fit into `most` characters, separators counted."""
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
+    """Neighbouring parts joined by blank lines while they fit into `most` characters, separators counted; empty parts go."""
+    kept = F.filter(parts, lambda p: p != "")
+    return runs.joined(kept, runs.by_size(F.transform(kept, lambda p: F.length(p) + gap), most + gap), "\n" * gap)
 
-    def step(h: Column, p: Column) -> Column:
-        fits = F.length(h["open"]) + gap + F.length(p) <= most
-        return (
-            F.when(h["open"] == "", F.struct(p.alias("open"), h["done"].alias("done")))
-            .when(fits, F.struct(F.concat(h["open"], F.lit("\n" * gap), p).alias("open"), h["done"].alias("done")))
-            .otherwise(F.struct(p.alias("open"), F.concat(h["done"], F.array(h["open"])).alias("done")))
-        )
 
-    return F.aggregate(parts, start, step, lambda h: F.when(h["open"] != "", F.concat(h["done"], F.array(h["open"]))).otherwise(h["done"]))
+def fixed_overlap(parts: Column, words: int, overlap: int) -> Column:
+    """Sentences packed to at most `words` words; each chunk starts with the last `overlap` sentences of the one before, where the
+    next one fits with them; a sentence with more words is cut to pieces first."""
 
+    def pieces(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / words).cast("int")), lambda i: F.array_join(F.slice(w, i * words + 1, F.lit(words)), " "))
 
-def fixed_overlap(parts: Column, words: int, overlap: int) -> Column:
-    """Sentences packed to at most `words` words; each chunk starts with the last `overlap` sentences of the one before;
-    a sentence with more words is cut to pieces first."""
-    cut = F.flatten(
-        F.transform(parts, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(F.split(s, " ")) - 1) / words).cast("int")), lambda i: F.array_join(F.slice(F.split(s, " "), i * words + 1, F.lit(words)), " ")))
-    )
-    count = lambda a: F.aggregate(a, F.lit(0), lambda n, s: n + F.size(F.split(s, " ")))
-    start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<string>").alias("done"))
-
-    def step(h: Column, s: Column) -> Column:
-        fits = count(h["open"]) + F.size(F.split(s, " ")) <= words
-        tail = F.slice(h["open"], F.greatest(F.size(h["open"]) - overlap + 1, F.lit(1)), F.lit(max(overlap, 1))) if overlap else F.array().cast("array<string>")
-        tail = F.when(count(tail) + F.size(F.split(s, " ")) <= words, tail).otherwise(F.array().cast("array<string>"))
-        return F.when(fits | (F.size(h["open"]) == 0), F.struct(F.concat(h["open"], F.array(s)).alias("open"), h["done"].alias("done"))).otherwise(
-            F.struct(F.concat(tail, F.array(s)).alias("open"), F.concat(h["done"], F.array(F.array_join(h["open"], " "))).alias("done"))
-        )
-
-    return F.aggregate(cut, start, step, lambda h: F.when(F.size(h["open"]) > 0, F.concat(h["done"], F.array(F.array_join(h["open"], " ")))).otherwise(h["done"]))
+    cut = F.flatten(F.transform(F.transform(parts, lambda s: F.split(s, " ")), pieces))
+    return runs.joined(cut, runs.by_count(F.transform(cut, lambda s: F.size(F.split(s, " "))), words, overlap), " ")
 
 
 def sections(docs: DataFrame, levels: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
