@@ -12,7 +12,7 @@ from quern.functions import text as T
 from quern.operators import documents as D
 from quern.operators import text_index
 from quern.operators.lineage import cut
-from quern.sources import sinks
+from quern.sources import keyed
 from quern.sources.files import parse
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -31,7 +31,7 @@ def store_documents(target: str, index: bool = False) -> Callable[[DataFrame, in
 
     A batch is parsed once, into a checkpointed table. A document that is seen again replaces all its chunks; files without
     text go to a dead-letter table with the reason, and leave it when they come back with text. The same files in any number
-    of batches, or a batch that runs twice, leave the same tables. With index, a batch's documents become a segment of a
+    of batches, or a batch that runs twice, leave the same tables. A batch rewrites the buckets of its own keys. With index, a batch's documents become a segment of a
     search index under its number.
     """
 
@@ -42,14 +42,14 @@ def store_documents(target: str, index: bool = False) -> Callable[[DataFrame, in
         said = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
         good, bad = parsed.where(said), parsed.where(~said)
         docs = good.select(F.sha2("path", 256).alias("doc_id"), "path", "format", "version", F.col("modificationTime").alias("seen_at"), T.clean_lines("text").alias("text"))
-        sinks.merge_into(docs, f"{target}/documents", ["doc_id"])
+        keyed.merge_into(docs, f"{target}/documents", ["doc_id"])
         chunks = docs.select("doc_id", F.posexplode(D.sentence_window(T.sentences("text"), least=1)).alias("chunk", "text"))
-        sinks.replace_in(chunks.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "text"), f"{target}/chunks", docs.select("doc_id"), ["doc_id"])
-        sinks.replace_in(bad.select("path", F.coalesce("error", F.lit("no text")).alias("error")), f"{target}/dead_letters", parsed.select("path"), ["path"])
+        keyed.replace_in(chunks.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "text"), f"{target}/chunks", docs.select("doc_id"), ["doc_id"])
+        keyed.replace_in(bad.select("path", F.coalesce("error", F.lit("no text")).alias("error")), f"{target}/dead_letters", parsed.select("path"), ["path"])
         if index:
             text_index.write_segment(docs.select("doc_id", "text"), f"{target}/index", batch_id)
         for table in ("documents", "chunks", "dead_letters"):
-            sinks.expire(spark, f"{target}/{table}")
+            keyed.expire(spark, f"{target}/{table}")
 
     return run
 

@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quern.operators import text_index as I
-from quern.sources import files, sinks
+from quern.sources import files, keyed, sinks
 from quern.streaming import jobs
 
 
@@ -61,9 +61,9 @@ def test_document_stream_is_idempotent(spark, tmp_path):
     for per in (100, 2):
         out = tmp_path / f"out{per}"
         jobs.start_documents(spark, f"file://{src}", f"file://{out}", f"file://{tmp_path}/cp{per}", per_batch=per).awaitTermination()
-        docs = sinks.read_table(spark, f"file://{out}/documents")
-        tables.append((sorted(r.text for r in docs.collect()), sorted((r.chunk, r.text) for r in sinks.read_table(spark, f"file://{out}/chunks").collect())))
-        assert sinks.read_table(spark, f"file://{out}/dead_letters").count() == 1
+        docs = keyed.read(spark, f"file://{out}/documents")
+        tables.append((sorted(r.text for r in docs.collect()), sorted((r.chunk, r.text) for r in keyed.read(spark, f"file://{out}/chunks").collect())))
+        assert keyed.read(spark, f"file://{out}/dead_letters").count() == 1
     assert tables[0] == tables[1] and len(tables[0][0]) == 5
 
 
@@ -98,15 +98,15 @@ def test_documents_that_shrink_and_files_that_are_repaired(spark, tmp_path):
     batch = lambda *rows: spark.createDataFrame(list(rows), "path string, content binary").selectExpr("path", "current_timestamp() as modificationTime", "length(content) as length", "content")
     long = " ".join(f"Sentence number {i} of a long document with several words in it." for i in range(400)).encode()
     run(batch(("a.txt", long), ("b.pdf", b"broken"), ("c.txt", b"A license here.")), 0)
-    chunks = lambda: sinks.read_table(spark, f"{out}/chunks").count()
-    assert chunks() > 2 and sinks.read_table(spark, f"{out}/dead_letters").count() == 1
+    chunks = lambda: keyed.read(spark, f"{out}/chunks").count()
+    assert chunks() > 2 and keyed.read(spark, f"{out}/dead_letters").count() == 1
     for n in (1, 1, 2, 3, 4):  # a batch may run twice
         run(batch(("a.txt", b"Short now."), ("b.pdf", b"broken")), n)
-    assert chunks() == 2 and sinks.read_table(spark, f"{out}/documents").count() == 2
-    assert len(list((tmp_path / "out" / "documents").iterdir())) == 3
+    assert chunks() == 2 and keyed.read(spark, f"{out}/documents").count() == 2
+    assert len(list((tmp_path / "out" / "documents").glob("v*"))) == 3
     run(batch(("b.pdf", b"")), 5)
-    assert sinks.read_table(spark, f"{out}/dead_letters").count() == 1
-    docs = {r.path: r.doc_id for r in sinks.read_table(spark, f"{out}/documents").collect()}
+    assert keyed.read(spark, f"{out}/dead_letters").count() == 1
+    docs = {r.path: r.doc_id for r in keyed.read(spark, f"{out}/documents").collect()}
     hits = lambda q: [r.doc_id for r in I.search_index(spark, f"{out}/index", q).collect()]
     assert hits("license") == [docs["c.txt"]] and hits("short") == [docs["a.txt"]] and hits("number") == [] and hits("...") == []
 
@@ -132,3 +132,42 @@ def test_evaluation_and_tags(spark, tmp_path):
     for value in ("en", "de"):
         sinks.write_tags(tags.withColumn("value", F.lit(value)), f"file://{tmp_path}/tags", ["doc_id", "name"])
     assert [tuple(r) for r in sinks.read_table(spark, f"file://{tmp_path}/tags").collect()] == [(1, "lang", "de")]
+
+
+def test_keyed_tables_rewrite_only_touched_buckets(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    make = lambda *rows: spark.createDataFrame(list(rows), "k long, v string")
+    rows = lambda: sorted((tuple(r) for r in keyed.read(spark, path).collect()), key=str)
+    files_of = lambda: {p for p in tmp_path.glob("t/rows/*/*/*.parquet")}
+    assert keyed.read(spark, path) is None and keyed.delete_from(path, make(), ["k"]) is None
+    keyed.merge_into(make(), path, ["k"], buckets=16)
+    assert rows() == [] and keyed.merge_into(make(), path, ["k"]) is None
+    keyed.merge_into(make(*[(i, "a") for i in range(200)], (None, "n")), path, ["k"], buckets=16)
+    before = files_of()
+    assert len(rows()) == 201 and len({p.parent.name for p in before}) == 16
+    keyed.merge_into(make((7, "b")), path, ["k"])
+    assert len({p.parent for p in files_of() - before}) == 1 and len(rows()) == 201 and (7, "b") in rows() and (7, "a") not in rows()
+    keyed.delete_from(path, make((7, ""), (999, "")), ["k"])
+    assert len(rows()) == 200 and (None, "n") in rows()
+    keyed.replace_in(make((8, "x"), (8, "y")), path, make((8, "")), ["k"])
+    assert [r for r in rows() if r[0] == 8] == [(8, "x"), (8, "y")] and len(rows()) == 201
+    old = spark.read.parquet(f"{path}/v0000000001")  # an earlier version is whole until it expires
+    assert old.where("bucket >= 0").count() == 16
+    want = rows()
+    keyed.expire(spark, path, keep=1)
+    assert rows() == want and len(list(tmp_path.glob("t/v*"))) == 1 and len({p.parent for p in files_of()}) == 16
+    keyed.rebucket(spark, path, ["k"], 4)
+    assert rows() == want and len({p.parent for p in files_of() if p.parent.parent.name == f"write={max(int(q.name.split('=')[1]) for q in tmp_path.glob('t/rows/*'))}"}) == 4
+    keyed.merge_into(make(*[(i, "c") for i in range(200)]), path, ["k"])
+    assert len(rows()) == 201 and sum(r[1] == "c" for r in rows()) == 200
+
+
+def test_a_file_rewrites_its_own_bucket(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+    run = jobs.store_documents(out)
+    batch = lambda *rows: spark.createDataFrame(list(rows), "path string, content binary").selectExpr("path", "current_timestamp() as modificationTime", "length(content) as length", "content")
+    run(batch(*[(f"{i}.txt", b"One sentence here.") for i in range(60)]), 0)
+    seen = set(tmp_path.glob("out/documents/rows/*/*/*.parquet"))
+    run(batch(("5.txt", b"Another sentence now.")), 1)
+    assert len(set(tmp_path.glob("out/documents/rows/*/*/*.parquet")) - seen) == 1
+    assert keyed.read(spark, f"{out}/documents").count() == 60 and keyed.read(spark, f"{out}/chunks").where("text like 'Another%'").count() == 1
