@@ -1,6 +1,7 @@
 """Running sums and windows over arrays of lengths: Arrow kernels in linear time. Texts stay in the JVM, only lengths travel.
 
-A fold over an array copies what it has gathered at each step; these kernels do not.
+A fold over an array copies what it has gathered at each step; these kernels do not. Inside explode, Spark does not find a kernel
+again whose input has a lambda within a lambda; inputs here have none, and a column made by such lambdas is selected first.
 """
 
 from __future__ import annotations

@@ -78,7 +78,9 @@ def fixed_overlap(parts: Column, words: int, overlap: int) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / words).cast("int")), lambda i: F.array_join(F.slice(w, i * words + 1, F.lit(words)), " "))
 
     cut = F.flatten(F.transform(F.transform(parts, lambda s: F.split(s, " ")), pieces))
-    return runs.joined(cut, runs.by_count(F.transform(cut, lambda s: F.size(F.split(s, " "))), words, overlap), " ")
+    whole = lambda n: F.floor((n - 1) / words).cast("int")
+    sizes = F.flatten(F.transform(F.transform(parts, lambda s: F.size(F.split(s, " "))), lambda n: F.concat(F.array_repeat(F.lit(words), whole(n)), F.array(n - whole(n) * words))))
+    return runs.joined(cut, runs.by_count(sizes, words, overlap), " ")
 
 
 def sections(docs: DataFrame, levels: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from quern.operators.lineage import in_ranges
+
 
 def ranking(results: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
     """Per query and k: recall, hit, precision, mrr, ndcg. results (query, id, rank from 1), gold (query, id, rel).
@@ -81,10 +83,13 @@ def per_class(matrix: DataFrame) -> DataFrame:
 
 
 def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """Area under the ROC curve by counts per distinct score: pairs won and half the ties."""
+    """Area under the ROC curve by counts per distinct score: pairs won and half the ties.
+
+    Scores are summed in ranges, each from what lies below it, so no task sees them all.
+    """
     by = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.sum(1 - F.col(truth).cast("long")).alias("neg"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)  # distinct scores; round them first on large tables
-    won = by.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    below = Window.partitionBy("_part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    won = in_ranges(by, "s", "neg").withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("_before"))
     return won.agg(F.round(F.try_divide(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.lineage import cut
+from quern.operators.lineage import in_ranges
 
 
 # --- joins ----------------------------------------------------------------------------------------------------------
@@ -270,18 +270,8 @@ def natural_key_ids(target: DataFrame, source: DataFrame, key: str, id_col: str
     place = F.when(bare, F.struct(F.lit(1).alias("b"), F.lit("").alias("k"), F.col(order or key).cast("string").alias("o"))).otherwise(F.struct(F.lit(0).alias("b"), F.col(key).cast("string").alias("k"), F.lit("").alias("o")))
     fresh = rows.where("_old is null").withColumn("_place", place)
     places = fresh.select("_place").distinct()
-    # New keys are numbered without one sorted window over all of them: range partitions are counted, then numbered from their offsets.
-    ordered = cut(places.repartitionByRange("_place").withColumn("_part", F.spark_partition_id()))
-    sizes = {r["_part"]: r["count"] for r in ordered.groupBy("_part").count().collect()}  # as many rows as partitions
-    before, offsets = 0, []
-    for part in sorted(sizes):
-        offsets.append((part, before))
-        before += sizes[part]
     top = target.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).first()[0]
-    numbered = (
-        ordered.join(F.broadcast(target.sparkSession.createDataFrame(offsets or [(0, 0)], "_part int, _before long")), "_part")
-        .withColumn("_new", F.row_number().over(Window.partitionBy("_part").orderBy("_place")) + F.col("_before") + F.lit(top))
-        .select("_place", "_new")
-    )
+    number = F.row_number().over(Window.partitionBy("_part").orderBy("_place")) + F.col("_before") + F.lit(top)
+    numbered = in_ranges(fresh.select("_place").distinct(), "_place").select("_place", number.alias("_new"))
     out = rows.where("_old is not null").withColumn(id_col, F.col("_old").cast("long")).drop("_old")
     return out.unionByName(fresh.join(numbered, "_place").withColumn(id_col, F.col("_new").cast("long")).drop("_old", "_new", "_place"))

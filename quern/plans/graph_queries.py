@@ -96,7 +96,16 @@ def graph_entities(spark, d):
     return G.entities(load(spark, d, "documents"), {"email": r"[a-z.0-9]+@[a-z0-9.]+", "host": "mail[0-9]"})
 
 
-@register("graph_relations")
+_TARGET = "(?:GNU|CC|MIT|Apache)[A-Za-z -]{0,20}[0-9.]*"
+
+
+@register(
+    "graph_relations",
+    f"""WITH k AS (SELECT * FROM (VALUES (0, 'licensed', 'Licensed under'), (1, 'worked', 'This work is licensed')) v(turn, type, cue)), m AS (SELECT CAST(doc_id AS VARCHAR) AS src, text, turn, type, cue, string_split(text, cue) AS s FROM documents, k WHERE contains(text, cue)),
+    u AS (SELECT * EXCLUDE s, unnest(list_transform(range(1, len(s)), lambda i: CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) AS BIGINT) + (i - 1) * length(cue))) AS position FROM m),
+    e AS (SELECT *, substr(text, greatest(position - 50, 0) + 1, position + length(cue) + 200 - greatest(position - 50, 0)) AS evidence FROM u)
+    SELECT src, lower(dst) AS dst, type, evidence, position, turn FROM (SELECT *, unnest(list_distinct(regexp_extract_all(evidence, '{_TARGET}'))) AS dst FROM e) x""",
+)
 def graph_relations(spark, d):
     return G.relations(load(spark, d, "documents"), {"licensed": "Licensed under", "worked": "This work is licensed"}, r"(?:GNU|CC|MIT|Apache)[A-Za-z -]{0,20}[0-9.]*")
 

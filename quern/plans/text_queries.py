@@ -141,7 +141,13 @@ def keyphrases_tfidf_documents(spark, d):
     return D.keyphrase_scores(load(spark, d, "documents"), STOP)
 
 
-@register("keyphrases")
+_PHRASES = f"""WITH RECURSIVE {GRAMS.replace('item_id AS doc_id', 'doc_id').replace('benchmark', 'documents')},
+sc AS (SELECT doc_id, phrase, round(n / total::DOUBLE * (ln(((SELECT count(*) FROM documents) + 1) / (df + 1)::DOUBLE) + 1), 8) AS score FROM k JOIN f USING (phrase)), ls AS (SELECT doc_id, list(phrase ORDER BY score DESC, phrase) AS ps FROM sc GROUP BY 1),
+ch AS (SELECT doc_id, 1 AS i, [ps[1]] AS got FROM ls UNION ALL SELECT doc_id, i + 1, CASE WHEN list_has_any(string_split(ps[i + 1], ' '), flatten(list_transform(got, lambda x: string_split(x, ' ')))) THEN got ELSE list_append(got, ps[i + 1]) END FROM ch JOIN ls USING (doc_id) WHERE i < len(ps) AND len(got) < 10),
+best AS (SELECT doc_id, max_by(got, i) AS got FROM ch GROUP BY 1), kp AS (SELECT doc_id, unnest(got) AS phrase, generate_subscripts(got, 1) AS rank FROM best)"""
+
+
+@register("keyphrases", f"{_PHRASES} SELECT doc_id, phrase, rank FROM kp")
 def keyphrases(spark, d):
     return D.keyphrases(load(spark, d, "documents"), STOP)
 
@@ -154,7 +160,7 @@ def keyphrase_search(spark, d):
     return one.where("score >= 0.1").orderBy(F.desc("score"), "doc_id").limit(10)
 
 
-@register("top_phrases")
+@register("top_phrases", f"{_PHRASES} SELECT phrase, count(*) AS n FROM kp GROUP BY phrase ORDER BY n DESC, phrase LIMIT 20")
 def top_phrases(spark, d):
     return D.keyphrases(load(spark, d, "documents"), STOP).groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(20)
 
@@ -210,13 +216,33 @@ def dates_found(spark, d):
     return load(spark, d, "orders").select("o_orderkey", T.dmy_date(written).alias("found"))
 
 
-@register("chunk_window")
+def _chunks_sql(parts: str, size: str, most: int, carry: str, fit: str) -> str:
+    """A recursive twin of packing: a row per document and part, p the running sums from 0, a the parts before the open chunk."""
+    return f"""WITH RECURSIVE s AS (SELECT doc_id, {parts} AS ss FROM documents), d AS (SELECT doc_id, ss, list_prepend(0, list_transform(range(1, len(ss) + 1), lambda i: CAST(list_sum(list_transform(ss[1:i], lambda x: {size})) AS BIGINT))) AS p FROM s WHERE len(ss) > 0),
+    r AS (SELECT doc_id, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS n FROM d UNION ALL
+        SELECT doc_id, i + 1, CASE WHEN fits THEN a WHEN p[i + 2] - p[c + 1] <= {most} THEN c ELSE i END, CASE WHEN fits THEN n ELSE n + 1 END
+        FROM (SELECT *, CASE WHEN fits THEN a ELSE greatest(a, {carry}) END AS c FROM (SELECT r.*, d.p, d.p[i + 2] - d.p[a + 1] <= {most} AS fits FROM r JOIN d USING (doc_id) WHERE i < len(d.ss)) x) y),
+    g AS (SELECT doc_id, n, max(a) AS a, max(i) AS b FROM r GROUP BY ALL), t AS (SELECT doc_id, n, array_to_string(ss[a + 1:b], ' ') AS text FROM g JOIN d USING (doc_id))
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS chunk, text FROM t WHERE {fit}"""
+
+
+_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: length(s) > 0)"
+_WORDS = "CAST(len(list_filter(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS BIGINT) AS tokens"
+
+
+@register(
+    "chunk_window",
+    f"SELECT doc_id, chunk, {_WORDS}, md5(text) AS digest FROM (" + _chunks_sql(_SENTENCES, r"len(regexp_split_to_array(x, '\s+'))", 256, "len(list_filter(p, lambda x: x < p[i + 1] - 32))", r"len(regexp_split_to_array(text, '\s+')) >= 20") + ")",
+)
 def chunk_window(spark, d):
     parts = D.sentence_window(T.sentences("text"), 256, 32, 20)
     return load(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("chunk", "text")).select("doc_id", F.col("chunk").cast("long").alias("chunk"), T.word_count("text").alias("tokens"), F.md5("text").alias("digest"))
 
 
-@register("chunk_fixed_overlap")
+_PIECES = f"flatten(list_transform({_SENTENCES}, lambda s: list_transform(range(0, (len(string_split(s, ' ')) - 1) // 200 + 1), lambda j: array_to_string(string_split(s, ' ')[j * 200 + 1:(j + 1) * 200], ' '))))"
+
+
+@register("chunk_fixed_overlap", f"SELECT doc_id, chunk, {_WORDS} FROM (" + _chunks_sql(_PIECES, "len(string_split(x, ' '))", 200, "i - 2", "true") + ")")
 def chunk_fixed_overlap(spark, d):
     parts = D.fixed_overlap(T.sentences("text"), 200, 2)
     return load(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("chunk", "text")).select("doc_id", F.col("chunk").cast("long").alias("chunk"), T.word_count("text").alias("tokens"))
@@ -233,7 +259,13 @@ def chunk_merge(spark, d):
     return load(spark, d, "documents").select("doc_id", F.posexplode(D.merged_parts(lines)).alias("chunk", "text")).select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.length("text").cast("long").alias("chars"))
 
 
-@register("sections")
+@register(
+    "sections",
+    r"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+    v AS (SELECT *, CASE WHEN regexp_matches(line, '^[^a-z]{4,}$') THEN 1 WHEN regexp_matches(line, '^\S{1,12}$') THEN 2 END AS level FROM l), s AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM v),
+    p AS (SELECT *, CASE WHEN level = 2 THEN max(CASE WHEN level = 1 THEN section END) OVER (PARTITION BY doc_id ORDER BY n) END AS parent FROM s)
+    SELECT doc_id, section, CAST(coalesce(max(level), 0) AS BIGINT) AS level, max(CASE WHEN level IS NOT NULL THEN trim(line, ' ') END) AS heading, max(parent) AS parent, trim(coalesce(string_agg(CASE WHEN level IS NULL THEN line END, chr(10) ORDER BY n), ''), ' ') AS content FROM p GROUP BY doc_id, section""",
+)
 def sections(spark, d):
     """Lines in capitals or of a single short word stand for headers of two levels."""
     return D.sections(load(spark, d, "documents").select("doc_id", "text"), [r"^[^a-z]{4,}$", r"^\S{1,12}$"])
@@ -244,7 +276,21 @@ def section_chunks(spark, d):
     return D.section_chunks(load(spark, d, "documents").select("doc_id", "text"), [r"(?m)^([A-Z][a-z]+)\.$", r"(?m)^([A-Z]\S+) [a-z]+ "])
 
 
-@register("query_understanding")
+_TOKENS = r"list_filter(regexp_split_to_array(trim(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda x: x <> '')"
+_FOURS = "list_transform(range(1, len({0}) - 2), lambda i: array_to_string({0}[i:i + 3], ' '))"
+_ASKED = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
+_NAMED = " ".join("WHEN " + " OR ".join(f"contains(q, ' {w} ')" for w in words) + f" THEN '{name}'" for name, words in LANGUAGES.items())
+_HITS = "len(list_intersect(list_distinct(w), ['{0}', '{1}']))"
+
+
+@register(
+    "query_understanding",
+    f"""WITH t AS (SELECT conv_id, turn, {_ASKED} AS q, {_TOKENS.format('text')} AS w FROM conversations WHERE role = 'user'),
+    v AS (SELECT *, list_filter([q, CASE WHEN contains(q, 'license') THEN replace(q, 'license', 'licence') END, CASE WHEN contains(q, 'license') THEN replace(q, 'license', 'permit') END, CASE WHEN contains(q, 'the') THEN replace(q, 'the', 'this') END], lambda x: x IS NOT NULL) AS vs,
+    {_HITS.format('what', 'the')} AS h1, {_HITS.format('and', 'of')} AS h2, {_HITS.format('die', 'und')} AS h3 FROM t)
+    SELECT conv_id, turn, list_filter(vs, lambda x, i: list_position(vs, x) = i) AS variants, CASE {_NAMED} ELSE 'general' END AS domain,
+    CASE WHEN h1 > 0 AND h1 >= h2 AND h1 >= h3 THEN 'ask' WHEN h2 > 0 AND h2 >= h3 THEN 'tell' WHEN h3 > 0 THEN 'fragen' ELSE 'other' END AS label, round(least(0.5 + 0.1::DOUBLE * greatest(h1, h2, h3), 0.95), 2)::DOUBLE AS confidence FROM v""",
+)
 def query_understanding(spark, d):
     """Variants by synonyms, domain and intent of every user turn."""
     turns = load(spark, d, "conversations").where("role = 'user'")
@@ -273,10 +319,6 @@ def extractive_answers(spark, d):
     return context.select("query", "source", A.extractive_answer(F.lit(QUESTION), "context").alias("answer"), A.prompt(F.lit(QUESTION), "context").alias("prompt"))
 
 
-_TOKENS = r"list_filter(regexp_split_to_array(trim(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda x: x <> '')"
-_FOURS = "list_transform(range(1, len({0}) - 2), lambda i: array_to_string({0}[i:i + 3], ' '))"
-
-
 @register(
     "answer_checks",
     f"""WITH p AS (SELECT q.conv_id, q.turn AS t, q.text AS question, a.text AS answer FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn - 1 = q.turn WHERE q.role = 'user' AND a.role = 'assistant'), k AS (SELECT *, {_TOKENS.format('question')} AS qt, {_TOKENS.format('answer')} AS rt FROM p)
