@@ -80,7 +80,8 @@ def _change(source: DataFrame, gone: DataFrame | None, path: str, keys: list[str
 def merge_into(source: DataFrame, path: str, keys: list[str], order: str | None = None, buckets: int = BUCKETS) -> int | None:
     """Upserts source by its keys, the last row by `order` of equal keys. The version's number, or null where nothing was to be done.
 
-    `buckets` counts for a table that is new. Null keys are keys like others.
+    `buckets` counts for a table that is new. Null keys are keys like others. source is read twice (its buckets, then its rows), so
+    cut it first where it might give other rows the second time.
     """
     return _change(source, None, path, keys, order, buckets)
 
