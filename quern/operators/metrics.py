@@ -61,11 +61,27 @@ def regression(y: Column, p: Column) -> list[Column]:
     ]
 
 
-def residuals(e: Column) -> list[Column]:
-    return [
-        F.round(F.avg(e), 4).alias("mean"), F.round(F.stddev_pop(e), 4).alias("std"), F.round(F.min(e), 4).alias("low"), F.round(F.max(e), 4).alias("high"),
-        *[F.round(F.percentile(e, q), 4).alias(name) for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))],
-    ]
+def quantiles(df: DataFrame, value: Column, shares: dict[str, float]) -> DataFrame:
+    """One row of exact percentiles, interpolated between neighbours; null where no row has a value.
+
+    Distinct values are counted and lie in ranges with offsets, so no task holds or sorts them all.
+    """
+    counts = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    placed = in_ranges(counts, "v", "n").select("v", "n", upto.alias("upto"))
+    size = df.agg(F.count(value).alias("size"))
+    place = lambda q: q * (F.col("size") - 1)
+    held = lambda at: F.max(F.when((F.col("upto") - F.col("n") <= at) & (at < F.col("upto")), F.col("v")))
+    ends = placed.crossJoin(F.broadcast(size)).groupBy("size").agg(*[f(place(q)) for name, q in shares.items() for f in (lambda p, x=name: held(F.floor(p)).alias(f"low_{x}"), lambda p, x=name: held(F.ceil(p)).alias(f"high_{x}"))])  # one row
+    between = lambda name, q: F.when(F.col(f"low_{name}") == F.col(f"high_{name}"), F.col(f"low_{name}")).otherwise((F.ceil(place(q)) - place(q)) * F.col(f"low_{name}") + (place(q) - F.floor(place(q))) * F.col(f"high_{name}"))
+    return size.join(ends, "size", "left").select(*[between(name, q).alias(name) for name, q in shares.items()])
+
+
+def residuals(df: DataFrame, e: Column) -> DataFrame:
+    """One row: mean, std, low, high and quartiles of e."""
+    one = df.agg(F.round(F.avg(e), 4).alias("mean"), F.round(F.stddev_pop(e), 4).alias("std"), F.round(F.min(e), 4).alias("low"), F.round(F.max(e), 4).alias("high"))
+    quarters = quantiles(df, e, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return one.crossJoin(F.broadcast(quarters)).select("mean", "std", "low", "high", *[F.round(q, 4).alias(q) for q in ("q25", "q50", "q75")])
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:

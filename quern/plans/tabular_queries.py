@@ -349,7 +349,7 @@ def regression_metrics(spark, d):
     f"WITH e AS (SELECT l_extendedprice - {PREDICTED} AS e FROM lineitem) SELECT round(avg(e), 4) AS mean, round(stddev_pop(e), 4) AS std, round(min(e), 4) AS low, round(max(e), 4) AS high, round(quantile_cont(e, 0.25), 4) AS q25, round(quantile_cont(e, 0.5), 4) AS q50, round(quantile_cont(e, 0.75), 4) AS q75 FROM e",
 )
 def residual_summary(spark, d):
-    return load(spark, d, "lineitem").agg(*X.residuals(F.expr(f"l_extendedprice - {PREDICTED}")))
+    return X.residuals(load(spark, d, "lineitem"), F.expr(f"l_extendedprice - {PREDICTED}"))
 
 
 @register("error_breakdown", f"SELECT l_returnflag, l_linestatus, round(avg(abs(l_extendedprice - {PREDICTED})), 4) AS mae, count(*) AS n FROM lineitem GROUP BY 1, 2")

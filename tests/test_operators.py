@@ -340,3 +340,14 @@ def test_plans(spark, sf):
         assert "ArrowEvalPython" in plan and "BatchEvalPython" not in plan and "Exchange" not in plan, name
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan_of(QUERIES["boolean_and"](spark, sf))
     assert "EqualTo(l_returnflag,R)" in plan_of(QUERIES["join_to_aggregate"](spark, sf))
+
+
+def test_quantiles_are_exact_and_no_aggregate_holds_the_values(spark):
+    rng = random.Random(51)
+    for size in (0, 1, 2, 7, 500):
+        own = [rng.choice([None, rng.randrange(40) / 4, rng.random()]) for _ in range(size)]
+        df = spark.createDataFrame([(v,) for v in own], "v double")
+        got = X.quantiles(df, F.col("v"), {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0})
+        want = df.agg(*[F.percentile("v", q).alias(str(q)) for q in (0.0, 0.25, 0.5, 0.9, 1.0)]).first()
+        assert [None if x is None else round(x, 9) for x in got.first()] == [None if x is None else round(x, 9) for x in want]
+    assert "percentile" not in X.residuals(df, F.col("v"))._jdf.queryExecution().optimizedPlan().toString()
