@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,9 @@ from quern.functions import text as T
 #: Folded chunk windows: tokens to a chunk, tokens carried over, tokens below which a windowed chunk is dropped.
 MOST, OVERLAP, LEAST = 512, 64, 20
 
+#: Words that a kernel counts at once, and rows that it gives at once.
+KERNEL_WORDS, OUT_ROWS = 1_000_000, 200_000
+
 
 # --- spans ----------------------------------------------------------------------------------------------------------
 
@@ -197,10 +204,29 @@ def section_chunks(docs: DataFrame, patterns: list[str], least: int = 80, most:
 
 def top_keywords(docs: DataFrame, stop_words: list[str], k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The k commonest runs of three and more letters of each text, stop words out, first seen first among equals."""
-    words = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(T.letter_runs(text_col)).alias("pos", "word")).where(~F.col("word").isin(*stop_words))
-    counts = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
-    return counts.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("doc_id", "word", "n", "rank")
+    stop = F.array(*[F.lit(w) for w in stop_words])
+    words = docs.select(F.col(id_col).alias("doc_id"), F.filter(T.letter_runs(text_col), lambda w: ~F.array_contains(stop, w)).alias("words"))
+    schema = f"doc_id {words.schema['doc_id'].dataType.simpleString()}, word string, n long, rank long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(1)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in runs.slices(sizes, KERNEL_WORDS):
+                terms = lists.slice(a, b - a).flatten().dictionary_encode()
+                kinds = max(1, len(terms.dictionary))
+                row = np.repeat(np.arange(b - a), sizes[a:b])
+                key, first, n = np.unique(row * kinds + terms.indices.to_numpy(zero_copy_only=False), return_index=True, return_counts=True)
+                order = np.lexsort((first, -n, key // kinds))
+                doc = (key // kinds)[order]
+                rank = np.arange(len(doc)) - np.searchsorted(doc, doc) + 1
+                best = rank <= k
+                own = order[best]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(a, b - a).take(pa.array(doc[best])), terms.dictionary.take(pa.array(key[own] % kinds)), pa.array(n[own]), pa.array(rank[best].astype(np.int64))], ["doc_id", "word", "n", "rank"]
+                )
+
+    return words.mapInArrow(run, schema)
 
 
 def concepts(docs: DataFrame, rules: dict[str, list[str]], other: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,18 +241,48 @@ def concepts(docs: DataFrame, rules: dict[str, list[str]], other: str, id_col: s
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.when(F.size(found) > 0, found).otherwise(none)).alias("r")).select("doc_id", "r.*")
 
 
+def _phrase_counts(ids: pa.Array, words: pa.Array, most_words: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, all, phrase, n) of the n-grams of some documents, KERNEL_WORDS words at once; all is how many a document has."""
+    sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    for a, b in runs.slices(sizes, KERNEL_WORDS):
+        own, terms = sizes[a:b], words.slice(a, b - a).flatten().dictionary_encode()
+        codes, texts = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64), terms.dictionary
+        row, left = np.repeat(np.arange(len(own)), own), np.repeat(np.cumsum(own), own) - np.arange(len(codes))
+        total = sum(np.maximum(own - k, 0) for k in range(most_words))
+        gram, base = codes, texts
+        for k in range(1, most_words + 1):
+            if k > 1:  # a phrase is the one without its last word, and that word
+                at = np.flatnonzero(left >= k)
+                kinds, first, code = np.unique(gram[at] * len(base) + codes[at + k - 1], return_index=True, return_inverse=True)
+                texts = pc.binary_join_element_wise(texts.take(pa.array(gram[at][first])), base.take(pa.array(codes[at + k - 1][first])), " ")
+                gram = np.full(len(codes), -1)
+                gram[at] = code
+            else:
+                at = np.arange(len(codes))
+            key, n = np.unique(row[at] * max(1, len(texts)) + gram[at], return_counts=True)
+            doc, phrase = key // max(1, len(texts)), key % max(1, len(texts))
+            for c in range(0, len(key), OUT_ROWS):
+                d, p = doc[c : c + OUT_ROWS], phrase[c : c + OUT_ROWS]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(d)), pa.array(total[d]), texts.take(pa.array(p)), pa.array(n[c : c + OUT_ROWS])], ["doc_id", "all", "phrase", "n"])
+
+
 def keyphrase_scores(docs: DataFrame, stop_words: list[str], most_words: int = 3, least_docs: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, phrase, score): n-grams of content words by count / all candidates * (ln((N + 1) / (df + 1)) + 1), df at least 2.
 
-    Counts are aggregated per document before anything is shuffled by phrase.
+    A document's phrases are counted where it is read (ids are unique); its counts are shuffled once, by phrase.
     """
-    grams = T.ngrams_up_to(T.content_tokens(text_col, stop_words), most_words)
-    base = docs.select(F.col(id_col).alias("doc_id"), grams.alias("g"))
-    counts = base.select("doc_id", F.size("g").alias("all"), F.explode("g").alias("phrase")).groupBy("doc_id", "phrase", "all").agg(F.count("*").alias("n"))
-    df = counts.groupBy("phrase").agg(F.count("*").alias("df")).where(F.col("df") >= least_docs)
+    words = docs.select(F.col(id_col).alias("doc_id"), T.content_tokens(text_col, stop_words).alias("words"))
+    schema = f"doc_id {words.schema['doc_id'].dataType.simpleString()}, all long, phrase string, n long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _phrase_counts(batch.column(0), batch.column(1), most_words)
+
+    by_phrase = Window.partitionBy("phrase")
+    counts = words.mapInArrow(run, schema).withColumn("df", F.count("*").over(by_phrase)).where(F.col("df") >= least_docs)
     size = docs.agg(F.count("*").alias("docs"))
     score = F.col("n") / F.col("all") * (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1)
-    return counts.join(df, "phrase").crossJoin(F.broadcast(size)).select("doc_id", "phrase", F.round(score, 8).alias("score"))  # one row
+    return counts.crossJoin(F.broadcast(size)).select("doc_id", "phrase", F.round(score, 8).alias("score"))  # one row
 
 
 def keyphrases(docs: DataFrame, stop_words: list[str], k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -351,3 +351,30 @@ def test_quantiles_are_exact_and_no_aggregate_holds_the_values(spark):
         want = df.agg(*[F.percentile("v", q).alias(str(q)) for q in (0.0, 0.25, 0.5, 0.9, 1.0)]).first()
         assert [None if x is None else round(x, 9) for x in got.first()] == [None if x is None else round(x, 9) for x in want]
     assert "percentile" not in X.residuals(df, F.col("v"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_phrases_and_keywords_are_counted_where_they_are_read(spark, monkeypatch):
+    rng = random.Random(52)
+    texts = {i: " ".join(rng.choices(["alpha", "beta", "gamma", "the", "delta7", "12"], k=rng.randrange(0, 40))) for i in range(50)} | {50: None, 51: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(D, "KERNEL_WORDS", 30)
+    monkeypatch.setattr(D, "OUT_ROWS", 7)
+    counts, sizes, firsts = {}, {}, {}
+    for i, t in texts.items():
+        words = [w for w in (t or "").split() if w not in ("the", "12")]
+        grams = [" ".join(words[a : a + n]) for n in (1, 2, 3) for a in range(len(words) - n + 1)]
+        sizes[i], counts[i] = len(grams), {g: grams.count(g) for g in grams}
+        letters = [w.rstrip("7") for w in words]
+        firsts[i] = sorted(set(letters), key=lambda w: (-letters.count(w), letters.index(w)))[:2]
+    df = {g: sum(g in c for c in counts.values()) for c in counts.values() for g in c}
+    want = {(i, g): round(n / sizes[i] * (math.log((len(texts) + 1) / (df[g] + 1)) + 1), 8) for i, c in counts.items() for g, n in c.items() if df[g] >= 2}
+    scored = D.keyphrase_scores(docs, ["the"])
+    got = {(r.doc_id, r.phrase): r.score for r in scored.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-8 for k in want)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1  # the number of documents
+    tags = D.top_keywords(docs, ["the"], 2)
+    found = {}
+    for r in sorted(tags.collect(), key=lambda r: r["rank"]):
+        found.setdefault(r.doc_id, []).append(r.word)
+    assert found == {i: ws for i, ws in firsts.items() if ws}
+    assert "Aggregate" not in tags._jdf.queryExecution().optimizedPlan().toString()
