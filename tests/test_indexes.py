@@ -190,3 +190,22 @@ def test_recall_of_probed_cells(spark, stored, vectors, monkeypatch):
         total += 10
     assert hits / total >= 0.9
     assert V.search_all(asked.limit(0), path).count() == 0
+
+
+def test_postings_are_grouped_where_documents_are_read(spark, texts, monkeypatch):
+    monkeypatch.setattr(I, "KERNEL_WORDS", 40)
+    postings, _ = I._tokenised(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text")
+    want = {(w, i, len((t or "").split()), tuple(p for p, x in enumerate(t.split()) if x == w)) for i, t in texts.items() for w in set((t or "").split())}
+    assert sorted((r.term, r.doc_id, r.len, tuple(r.positions)) for r in postings.collect()) == sorted(want)
+    plan = postings._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_replaced_documents_leave_both_ways(spark, monkeypatch, most):
+    monkeypatch.setattr(I, "MOST_REPLACED", most)
+    ids = [0, 1, 62, 63, 64, -1, -64, -65, 2**62, 2**63 - 1, -(2**63)]
+    rows = spark.createDataFrame([(i, s) for i in ids for s in (0, 1)], "doc_id long, segment int")
+    dead = spark.createDataFrame([(i, 1) for i in ids[::2]] + [(1, 0), (7, 0), (1, 0)], "doc_id long, segment int")
+    kept = I._kept(rows, dead)
+    assert sorted(tuple(r) for r in kept.collect()) == sorted([(i, 0) for i in ids if i != 1] + [(i, 1) for i in ids[1::2]])
