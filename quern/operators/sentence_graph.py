@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.lineage import cut
 
+#: A text of at most so many sentences and words is one small matrix in its task; longer ones are dealt over tasks as edge tables.
+MATRIX_SENTENCES, MATRIX_WORDS = 1024, 16_384
+
+
+def _words(sentence: Column | str, stop: list[str] = ()) -> Column:
+    """A sentence's words: lower case, two letters or digits at least, no stop words."""
+    return F.filter(F.split(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]", " "), " "), lambda w: (F.length(w) > 1) & ~w.isin(*stop) if stop else F.length(w) > 1)
+
 
 def sentence_vectors(sentences: DataFrame, stop: list[str] = ()) -> DataFrame:
     """(doc_id, idx, term, w, df): smooth-idf weights of unit length of each sentence's words, of two letters or digits at least.
@@ -14,8 +27,7 @@ def sentence_vectors(sentences: DataFrame, stop: list[str] = ()) -> DataFrame:
     sentences is (doc_id, idx, sentence); df is in how many sentences of its document a word stands. Sentences without words
     have no rows.
     """
-    words = F.filter(F.split(F.regexp_replace(F.lower("sentence"), r"[^\p{L}\p{N}]", " "), " "), lambda w: (F.length(w) > 1) & ~w.isin(*stop) if stop else F.length(w) > 1)
-    each = sentences.select("doc_id", "idx", F.explode(words).alias("term")).groupBy("doc_id", "idx", "term").agg(F.count("*").alias("tf"))
+    each = sentences.select("doc_id", "idx", F.explode(_words("sentence", stop)).alias("term")).groupBy("doc_id", "idx", "term").agg(F.count("*").alias("tf"))
     n = sentences.groupBy("doc_id").agg(F.count("*").alias("n"))
     df = each.groupBy("doc_id", "term").agg(F.count("*").alias("df"))
     weighted = each.join(df, ["doc_id", "term"]).join(n, "doc_id").withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
@@ -116,3 +128,100 @@ def strong_edges(nodes: DataFrame, pairs: DataFrame, share: float = 0.75, floor:
     cuts = cuts.select("doc_id", F.greatest(value, F.lit(floor)).alias("threshold"))
     shown = ranked.join(cuts, "doc_id").where((F.col("weight") >= F.col("threshold")) & (F.col("down") <= F.greatest(per_node * F.col("n"), F.lit(least_edges))))
     return shown.select("doc_id", F.col("i").alias("source"), F.col("j").alias("target"), F.round("weight", 4).alias("weight"), F.round("threshold", 4).alias("threshold"))
+
+
+# --- texts that fit into a task -------------------------------------------------------------------------------------
+
+
+def _cosines(sentence: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+    """The cosines of a text's n sentences as sentence_vectors weighs them, 0 on the diagonal; a pair (sentence, code) a word."""
+    kinds, code = np.unique(code, return_inverse=True)
+    x = np.zeros((n, len(kinds)))
+    np.add.at(x, (sentence, code), 1.0)
+    x *= np.log((1 + n) / (1 + (x > 0).sum(axis=0))) + 1
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x = np.divide(x, norm, out=x, where=norm > 0)
+    out = x @ x.T
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def _ranks(edges: np.ndarray, damping: float, rounds: int, tolerance: float) -> np.ndarray:
+    """page_rank of one graph, as text_rank calls it."""
+    n, degree = len(edges), edges.sum(axis=1)
+    rank = np.full(n, 1 / n)
+    for _ in range(rounds):
+        new = (1 - damping) / n + damping * (edges @ np.divide(rank, degree, out=np.zeros(n), where=degree > 0))
+        if np.abs(new - rank).sum() < tolerance:
+            break
+        rank = new
+    return rank
+
+
+def _strong(edges: np.ndarray, share: float, floor: float, per_node: int, least_edges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(i, j, weight, threshold) of one graph, as strong_edges has them."""
+    n = len(edges)
+    i, j = np.triu_indices(n, 1)
+    weight = edges[i, j]
+    ordered = np.sort(weight)
+    place = share * (len(weight) - 1)
+    low, high = ordered[int(np.floor(place))], ordered[int(np.ceil(place))]
+    bar = max(low + (high - low) * (place - np.floor(place)), floor)
+    own = np.flatnonzero((weight >= bar) & (weight > 0))
+    own = own[np.lexsort((-j[own], -i[own], -weight[own]))][: max(per_node * n, least_edges)]
+    return i[own], j[own], weight[own], bar
+
+
+def _matrices(texts: DataFrame, schema: str, give: Callable[[np.ndarray], list]) -> DataFrame:
+    """give(cosines) of each text, a list of columns beside its id; texts has (doc_id, words of each sentence)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(1)
+            for k in range(len(ids)):
+                one = lists.slice(k, 1).flatten()
+                sizes = pc.list_value_length(one).to_numpy(zero_copy_only=False)
+                codes = one.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                columns = give(_cosines(np.repeat(np.arange(len(sizes)), sizes), codes, len(sizes)))
+                if len(columns[0]):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(columns[0]), k))), *map(pa.array, columns)], [c.split()[0] for c in schema.split(", ")])
+
+    return texts.mapInArrow(run, schema)
+
+
+def _parted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, ss) as (doc_id, words of each sentence) of the texts that fit into a task, and (doc_id, idx, sentence) of the others."""
+    sized = docs.where("doc_id is not null and size(ss) > 0").withColumn("words", F.aggregate("ss", F.lit(0), lambda n, s: n + F.size(F.split(s, " "))))
+    fits = (F.size("ss") <= MATRIX_SENTENCES) & (F.col("words") <= MATRIX_WORDS)
+    small = sized.where(fits).select("doc_id", F.transform("ss", lambda s: _words(s)).alias("ws"))
+    return small, cut(sized.where(~fits).select("doc_id", F.posexplode("ss").alias("idx", "sentence")))
+
+
+def ranks_of_texts(docs: DataFrame, least: float = 0.1, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-5) -> DataFrame:
+    """text_rank of docs (doc_id, ss), ss the sentences and doc_id unique: short texts where they are read, long ones by edge tables."""
+    small, long = _parted(docs)
+
+    def give(cosines: np.ndarray) -> list:
+        edges = np.where(cosines >= least, cosines, 0.0) if least > 0 else cosines
+        return [np.arange(len(edges), dtype=np.int32), _ranks(edges, damping, rounds, tolerance)]
+
+    found = _matrices(small, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, idx int, score double", give)
+    return found if long.isEmpty() else found.unionByName(text_rank(long, least, damping, rounds, tolerance))
+
+
+def edges_of_texts(docs: DataFrame, share: float = 0.75, floor: float = 0.05, per_node: int = 4, least_edges: int = 50) -> DataFrame:
+    """strong_edges of docs (doc_id, ss), ss the sentences and doc_id unique: short texts where they are read, long ones by edge tables."""
+    small, long = _parted(docs)
+
+    def give(cosines: np.ndarray) -> list:
+        if len(cosines) < 2:
+            return [np.zeros(0)] * 4
+        i, j, weight, bar = _strong(cosines, share, floor, per_node, least_edges)
+        return [i.astype(np.int32), j.astype(np.int32), weight, np.full(len(i), bar)]
+
+    found = _matrices(small, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source int, target int, weight double, threshold double", give)
+    found = found.withColumns({"weight": F.round("weight", 4), "threshold": F.round("threshold", 4)})
+    if long.isEmpty():
+        return found
+    pairs = cut(similar_pairs(cut(sentence_vectors(long)), 0.0))
+    return found.unionByName(strong_edges(long, pairs, share, floor, per_node, least_edges))

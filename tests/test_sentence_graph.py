@@ -90,3 +90,21 @@ def test_a_long_text_is_dealt_over_tasks(spark):
     pairs = G.similar_pairs(G.sentence_vectors(spark.createDataFrame(rows, "doc_id long, idx int, sentence string")), 0.5)
     got = {(r.i, r.j) for r in pairs.collect()}
     assert {(6 * i, 6 * i + 1) for i in range(3000)} <= got and all(b - a < 20_000 for a, b in got) and len(got) < 200_000
+
+
+def test_short_texts_by_matrices_equal_the_tables(spark, documents, monkeypatch):
+    rows = [(d, s) for d, s in documents.items()] + [(8, []), (9, ["...", "?"]), (10, ["a b", "c d e"])]
+    docs = spark.createDataFrame(rows, "doc_id long, ss array<string>").repartition(3)
+    ranks, edges = {}, {}
+    for most in (0, 9, 1024):
+        monkeypatch.setattr(G, "MATRIX_SENTENCES", most)
+        ranks[most] = {(r.doc_id, r.idx): r.score for r in G.ranks_of_texts(docs).collect()}
+        edges[most] = {(r.doc_id, r.source, r.target): (r.weight, r.threshold) for r in G.edges_of_texts(docs).collect()}
+        assert ranks[most].keys() == ranks[0].keys() and all(abs(ranks[most][k] - ranks[0][k]) < 1e-9 for k in ranks[0])
+    assert len(ranks[0]) == sum(len(s) for d, s in rows if d is not None)
+    for most in (9, 1024):
+        heavy = lambda found: {k for k, (w, t) in found.items() if w > t + 1e-3}
+        assert heavy(edges[most]) == heavy(edges[0]) and len(edges[most]) == len(edges[0]) > 100
+        assert all(abs(edges[most][k][0] - edges[0][k][0]) < 2e-4 and abs(edges[most][k][1] - edges[0][k][1]) < 2e-4 for k in heavy(edges[0]))
+    plan = G.edges_of_texts(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "MapInArrow" in plan
