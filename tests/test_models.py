@@ -102,3 +102,11 @@ def test_preprocessor(spark, tmp_path):
     assert TabularPreprocessor.load(f"file://{tmp_path}/estimator").getOrDefault("numerical") == ["n"]
     empty = TabularPreprocessor(["n"], ["k"]).fit(train.limit(0))
     assert tuple(empty.transform(test.limit(1)).select("n", "k").first()) == (0.0, "c")
+
+
+def test_training_rows_are_stored_once(spark, sf):
+    """A model passes over its rows many times: the joins and medians behind them are not run again for each pass."""
+    from quern.plans.graph_queries import _training
+
+    plan = _training(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
