@@ -134,8 +134,12 @@ def overlap(candidate: Column, reference: Column) -> Column:
 
 def rouge_n(candidate: Column, reference: Column) -> Column:
     """(p, r, f) of the shared n-grams of two arrays of n-grams."""
-    both = overlap(candidate, reference)
-    p, r = F.coalesce(F.try_divide(both, F.size(candidate)), F.lit(0.0)), F.coalesce(F.try_divide(both, F.size(reference)), F.lit(0.0))
+    return shared_shares(overlap(candidate, reference), F.size(candidate), F.size(reference))
+
+
+def shared_shares(both: Column, candidate: Column, reference: Column) -> Column:
+    """(p, r, f) of how many n-grams are shared, of how many each side has."""
+    p, r = F.coalesce(F.try_divide(both, candidate), F.lit(0.0)), F.coalesce(F.try_divide(both, reference), F.lit(0.0))
     return F.struct(p.alias("p"), r.alias("r"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f"))
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from quern.functions import text as T
 from quern.operators import metrics as X
@@ -108,13 +109,34 @@ def rouge_words(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(T.col(c), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+@F.arrow_udf(StructType().add("one", IntegerType()).add("two", IntegerType()).add("common", IntegerType()))
+def _shared(candidates: pa.Array, references: pa.Array) -> pa.Array:
+    """What two lists of words share: words, pairs of neighbours, and the longest common subsequence. Words stay in their Arrow
+    batch; only the numbers that stand for those of one row are Python objects."""
+    one, two, common = [], [], []
+    for i in range(len(candidates)):
+        a = candidates.slice(i, 1).flatten()
+        codes = pa.concat_arrays([a, references.slice(i, 1).flatten()]).dictionary_encode()
+        kinds, n = len(codes.dictionary), len(a)
+        codes = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        x, y = codes[:n], codes[n:]
+        one.append(int(np.minimum(np.bincount(x, minlength=kinds), np.bincount(y, minlength=kinds)).sum()))
+        (p, np_), (q, nq) = (np.unique(c[:-1] * kinds + c[1:], return_counts=True) for c in (x, y))
+        _, at, other = np.intersect1d(p, q, assume_unique=True, return_indices=True)
+        two.append(int(np.minimum(np_[at], nq[other]).sum()))
+        common.append(X._longest_common(x.tolist(), y.tolist()))
+    return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in (one, two, common)], ["one", "two", "common"])
+
+
 def rouge(pairs: DataFrame, key: list[str], candidate: str = "candidate", reference: str = "reference", stemmed: bool = True) -> DataFrame:
     """(key, rouge1_p, rouge1_r, rouge1_f, rouge2_f, rouge_l_f) of texts by words, or by their stems; zeros where a text is null or has no word."""
     words = pairs.select(*key, rouge_words(candidate).alias("a"), rouge_words(reference).alias("b"))
     if stemmed:
         words = words.withColumns({"a": stems(F.col("a")), "b": stems(F.col("b"))})
-    one, two = X.rouge_n(F.col("a"), F.col("b")), X.rouge_n(T.ngrams(F.col("a"), 2), T.ngrams(F.col("b"), 2))
-    scored = words.withColumns({"one": one, "two": two, "common": X.longest_common(F.col("a"), F.col("b"))})
+    scored = words.withColumn("s", _shared(F.col("a"), F.col("b")))
+    pairs_of = lambda c: F.greatest(F.size(c) - 1, F.lit(0))
+    one, two = X.shared_shares(F.col("s.one"), F.size("a"), F.size("b")), X.shared_shares(F.col("s.two"), pairs_of("a"), pairs_of("b"))
+    scored = scored.withColumns({"one": one, "two": two, "common": F.col("s.common")})
     longest = F.coalesce(2 * F.col("common") / F.nullif(F.size("a") + F.size("b"), F.lit(0)), F.lit(0.0))
     return scored.select(*key, F.col("one.p").alias("rouge1_p"), F.col("one.r").alias("rouge1_r"), F.col("one.f").alias("rouge1_f"), F.col("two.f").alias("rouge2_f"), longest.alias("rouge_l_f"))
 

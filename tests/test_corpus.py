@@ -136,3 +136,11 @@ def test_answered(spark):
     assert model.answer == "why?|[Code]\nsecond text|1"
     nothing = Q.answered(found.limit(0), chunks, "why?").first()
     assert (nothing.answer, nothing.context, nothing.sources) == (Q.NOTHING, "", [])
+
+
+def test_rouge_keeps_words_in_arrow(spark):
+    pairs = spark.createDataFrame([(1, "a b c a b", "b c a b d"), (2, "", "x"), (3, None, None), (4, "x", "x")], "id long, candidate string, reference string")
+    found = P.rouge(pairs, ["id"], stemmed=False)
+    assert {r.id: tuple(round(v, 6) for v in r[1:]) for r in found.collect()} == {1: (0.8, 0.8, 0.8, 0.75, 0.8), 2: (0.0,) * 5, 3: (0.0,) * 5, 4: (1.0, 1.0, 1.0, 0.0, 1.0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_overlap" not in plan and "_longest_common_udf" not in plan
