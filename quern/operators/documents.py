@@ -19,6 +19,8 @@ MOST, OVERLAP, LEAST = 512, 64, 20
 
 #: Words that a kernel counts at once, and rows that it gives at once.
 KERNEL_WORDS, OUT_ROWS = 1_000_000, 200_000
+#: Bytes of texts that a kernel labels at once.
+KERNEL_BYTES = 4 << 20
 
 
 # --- spans ----------------------------------------------------------------------------------------------------------
@@ -31,33 +33,87 @@ def spans(c: Column | str, pattern: str, group: int = 0) -> Column:
     """
     text = T.col(c)
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     ends = runs.sums(F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.length(p) + F.length(m)))
     each = F.arrays_zip(values.alias("v"), found.alias("m"), ends.alias("e"))
     return F.transform(each, lambda x: F.struct(x["v"].alias("value"), (x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end")))
 
 
-def references(docs: DataFrame, patterns: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, type, value, start, end) of every typed pattern in every text."""
+def _typed(patterns: dict[str, str], text_col: str) -> Column:
+    """All spans of every typed pattern in a text: an array of (type, value, start, end)."""
 
     def one(kind: str, pattern: str) -> Column:
         return F.transform(spans(text_col, pattern), lambda s: F.struct(F.lit(kind).alias("type"), s["value"].alias("value"), s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end")))
 
-    typed = F.concat(*[one(kind, p) for kind, p in patterns.items()])
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(typed).alias("r")).select("doc_id", "r.*")
+    return F.concat(*[one(kind, p) for kind, p in patterns.items()])
+
+
+def references(docs: DataFrame, patterns: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, type, value, start, end) of every typed pattern in every text."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(_typed(patterns, text_col)).alias("r")).select("doc_id", "r.*")
+
+
+def _labels(ids: pa.Array, texts: pa.Array, spans_of: pa.Array) -> pa.RecordBatch:
+    """(doc_id, at, token, label) of some texts with their spans (start, end, type) in order."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    at, data = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64), texts.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    at = at - at[0]
+    black = (data != 32) & ((data < 9) | (data > 13))
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters before each byte
+    edge = np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    shown = np.concatenate([[False], black, [False]])
+    first = np.flatnonzero(shown[1:-1] & (~shown[:-2] | edge[:-1]))
+    last = np.flatnonzero(shown[1:-1] & (~shown[2:] | edge[1:])) + 1
+    doc = np.searchsorted(at, first, "right") - 1
+    a, b = chars[first] - chars[at[doc]], chars[last] - chars[at[doc]]
+    # A text's characters and what lies beyond them have places of their own on one line, so that one search finds the spans of all texts.
+    length = np.diff(chars[at])
+    base = np.concatenate([[0], np.cumsum(length + 2)])
+    own = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(spans_of), 0).to_numpy(zero_copy_only=False))
+    flat = spans_of.flatten()
+    start, end = (pc.struct_field(flat, i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+    place = lambda x: base[own] + np.clip(x, 0, length[own] + 1)
+    furthest = np.maximum.accumulate(place(end)) if len(own) else place(end)
+    near = np.searchsorted(furthest, base[doc] + a, "right")  # the first span that ends behind the token's start
+    some = np.flatnonzero(near < len(own))
+    some = some[place(start)[near[some]] < (base[doc] + b)[some]]
+    kinds = pc.struct_field(flat, 2).cast(pa.string()).dictionary_encode()
+    names = pa.concat_arrays([pa.array(["O"]), *(pc.binary_join_element_wise(head, kinds.dictionary, "") for head in ("B-", "I-"))])
+    code = np.zeros(len(doc), np.int64)
+    kind = pc.fill_null(kinds.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)[near[some]]
+    code[some] = np.where(kind < 0, -1, 1 + kind + len(kinds.dictionary) * (a[some] > start[near[some]]))
+    ends = np.concatenate([[0], np.cumsum(last - first)]).astype(np.int32)
+    tokens = pa.StringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(data[black]))
+    count = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(count), tokens, names.take(pa.array(code, mask=code < 0))], ["doc_id", "at", "token", "label"])
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    """bio_labels of (doc_id, text, spans): a text's tokens and spans are met where the row is, tokens are not shuffled."""
+    own = F.filter("spans", lambda s: s["start"].isNotNull() & s["end"].isNotNull())
+    own = F.array_sort(F.transform(own, lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"), s["type"].alias("type"))))
+    rows = rows.select("doc_id", "text", own.alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in runs.slices(sizes, KERNEL_BYTES):
+                yield _labels(*(batch.column(i).slice(a, b - a) for i in range(3)))
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, at long, token string, label string")
 
 
 def bio_labels(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, at, token, label): white-space tokens labelled B-type, I-type or O by the spans they overlap."""
-    words = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(spans(text_col, r"\S+")).alias("at", "t")).select(
-        "doc_id", "at", F.col("t.value").alias("token"), F.col("t.start").alias("a"), F.col("t.end").alias("b")
-    )
+    """(doc_id, at, token, label): white-space tokens labelled B-type, I-type or O by the spans they overlap; of several the first counts."""
     named = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "type")).alias("spans"))  # spans of one document
-    own = F.array_min(F.filter(F.coalesce("spans", F.array()), lambda s: (s["start"] < F.col("b")) & (s["end"] > F.col("a"))))
-    return words.join(named, "doc_id", "left").withColumn("s", own).select(
-        "doc_id", F.col("at").cast("long").alias("at"), "token",
-        F.when(F.col("s").isNull(), "O").when(F.col("a") <= F.col("s.start"), F.concat(F.lit("B-"), "s.type")).otherwise(F.concat(F.lit("I-"), "s.type")).alias("label"),
-    )
+    return _labelled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(named, "doc_id", "left"))
+
+
+def bio_labels_of(docs: DataFrame, patterns: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bio_labels by a text's own references: found where the text is read, without a shuffle."""
+    return _labelled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _typed(patterns, text_col).alias("spans")))
 
 
 # --- chunks ---------------------------------------------------------------------------------------------------------
