@@ -5,35 +5,67 @@ A document's sentences are one row's array; a document is the unit of work, so d
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import runs
 from quern.functions import text as T
 
 SCORES = "doc_id long, idx long, sentence string, tfidf double, textrank double, kmeans double, ensemble double"
+#: Runs of two letters and digits at least, and the ends of sentences.
+_WORD = re.compile(r"[^\W_]{2,}|\n")
+#: Sentences that are given at once.
+OUT_ROWS = 20_000
 #: Sentences compared at once: a document's similarity matrix is made in stripes, never whole, beyond this.
 STRIPE = 512
 #: Edges of a document held between rounds (12 bytes each); with more, stripes are made anew in every round.
 EDGES_HELD = 8 << 20
 
 
+def _coded(texts: list[list[str]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each text, a list of sentences: how many they are, and the sentence and the code of each word; codes are in the words' order.
+
+    Texts go through the pattern and the dictionary together."""
+    found = pa.array(_WORD.findall("\n".join(s.replace("\n", " ") for t in texts for s in t).lower()), pa.string()).dictionary_encode()
+    order = np.empty(len(found.dictionary), np.int64)
+    order[pc.array_sort_indices(found.dictionary).to_numpy()] = np.arange(len(order))
+    code, end = found.indices.to_numpy(zero_copy_only=False), pc.index(found.dictionary, "\n").as_py()
+    breaks = np.flatnonzero(code == end)
+    at = np.concatenate([[-1], breaks, [len(code)]])  # the breaks around each sentence
+    code, a = order[code], 0
+    for t in texts:
+        if t:
+            own = at[a : a + len(t) + 1]
+            sentence = np.repeat(np.arange(len(t)), np.diff(own) - 1)
+            words = np.delete(code[own[0] + 1 : own[-1]], own[1:-1] - own[0] - 1)
+            a += len(t)
+            yield len(t), sentence, words
+
+
+def _weights(n: int, sentence: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of smooth-idf weights of unit length, and the plain sums of weights, of n sentences by their words' codes."""
+    _, code = np.unique(code, return_inverse=True)
+    kinds = int(code.max()) + 1 if len(code) else 1
+    cell, times = np.unique(sentence * kinds + code, return_counts=True)
+    kind = cell % kinds
+    idf = np.log((1 + n) / (1 + np.bincount(kind, minlength=kinds))) + 1
+    m = np.zeros((n, kinds), np.float32)
+    m.reshape(-1)[cell] = times * idf[kind]
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = np.divide(m, norm, out=m, where=norm > 0)
+    return unit, unit.sum(axis=1) / np.maximum(np.bincount(sentence, minlength=n), 1)
+
+
 def _matrix(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of smooth-idf weights of unit length, and the plain sums of weights."""
-    words = [[w for w in "".join(c if c.isalnum() else " " for c in s.lower()).split() if len(w) > 1] for s in sentences]
-    vocab = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
-    m = np.zeros((len(words), max(len(vocab), 1)), np.float32)
-    for i, ws in enumerate(words):
-        for w in ws:
-            m[i, vocab[w]] += 1
-    df = (m > 0).sum(axis=0)
-    m *= np.log((1 + len(words)) / (1 + df)) + 1
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-    return unit, unit.sum(axis=1) / np.maximum([len(w) for w in words], 1)
+    return next((_weights(*x) for x in _coded([sentences])), (np.zeros((0, 1), np.float32), np.zeros(0)))
 
 
 def power_rank(unit: np.ndarray, edge: float = 0.1, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-5) -> np.ndarray:
@@ -68,19 +100,22 @@ def power_rank(unit: np.ndarray, edge: float = 0.1, damping: float = 0.85, round
             else:
                 held = None
 
-    def applied(out: np.ndarray) -> np.ndarray:
-        if whole is not None:
-            return whole @ out
+    share = damping / np.where(degree > 0, degree, np.inf).astype(float)
+    step = None if whole is None else whole * share  # converted once, not in every round
+
+    def applied(rank: np.ndarray) -> np.ndarray:
+        if step is not None:
+            return step @ rank
+        out = rank * share
         if held is None:
             return np.concatenate([weights(a) @ out for a in range(0, n, STRIPE)])
         return np.concatenate([np.bincount(i, v * out[j], size) for size, i, j, v in held])
 
     rank = np.full(n, 1 / n)
     for _ in range(rounds):
-        out = np.divide(rank, degree, out=np.zeros(n), where=degree > 0)
-        got = applied(out)
-        new = (1 - damping) / n + damping * got
-        if np.abs(new - rank).sum() < tolerance:
+        new = applied(rank)
+        new += (1 - damping) / n
+        if np.abs(rank - new).sum() < tolerance:
             break
         rank = new
     return rank
@@ -92,11 +127,18 @@ def cluster_scores(unit: np.ndarray, clusters: int, rounds: int = 20) -> np.ndar
     if n == 0:
         return np.zeros(0)
     centre = unit[np.linspace(0, n - 1, min(clusters, n)).astype(int)].copy()
+    squares, double, before = (unit**2).sum(1)[:, None], 2 * unit, None
     for _ in range(rounds):
-        d = ((unit**2).sum(1)[:, None] - 2 * unit @ centre.T + (centre**2).sum(1)[None, :]).clip(0)
+        d = (squares - double @ centre.T + (centre**2).sum(1)[None, :]).clip(0)
         own = d.argmin(axis=1)
-        new = np.stack([unit[own == k].mean(axis=0) if (own == k).any() else centre[k] for k in range(len(centre))])
-        if np.allclose(new, centre):
+        if before is not None and np.array_equal(own, before):  # the same clusters have the same centres
+            break
+        before = own
+        new = centre.copy()
+        for k, rows in ((k, np.flatnonzero(own == k)) for k in range(len(centre))):
+            if len(rows):
+                new[k] = np.add.reduce(unit[rows], axis=0) / np.float32(len(rows))
+        if (np.abs(new - centre) <= 1e-8 + 1e-5 * np.abs(centre)).all():
             break
         centre = new
     return 1 / (1 + np.sqrt(d.min(axis=1)))
@@ -109,19 +151,25 @@ def _normal(x: np.ndarray) -> np.ndarray:
 def sentence_scores(docs: DataFrame, weights: tuple[float, float, float] = (1.0, 1.5, 1.0), clusters: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every sentence of 5 to 80 words with its TF-IDF, centrality and cluster score, and their min-max normalised weighted mean."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, ss in zip(batch["doc_id"], batch["ss"]):
-                ss = list(ss)
-                if not ss:
-                    continue
-                unit, tfidf = _matrix(ss)
-                rank, km = power_rank(unit), cluster_scores(unit, clusters)
-                whole = (weights[0] * _normal(tfidf) + weights[1] * _normal(rank) + weights[2] * _normal(km)) / sum(weights)
-                yield pd.DataFrame({"doc_id": key, "idx": range(len(ss)), "sentence": ss, "tfidf": tfidf, "textrank": rank, "kmeans": km, "ensemble": whole}).astype({"tfidf": float, "textrank": float, "kmeans": float})
+            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in runs.slices(sizes, OUT_ROWS):
+                ids, own = batch.column(0).slice(a, b - a), sizes[a:b]
+                sentences, columns = batch.column(1).slice(a, b - a).flatten(), np.zeros((4, own.sum()))
+                end = 0
+                for n, sentence, code in _coded(batch.column(1).slice(a, b - a).to_pylist()):
+                    end += n
+                    unit, tfidf = _weights(n, sentence, code)
+                    rank, km = power_rank(unit), cluster_scores(unit, clusters)
+                    whole = (weights[0] * _normal(tfidf) + weights[1] * _normal(rank) + weights[2] * _normal(km)) / sum(weights)
+                    for column, values in zip(columns, (tfidf, rank, km, whole)):
+                        column[end - n : end] = values
+                idx = np.arange(end) - np.repeat(np.cumsum(own) - own, own)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(b - a), own))), pa.array(idx), sentences, *map(pa.array, columns)], [c.split()[0] for c in SCORES.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), T.sentences_by_words(text_col).alias("ss"))
-    return rows.mapInPandas(run, SCORES)
+    return rows.mapInArrow(run, SCORES)
 
 
 def select(scored: DataFrame, by: str = "ensemble", ratio: float = 0.3, least: int = 5) -> DataFrame:

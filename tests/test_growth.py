@@ -3,9 +3,9 @@
 import random
 import re
 
-from pyspark.sql import functions as F
 
 from quern.operators import documents as D
+from quern.operators import summarise as U
 from quern.plans.registry import QUERIES
 
 
@@ -36,3 +36,19 @@ def test_labels_are_made_where_texts_are_read(spark, sf, monkeypatch):
     found = {i: [(m.start(), m.end(), k) for k, p in patterns.items() for m in re.finditer(p, t or "")] for i, t in texts.items()}
     assert {tuple(r) for r in D.bio_labels_of(docs, patterns).collect()} == {tuple(r) for r in D.bio_labels(docs, D.references(docs, patterns)).collect()} == want(found)
     assert "Exchange" not in plan_of(QUERIES["bio_labels"](spark, sf))
+
+
+def test_words_of_many_texts_are_coded_together(spark):
+    texts = [["Ab ab_cd, ÉÉ é x 12", "a b c ...", "ΟΔΟΣ İİ 漢字"], [], ["ab"], ["one\ntwo one", "", "zz"], ["", ""]]
+    words = lambda s: [w for w in "".join(c if c.isalnum() else " " for c in s.lower()).split() if len(w) > 1]
+    every = sorted({w for t in texts for s in t for w in words(s)} | {"\n"})
+    got = list(U._coded(texts))
+    assert [n for n, _, _ in got] == [len(t) for t in texts if t]
+    for (n, sentence, code), t in zip(got, [t for t in texts if t]):
+        assert [[every[c] for c in code[sentence == i]] for i in range(n)] == [words(s) for s in t]
+    docs = spark.createDataFrame([(1, "One two three four five. Six seven one two three. Nine ten one eleven two."), (2, None), (3, "Short.")], "doc_id long, text string")
+    rows = U.sentence_scores(docs).orderBy("idx").collect()
+    assert [(r.doc_id, r.idx, r.sentence[:3]) for r in rows] == [(1, 0, "One"), (1, 1, "Six"), (1, 2, "Nin")]
+    unit, tfidf = U._matrix([r.sentence for r in rows])
+    want = (U._normal(tfidf) + 1.5 * U._normal(U.power_rank(unit)) + U._normal(U.cluster_scores(unit, 5))) / 3.5
+    assert [r.ensemble for r in rows] == [float(x) for x in want] and [r.tfidf for r in rows] == [float(x) for x in tfidf]
