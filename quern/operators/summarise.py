@@ -192,18 +192,35 @@ def spread(best_first: Column, gap: int, most: int) -> Column:
     return F.array_sort(F.aggregate(best_first, start, lambda h, i: F.when((F.size(h) < most) & ~F.exists(h, lambda k: F.abs(k - i) < gap), F.concat(h, F.array(i))).otherwise(h)))
 
 
+def guided_texts(texts: DataFrame, least: float = 0.35, share: float = 0.4) -> DataFrame:
+    """guided of (doc_id, ss, clauses): a text's sentences and its distinct clauses in order, compared where the row is."""
+    bare = F.transform("ss", lambda s, i: F.struct(i.cast("long").alias("idx"), s.alias("sentence")))
+    return _guided(texts.select("doc_id", bare.alias("ss"), "clauses"), least, share)
+
+
+def _guided(rows: DataFrame, least: float, share: float) -> DataFrame:
+    """guided of (doc_id, ss, clauses), ss with the place of each sentence; words are told once for each sentence and clause."""
+    words = F.struct(
+        F.transform("ss", lambda s: F.struct(s["idx"].alias("idx"), s["sentence"].alias("sentence"), F.array_distinct(T.tokens(s["sentence"])).alias("words"))).alias("ss"),
+        F.transform("clauses", lambda c: F.struct(c.alias("clause"), F.array_distinct(T.tokens(c)).alias("words"))).alias("clauses"),
+    )
+
+    def best(b: Column) -> Column:
+        low = lambda c, s: (-F.size(F.array_intersect(c["words"], s["words"])) / F.greatest(F.size(c["words"]), F.lit(1))).alias("low")
+        return F.transform(b["clauses"], lambda c: F.array_min(F.transform(b["ss"], lambda s: F.struct(low(c, s), s["idx"].alias("idx"), s["sentence"].alias("sentence"), c["clause"].alias("clause")))))
+
+    cap = F.greatest(F.lit(1), F.round(F.size("ss") * F.lit(share)).cast("int"))
+    found = rows.select("doc_id", cap.alias("cap"), F.flatten(F.transform(F.array(words), best)).alias("best"))  # an array of one binds the words
+    good = F.array_sort(F.filter("best", lambda b: -b["low"] >= least))
+    return found.select("doc_id", F.explode(F.slice(good, F.lit(1), F.col("cap"))).alias("b")).select("doc_id", "b.clause", "b.idx", "b.sentence", F.round(-F.col("b.low"), 6).alias("score"))
+
+
 def guided(scored: DataFrame, clauses: DataFrame, least: float = 0.35, share: float = 0.4) -> DataFrame:
     """Sentences that answer clauses: per document and clause the sentence with most of the clause's words, if at least `least`;
     at most share of the sentences. Clauses (doc_id, clause) ride to their document as one array."""
     own = clauses.groupBy("doc_id").agg(F.array_sort(F.collect_set("clause")).alias("clauses"))
     rows = scored.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "sentence"))).alias("ss")).join(own, "doc_id")
-    best = F.transform(
-        "clauses",
-        lambda c: F.array_min(F.transform("ss", lambda s: F.struct((-T.overlap_share(T.tokens(c), T.tokens(s["sentence"]))).alias("low"), s["idx"].alias("idx"), s["sentence"].alias("sentence"), c.alias("clause")))),
-    )
-    good = F.filter(best, lambda b: -b["low"] >= least)
-    cap = F.greatest(F.lit(1), F.round(F.size("ss") * F.lit(share)).cast("int"))
-    return rows.select("doc_id", F.explode(F.slice(F.array_sort(good), F.lit(1), cap)).alias("b")).select("doc_id", "b.clause", "b.idx", "b.sentence", F.round(-F.col("b.low"), 6).alias("score"))
+    return _guided(rows, least, share)
 
 
 LEGAL_WEIGHTS = (0.4, 0.4, 0.2)

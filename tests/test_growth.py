@@ -4,6 +4,8 @@ import random
 import re
 
 
+from pyspark.sql import functions as F
+
 from quern.operators import documents as D
 from quern.operators import summarise as U
 from quern.plans.registry import QUERIES
@@ -52,3 +54,20 @@ def test_words_of_many_texts_are_coded_together(spark):
     unit, tfidf = U._matrix([r.sentence for r in rows])
     want = (U._normal(tfidf) + 1.5 * U._normal(U.power_rank(unit)) + U._normal(U.cluster_scores(unit, 5))) / 3.5
     assert [r.ensemble for r in rows] == [float(x) for x in want] and [r.tfidf for r in rows] == [float(x) for x in tfidf]
+
+
+def test_clauses_meet_sentences_where_the_text_is(spark, sf):
+    rng = random.Random(62)
+    texts = {i: [" ".join(rng.choices(["Ab", "cd", "ef,", "gh", "x1", "漢"], k=rng.randrange(1, 7))) for _ in range(rng.randrange(0, 9))] for i in range(60)}
+    rows = spark.createDataFrame([(i, ss, sorted(set(ss[:2]))) for i, ss in texts.items()], "doc_id long, ss array<string>, clauses array<string>")
+    words = lambda s: set(re.sub(r"[^\w\s]", " ", s.lower()).split())
+    want = set()
+    for i, ss in texts.items():
+        best = [min((-len(words(c) & words(s)) / max(len(words(c)), 1), at, s, c) for at, s in enumerate(ss)) for c in sorted(set(ss[:2]))]
+        good = sorted(b for b in best if -b[0] >= 0.35)[: max(1, int(len(ss) * 0.4 + 0.5))]
+        want |= {(i, c, at, s, round(-low, 6)) for low, at, s, c in good}
+    assert {tuple(r) for r in U.guided_texts(rows).collect()} == want and want
+    scored = rows.select("doc_id", F.posexplode("ss").alias("idx", "sentence")).withColumn("idx", F.col("idx").cast("long"))
+    assert {tuple(r) for r in U.guided(scored, rows.select("doc_id", F.explode("clauses").alias("clause"))).collect()} == want
+    plan = plan_of(QUERIES["label_guided"](spark, sf))
+    assert "Exchange" not in plan and "MapIn" not in plan
