@@ -164,18 +164,21 @@ def sentences_by_words(c: Column | str, least: int = 5, most: int = 80) -> Colum
     return F.filter(sentences(c), lambda s: F.size(F.split(s, " ")).between(least, most))
 
 
+#: Three characters at each place of padded words, of one word: nowhere are the last two of them blanks.
+_GRAM = r"(?=(..[^ ]|.[^ ] ))."
+
+
 def trigrams(c: Column | str) -> Column:
     """Distinct three-character grams of every word, padded with two blanks before and one after."""
-    words = F.filter(F.split(F.lower(F.coalesce(col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    grams = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
-    return F.array_distinct(F.flatten(grams))
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    padded = F.concat(F.lit("  "), F.array_join(words, "   "), F.lit(" "))
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit(_GRAM), F.lit(1)))
 
 
 def trigram_similarity(a: Column | str, b: Column | str) -> Column:
-    """Shared trigrams over all trigrams; 0 where neither has any."""
-    x, y = trigrams(a), trigrams(b)
-    both = F.size(F.array_intersect(x, y))
-    return F.coalesce(both / F.nullif(F.size(x) + F.size(y) - both, F.lit(0)), F.lit(0.0))
+    """Shared trigrams over all trigrams; 0 where neither has any. What is used more than once is bound, so that it is computed once."""
+    sized = F.transform(F.array(F.struct(trigrams(a).alias("x"), trigrams(b).alias("y"))), lambda p: F.struct(F.size(F.array_intersect(p["x"], p["y"])).alias("both"), (F.size(p["x"]) + F.size(p["y"])).alias("sum")))
+    return F.get(F.transform(sized, lambda n: F.when(n["sum"] > n["both"], n["both"] / (n["sum"] - n["both"])).otherwise(0.0)), F.lit(0))
 
 
 # --- references, excerpts and answers -------------------------------------------------------------------------------

@@ -233,4 +233,4 @@ def blend(lexical: DataFrame, vector: DataFrame, weight: float = 0.3) -> DataFra
 def trigram_search(docs: DataFrame, question: str, least: float = 0.15, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Top k by trigram similarity above `least`."""
     rows = docs.select(F.col(id_col).alias("id"), F.round(T.trigram_similarity(text_col, F.lit(question)), 6).alias("score"))
-    return rows.where(F.col("score") > least).orderBy(F.desc("score"), "id").limit(k)
+    return rows.orderBy(F.desc("score"), "id").limit(k).where(F.col("score") > least)

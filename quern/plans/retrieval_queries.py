@@ -93,7 +93,8 @@ PROBE = "license token"
 def hybrid_rrf4_lists(spark, d):
     """Vector, text trigrams, title trigrams (of the source) and phrases, each a list of 200, and 0.005 more for roots (English texts)."""
     docs = load(spark, d, "documents")
-    like = lambda c, q, least: docs.select(F.col("doc_id").alias("id"), F.round(T.trigram_similarity(F.coalesce(c, F.lit("")), F.lit(q)), 6).alias("s")).where(F.col("s") > least)
+    # The best are taken before the bar, which is on the same score, so that a text is compared once and not again for the filter.
+    like = lambda c, q, least: docs.select(F.col("doc_id").alias("id"), F.round(T.trigram_similarity(F.coalesce(c, F.lit("")), F.lit(q)), 6).alias("s")).orderBy(F.desc("s"), "id").limit(200).where(F.col("s") > least)
     words = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?:licen[a-z]+|token)"), F.lit(0)))).alias("w"))
     phrases = words.select("id", F.round(T.trigram_similarity("w", F.lit(PROBE)), 6).alias("s")).where("s >= 0.3").groupBy("id").agg(F.max("s").alias("s"))
     lists = [

@@ -6,7 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
 from quern.operators import documents as D
+from quern.operators import search as S
 from quern.operators import summarise as U
 from quern.plans.registry import QUERIES
 
@@ -71,3 +73,23 @@ def test_clauses_meet_sentences_where_the_text_is(spark, sf):
     assert {tuple(r) for r in U.guided(scored, rows.select("doc_id", F.explode("clauses").alias("clause"))).collect()} == want
     plan = plan_of(QUERIES["label_guided"](spark, sf))
     assert "Exchange" not in plan and "MapIn" not in plan
+
+
+def test_texts_are_compared_once_by_trigrams(spark):
+    def grams(t):
+        return {f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", t.lower()) for i in range(len(w) + 1)}
+
+    rng = random.Random(63)
+    texts = {i: "".join(rng.choices(["ab", "c", "é", "漢", "𠀀", "𠀁x", "7", " ", "_", "-", "\n"], k=rng.randrange(0, 25))) for i in range(150)} | {150: None, 151: "", 152: "𠀀"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    question = "ab 𠀀c é7"
+    want = {}
+    for i, t in texts.items():
+        x, y = grams(t or ""), grams(question)
+        want[i] = round(len(x & y) / len(x | y), 6) if x | y else 0.0
+    got = {r.doc_id: r.s for r in docs.select("doc_id", F.round(T.trigram_similarity("text", F.lit(question)), 6).alias("s")).collect()}
+    assert got == want
+    found = S.trigram_search(docs, question, 0.15, 20)
+    best = sorted(((i, s) for i, s in want.items() if s > 0.15), key=lambda x: (-x[1], x[0]))[:20]
+    assert [tuple(r) for r in found.collect()] == best
+    assert not any("array_intersect" in line for line in plan_of(found).splitlines() if "Filter" in line)
