@@ -9,6 +9,10 @@ from quern.operators.documents import spans
 from quern.operators.lineage import cut
 
 
+#: Nodes of a frontier that is broadcast.
+NARROW = 10_000
+
+
 def entities(docs: DataFrame, patterns: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, type, name, mentions): typed matches, one node for each type and lower-case name."""
 
@@ -62,7 +66,8 @@ def reach(edges: DataFrame, starts: list, depth: int | None = None, types: list[
     was found by (the smallest of a level); with a goal, no level after the one that holds it.
 
     Level by level until the frontier is empty: it joins the edges, and nodes seen before drop by an anti join. Each level is
-    checkpointed, as the next one needs it twice.
+    checkpointed, as the next one needs it twice. A frontier of up to NARROW nodes goes to the edges, which stay where they are;
+    a wider one is shuffled with them. Edges and seen nodes never go through the driver.
     """
     spark = edges.sparkSession
     e = edges if types is None else edges.where(F.col("type").isin(*types))
@@ -72,12 +77,15 @@ def reach(edges: DataFrame, starts: list, depth: int | None = None, types: list[
     kind = edges.schema["src"].dataType
     none = F.lit(None)
     seen = spark.createDataFrame([(s,) for s in starts], f"id {kind.simpleString()}").select("id", F.lit(0).cast("long").alias("depth"), none.cast(kind).alias("via"), none.cast("string").alias("type"))
-    front, level = seen, 0
+    front, level, wide = seen, 0, len(starts)
     while depth is None or level < depth:
         level += 1
-        found = front.select(F.col("id").alias("a")).join(step, "a").groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.col("a").alias("via"), "type")).alias("e"))
-        front = cut(found.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).cast("long").alias("depth"), "e.via", "e.type"))
-        if front.isEmpty():
+        ids = front.select(F.col("id").alias("a"))
+        ahead = step.join(F.broadcast(ids), "a") if wide <= NARROW else step.hint("merge").join(ids, "a")
+        found = ahead.groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.col("a").alias("via"), "type")).alias("e"))
+        front = cut(found.join(seen.select("id").hint("merge"), "id", "left_anti").select("id", F.lit(level).cast("long").alias("depth"), "e.via", "e.type"))
+        wide = front.count()
+        if not wide:
             break
         seen = cut(seen.unionByName(front)) if level % 8 == 0 else seen.unionByName(front)
         if goal is not None and not front.where(F.col("id") == F.lit(goal)).isEmpty():

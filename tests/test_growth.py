@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import documents as D
+from quern.operators import graph as G
 from quern.operators import search as S
 from quern.operators import summarise as U
 from quern.plans.registry import QUERIES
@@ -95,6 +96,26 @@ def test_texts_are_compared_once_by_trigrams(spark):
     assert not any("array_intersect" in line for line in plan_of(found).splitlines() if "Filter" in line)
 
 
+def test_walks_send_frontiers_and_never_edges(spark, tmp_path, monkeypatch):
+    rng = random.Random(64)
+    rows = sorted({(rng.randrange(300), rng.randrange(300)) for _ in range(420)})
+    spark.createDataFrame([(a, b, "t") for a, b in rows], "src long, dst long, type string").write.parquet(f"{tmp_path}/e")
+    edges = spark.read.parquet(f"{tmp_path}/e")
+    want, front, depth = {5: 0}, {5}, 0
+    while front:
+        depth += 1
+        front = {b for a, b in rows if a in front} - want.keys()
+        want |= dict.fromkeys(front, depth)
+    plans, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: (plans.append(plan_of(df)), cut(df))[1])
+    for narrow, sent in ((0, 0), (10_000, 1)):
+        monkeypatch.setattr(G, "NARROW", narrow)
+        plans.clear()
+        assert {r.id: r.depth for r in G.reach(edges, [5]).collect()} == want
+        levels = [p for p in plans if "LeftAnti" in p]
+        assert len(levels) == max(want.values()) + 1 and all(len(re.findall(r"[-+ ]BroadcastExchange", p.split("Initial Plan")[0])) == sent for p in levels)
+
+
 def test_windows_split_a_text_once(spark, sf):
     plan = QUERIES["chunk_window"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?<=[.!?])") == 1
