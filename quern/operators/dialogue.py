@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import retrieval as R
+from quern.operators.lineage import cut
 
 NOTHING = "No documents indexed yet. Please index documents first."
 
@@ -31,15 +32,17 @@ def answered(found: DataFrame, chunks: DataFrame, question: str, answer: Callabl
     corpus. The context has the hits' texts under their names, then `each` chunks of every section that a hit refers to. sources
     are the hits: (rank, chunk_id, name, section, score, text cut to `excerpt`). answer makes a text of the question, the
     context and the sources; a model is an adapter of that form. Without hits the answer says that nothing is indexed.
-    Chunks are read twice, each time for a join with few keys.
+    Chunks are read a few times, each time for a broadcast join with few keys; texts are not shuffled.
     """
     few = found.select("chunk_id", "score").distinct()
-    hits = chunks.join(few, "chunk_id").select("chunk_id", "score", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("section", F.lit("")).alias("section"), "refs", F.coalesce("text", F.lit("")).alias("text"))
+    hits = chunks.join(F.broadcast(few), "chunk_id").select("chunk_id", "score", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("section", F.lit("")).alias("section"), "refs", F.coalesce("text", F.lit("")).alias("text"))
     label = F.when(F.col("section") == "", "").otherwise(F.concat(F.lit("§"), "section"))
+    hits = cut(hits)  # a search is run once
     hits = hits.withColumns({"_at": F.struct((-F.col("score")).alias("low"), "chunk_id"), "_part": F.concat(F.lit("["), F.trim(F.concat_ws(" ", "name", label)), F.lit("]\n"), "text")})
     source = F.struct("_at", "chunk_id", "name", "section", "score", F.left("text", F.lit(excerpt)).alias("text"))
     main = hits.agg(_joined(hits, "_at", F.col("_part"), "\n\n---\n\n").alias("main"), F.array_sort(F.collect_list(source)).alias("s"))
-    named = R.cross_referenced(hits.select("chunk_id", "refs"), chunks, each).join(chunks.select("chunk_id", F.coalesce("name", F.lit("")).alias("name")), "chunk_id")
+    named = F.broadcast(R.cross_referenced(hits.select("chunk_id", "refs"), chunks, each))
+    named = chunks.select("chunk_id", F.coalesce("name", F.lit("")).alias("name")).join(named, "chunk_id")
     named = named.withColumns({"_at": F.struct("ref", "chunk_id"), "_part": F.concat(F.lit("[§"), "ref", F.lit(" - "), "name", F.lit("]\n"), "text")})
     more = named.agg(_joined(named, "_at", F.col("_part"), "\n\n").alias("more"))
     out = main.crossJoin(more)  # one row by one row

@@ -89,11 +89,13 @@ def concept_hits(phrases: DataFrame, chunks: DataFrame, parents: DataFrame, tags
 
 def cross_referenced(hits: DataFrame, chunks: DataFrame, each: int = 2, most: int = 600) -> DataFrame:
     """Chunks of the sections that hits (chunk_id, refs array) name, `each` for a reference and none of the hits themselves:
-    (ref, chunk_id, text), texts cut to `most` characters. A chunk that several references name stands under the first."""
+    (ref, chunk_id, text), texts cut to `most` characters. hits are the few rows of a search. A chunk that several references name stands under the first."""
     named = hits.select(F.explode(F.array_distinct("refs")).alias("ref")).where(F.trim("ref") != "").select(F.trim("ref").alias("ref")).distinct()
     w = Window.partitionBy("ref").orderBy("chunk_id")
-    near = chunks.join(named, chunks["section"] == named["ref"]).withColumn("n", F.row_number().over(w)).where(F.col("n") <= each)
-    new = near.join(hits.select("chunk_id"), "chunk_id", "left_anti")
+    # Chunks are chosen by their ids, then the texts of the few are read. What is broadcast is as few as the references of some hits.
+    near = chunks.select("chunk_id", F.col("section").alias("ref")).join(F.broadcast(named), "ref").withColumn("n", F.row_number().over(w)).where(F.col("n") <= each)
+    few = near.select("ref", "chunk_id").distinct().join(F.broadcast(hits.select("chunk_id")), "chunk_id", "left_anti")
+    new = chunks.select("chunk_id", F.col("section").alias("ref"), "text").join(F.broadcast(few), ["ref", "chunk_id"])
     return new.groupBy("chunk_id").agg(F.min(F.struct("ref", F.left("text", F.lit(most)).alias("text"))).alias("b")).select("b.ref", "chunk_id", "b.text")
 
 

@@ -7,8 +7,10 @@ import re
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import dialogue as Q
 from quern.operators import documents as D
 from quern.operators import graph as G
+from quern.operators import retrieval as R
 from quern.operators import search as S
 from quern.operators import summarise as U
 from quern.plans.registry import QUERIES
@@ -59,6 +61,20 @@ def test_words_of_many_texts_are_coded_together(spark):
     assert [r.ensemble for r in rows] == [float(x) for x in want] and [r.tfidf for r in rows] == [float(x) for x in tfidf]
 
 
+def test_referenced_chunks_are_chosen_without_their_texts(spark, tmp_path):
+    rows = [(i, f"n{i % 3}", str(i % 5), [str((i + 1) % 5), " "], f"text {i} " * 200) for i in range(40)]
+    spark.createDataFrame(rows, "chunk_id long, name string, section string, refs array<string>, text string").write.parquet(f"{tmp_path}/c")
+    chunks = spark.read.parquet(f"{tmp_path}/c")
+    found = R.cross_referenced(chunks.where("chunk_id in (7, 1)").select("chunk_id", "refs"), chunks)
+    assert {tuple(r) for r in found.collect()} == {("2", 2, rows[2][4][:600]), ("3", 3, rows[3][4][:600]), ("3", 8, rows[8][4][:600])}
+    assert "ReadSchema: struct<chunk_id:bigint,section:string>" in plan_of(found)  # what is sorted by section
+    asked = spark.createDataFrame([(7, 2.0), (1, 2.0)], "chunk_id long, score double")
+    runs = spark.sparkContext.accumulator(0)
+    one = F.udf(lambda s: (runs.add(1), s)[1], "double").asNondeterministic()
+    got = Q.answered(asked.withColumn("score", one("score")).orderBy("chunk_id").limit(2), chunks, "why?").first()
+    assert [s.chunk_id for s in got.sources] == [1, 7] and got.context.count("\n[§") == 3 and runs.value == 2
+
+
 def test_clauses_meet_sentences_where_the_text_is(spark, sf):
     rng = random.Random(62)
     texts = {i: [" ".join(rng.choices(["Ab", "cd", "ef,", "gh", "x1", "漢"], k=rng.randrange(1, 7))) for _ in range(rng.randrange(0, 9))] for i in range(60)}
