@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 from quern.functions import runs
 from quern.functions import text as T
@@ -27,6 +28,8 @@ OUT_ROWS = 20_000
 STRIPE = 512
 #: Edges of a document held between rounds (12 bytes each); with more, stripes are made anew in every round.
 EDGES_HELD = 8 << 20
+#: Words that are compared at once, and pairs of sentences, or of sentences by a shared word, that are counted at once.
+KERNEL_WORDS, PAIRS = 1_000_000, 4 << 20
 
 
 def _coded(texts: list[list[str]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -210,7 +213,11 @@ def _guided(rows: DataFrame, least: float, share: float) -> DataFrame:
         return F.transform(b["clauses"], lambda c: F.array_min(F.transform(b["ss"], lambda s: F.struct(low(c, s), s["idx"].alias("idx"), s["sentence"].alias("sentence"), c["clause"].alias("clause")))))
 
     cap = F.greatest(F.lit(1), F.round(F.size("ss") * F.lit(share)).cast("int"))
-    found = rows.select("doc_id", cap.alias("cap"), F.flatten(F.transform(F.array(words), best)).alias("best"))  # an array of one binds the words
+    return _chosen(rows.select("doc_id", cap.alias("cap"), F.flatten(F.transform(F.array(words), best)).alias("best")), least)  # an array of one binds the words
+
+
+def _chosen(found: DataFrame, least: float) -> DataFrame:
+    """The best of (doc_id, cap, best), at most cap of each text, with (low, idx, sentence, clause) in best."""
     good = F.array_sort(F.filter("best", lambda b: -b["low"] >= least))
     return found.select("doc_id", F.explode(F.slice(good, F.lit(1), F.col("cap"))).alias("b")).select("doc_id", "b.clause", "b.idx", "b.sentence", F.round(-F.col("b.low"), 6).alias("score"))
 
@@ -223,6 +230,66 @@ def guided(scored: DataFrame, clauses: DataFrame, least: float = 0.35, share: fl
     return _guided(rows, least, share)
 
 
+def _answers(texts: pa.Array, words: pa.Array) -> pa.Array:
+    """Of texts with their sentences and the words of each: for each distinct sentence (its first place) the other sentence of the
+    same text that shares most of its words, the first of equals, and minus the share. Work goes by the pairs that share a
+    word; of long texts a few sentences at once are held against the rest."""
+    n = pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    doc, first = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n) - n, n)
+    same = texts.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    lists = words.flatten()
+    terms = lists.flatten().dictionary_encode()
+    kinds = max(1, len(terms.dictionary))
+    at = np.repeat(np.arange(len(doc)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, code = np.divmod(np.unique(at * kinds + terms.indices.to_numpy(zero_copy_only=False)), kinds)  # each word of a sentence once
+    size = np.bincount(at, minlength=len(doc))
+    begin = np.cumsum(size) - size
+    order = np.argsort(doc[at] * kinds + code, kind="stable")  # the sentences of each word of a text, in their order
+    _, group, many = np.unique(doc[at] * kinds + code, return_inverse=True, return_counts=True)
+    start, members = np.cumsum(many) - many, at[order]
+    clauses = np.sort(np.unique(doc * len(doc) + same, return_index=True)[1])
+    by_word = np.concatenate([[0], np.cumsum(many[group])])
+    cost = np.maximum(n[doc[clauses]], by_word[begin[clauses] + size[clauses]] - by_word[begin[clauses]])
+    span = lambda count: np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)  # noqa: E731  0, 1, .. of each
+    found = []
+    for a, b in runs.slices(cost, PAIRS):
+        own = clauses[a:b]
+        cells = n[doc[own]]
+        base = np.cumsum(cells) - cells
+        posting = np.repeat(begin[own], size[own]) + span(size[own])
+        clause, g = np.repeat(np.arange(b - a), size[own]), group[posting]
+        other = members[np.repeat(start[g], many[g]) + span(many[g])]
+        shared = np.bincount(np.repeat(base[clause], many[g]) + other - first[other], minlength=cells.sum())
+        place = span(cells)
+        shared[same[np.repeat(first[own], cells) + place] == np.repeat(same[own], cells)] = -1
+        best = np.maximum.reduceat(shared * len(doc) + (len(doc) - 1 - place), base)
+        shared, place = best // len(doc), len(doc) - 1 - best % len(doc)
+        some = shared >= 0
+        found.append((own[some], place[some], -shared[some] / np.maximum(size[own[some]], 1)))
+    own, place, low = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *found))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(doc[own], minlength=len(n)))])
+    parts = [pa.array(low), pa.array(place), pa.array(own - first[own])]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["low", "idx", "clause"]))
+
+
+@F.arrow_udf(ArrayType(StructType().add("low", DoubleType()).add("idx", LongType()).add("clause", LongType())))
+def _answered(texts: pa.Array, words: pa.Array) -> pa.Array:
+    count = np.concatenate([[0], np.cumsum(pc.list_value_length(words.flatten()).to_numpy(zero_copy_only=False))])
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    sizes = np.diff(count[ends]).astype(np.int64)
+    return pa.concat_arrays([_answers(texts.slice(a, b - a), words.slice(a, b - a)) for a, b in runs.slices(sizes, KERNEL_WORDS)] or [_answers(texts, words)])
+
+
+def guided_by_text(texts: DataFrame, least: float = 0.35, share: float = 0.4) -> DataFrame:
+    """guided of (doc_id, ss), where every distinct sentence of a text is a clause that the text's other sentences answer. No sentence
+    answers itself: its share would be 1, and the best of all would be the beginning of the text again."""
+    cap = F.greatest(F.lit(1), F.round(F.size("ss") * F.lit(share)).cast("int"))
+    rows = texts.select("doc_id", "ss", cap.alias("cap"), F.transform("ss", lambda s: T.tokens(s)).alias("words"))
+    rows = rows.select("doc_id", "ss", "cap", _answered("ss", "words").alias("best"))
+    best = F.transform("best", lambda b: F.struct(b["low"].alias("low"), b["idx"].alias("idx"), F.get("ss", b["idx"].cast("int")).alias("sentence"), F.get("ss", b["clause"].cast("int")).alias("clause")))
+    return _chosen(rows.select("doc_id", "cap", best.alias("best")), least)
+
+
 LEGAL_WEIGHTS = (0.4, 0.4, 0.2)
 
 

@@ -3,7 +3,7 @@
 import random
 import re
 
-
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -92,6 +92,27 @@ def test_clauses_meet_sentences_where_the_text_is(spark, sf):
     assert "Exchange" not in plan and "MapIn" not in plan
 
 
+def test_all_sentences_of_a_text_are_clauses(spark, tmp_path, monkeypatch):
+    rng = random.Random(67)
+    texts = {i: [" ".join(rng.choices([f"w{k}" for k in range(30)] + ["Ab", "ab,", "漢", "--"], k=rng.randrange(5, 9))) + "." for _ in range(rng.choice([0, 1, 2, 9, 40]))] for i in range(40)}
+    texts[40] = ["One two three four five."] * 3
+    texts[41] = [*texts[40], "One two three six seven.", *texts[40], "Eight nine ten six seven."]
+    words = lambda s: set(re.sub(r"[^\w\s]", " ", s.lower()).split())
+    want = set()
+    for i, ss in texts.items():
+        best = [min(others) for c in set(ss) if (others := [(-len(words(c) & words(s)) / max(len(words(c)), 1), at, s, c) for at, s in enumerate(ss) if s != c])]
+        good = sorted(b for b in best if -b[0] >= 0.35)[: max(1, int(len(ss) * 0.4 + 0.5))]
+        want |= {(i, c, at, s, round(-low, 6)) for low, at, s, c in good}
+    spark.createDataFrame([(i, " ".join(ss)) for i, ss in texts.items()] + [(None, "A b c d e. A b c d f.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in QUERIES["label_guided"](spark, str(tmp_path)).collect()} == want
+    assert any(c in texts[i][len(texts[i]) // 2 :] and c not in texts[i][:2] for i, c, *_ in want)
+    ss = pa.array(list(texts.values()), pa.list_(pa.string()))
+    own = pa.array([[sorted(words(s)) for s in t] for t in texts.values()], pa.list_(pa.list_(pa.string())))
+    whole = U._answers(ss, own).to_pylist()
+    monkeypatch.setattr(U, "PAIRS", 50)
+    assert U._answers(ss, own).to_pylist() == whole
+
+
 def test_texts_are_compared_once_by_trigrams(spark):
     def grams(t):
         return {f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", t.lower()) for i in range(len(w) + 1)}
