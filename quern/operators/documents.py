@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import runs
 from quern.functions import text as T
+from quern.operators import phrases as P
 
 #: Folded chunk windows: tokens to a chunk, tokens carried over, tokens below which a windowed chunk is dropped.
 MOST, OVERLAP, LEAST = 512, 64, 20
@@ -297,61 +298,34 @@ def concepts(docs: DataFrame, rules: dict[str, list[str]], other: str, id_col: s
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.when(F.size(found) > 0, found).otherwise(none)).alias("r")).select("doc_id", "r.*")
 
 
-def _phrase_counts(ids: pa.Array, words: pa.Array, most_words: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, all, phrase, n) of the n-grams of some documents, KERNEL_WORDS words at once; all is how many a document has."""
-    sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    for a, b in runs.slices(sizes, KERNEL_WORDS):
-        own, terms = sizes[a:b], words.slice(a, b - a).flatten().dictionary_encode()
-        codes, texts = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64), terms.dictionary
-        row, left = np.repeat(np.arange(len(own)), own), np.repeat(np.cumsum(own), own) - np.arange(len(codes))
-        total = sum(np.maximum(own - k, 0) for k in range(most_words))
-        gram, base = codes, texts
-        for k in range(1, most_words + 1):
-            if k > 1:  # a phrase is the one without its last word, and that word
-                at = np.flatnonzero(left >= k)
-                kinds, first, code = np.unique(gram[at] * len(base) + codes[at + k - 1], return_index=True, return_inverse=True)
-                texts = pc.binary_join_element_wise(texts.take(pa.array(gram[at][first])), base.take(pa.array(codes[at + k - 1][first])), " ")
-                gram = np.full(len(codes), -1)
-                gram[at] = code
-            else:
-                at = np.arange(len(codes))
-            key, n = np.unique(row[at] * max(1, len(texts)) + gram[at], return_counts=True)
-            doc, phrase = key // max(1, len(texts)), key % max(1, len(texts))
-            for c in range(0, len(key), OUT_ROWS):
-                d, p = doc[c : c + OUT_ROWS], phrase[c : c + OUT_ROWS]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(d)), pa.array(total[d]), texts.take(pa.array(p)), pa.array(n[c : c + OUT_ROWS])], ["doc_id", "all", "phrase", "n"])
+def _phrases(docs: DataFrame, stop_words: list[str], most_words: int, least_docs: int, id_col: str, text_col: str) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """(doc_id, all, phrases, docs), a document's phrases (phrase, n, df) in its row, and the score of one of them."""
+    words = docs.select(F.col(id_col).alias("doc_id"), T.content_tokens(text_col, stop_words).alias("words"))
+    size = docs.agg(F.count("*").alias("docs"))
+    rows = P.phrases(words, most_words, least_docs).crossJoin(F.broadcast(size))  # one row
+    return rows, lambda p: F.round(p["n"] / F.col("all") * (F.log((F.col("docs") + 1) / (p["df"] + 1)) + 1), 8)
 
 
 def keyphrase_scores(docs: DataFrame, stop_words: list[str], most_words: int = 3, least_docs: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, phrase, score): n-grams of content words by count / all candidates * (ln((N + 1) / (df + 1)) + 1), df at least 2.
 
-    A document's phrases are counted where it is read (ids are unique); its counts are shuffled once, by phrase.
+    A document's phrases are counted where it is read (ids are unique) and never leave it: only their hashes do.
     """
-    words = docs.select(F.col(id_col).alias("doc_id"), T.content_tokens(text_col, stop_words).alias("words"))
-    schema = f"doc_id {words.schema['doc_id'].dataType.simpleString()}, all long, phrase string, n long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _phrase_counts(batch.column(0), batch.column(1), most_words)
-
-    by_phrase = Window.partitionBy("phrase")
-    counts = words.mapInArrow(run, schema).withColumn("df", F.count("*").over(by_phrase)).where(F.col("df") >= least_docs)
-    size = docs.agg(F.count("*").alias("docs"))
-    score = F.col("n") / F.col("all") * (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1)
-    return counts.crossJoin(F.broadcast(size)).select("doc_id", "phrase", F.round(score, 8).alias("score"))  # one row
+    rows, score = _phrases(docs, stop_words, most_words, least_docs, id_col, text_col)
+    return rows.select("doc_id", "all", "docs", F.explode("phrases").alias("p")).select("doc_id", "p.phrase", score(F.col("p")).alias("score"))
 
 
 def keyphrases(docs: DataFrame, stop_words: list[str], k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, phrase, rank): the k best phrases of a text, none sharing a word with a better one."""
-    scored = keyphrase_scores(docs, stop_words, id_col=id_col, text_col=text_col)
-    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("phrase").alias("p"))))
+    rows, score = _phrases(docs, stop_words, 3, 2, id_col, text_col)
+    best = F.array_sort(F.transform("phrases", lambda p: F.struct((-score(p)).alias("s"), p["phrase"].alias("p"))))
     start = F.array().cast("array<string>")
 
     def step(h: Column, x: Column) -> Column:
         used = F.flatten(F.transform(h, lambda p: F.split(p, " ")))
         return F.when((F.size(h) < k) & ~F.arrays_overlap(F.split(x["p"], " "), used), F.concat(h, F.array(x["p"]))).otherwise(h)
 
-    chosen = scored.groupBy("doc_id").agg(best.alias("b")).select("doc_id", F.aggregate("b", start, step).alias("p"))
+    chosen = rows.select("doc_id", best.alias("b")).select("doc_id", F.aggregate("b", start, step).alias("p"))
     return chosen.select("doc_id", F.posexplode("p").alias("i", "phrase")).select("doc_id", "phrase", (F.col("i") + 1).cast("long").alias("rank"))
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from quern.functions import text as T
 from quern.operators import dialogue as Q
 from quern.operators import documents as D
 from quern.operators import graph as G
+from quern.operators import phrases as P
 from quern.operators import retrieval as R
 from quern.operators import search as S
 from quern.operators import summarise as U
@@ -156,3 +158,32 @@ def test_walks_send_frontiers_and_never_edges(spark, tmp_path, monkeypatch):
 def test_windows_split_a_text_once(spark, sf):
     plan = QUERIES["chunk_window"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?<=[.!?])") == 1
+
+
+def test_phrases_stay_with_their_documents(spark):
+    rng = random.Random(68)
+    made = [(i, rng.choices(["ab", "c", "漢", "dé", "x y", *(f"w{k}" for k in range(12))], k=rng.choice([0, 1, 2, 3, 30]))) for i in range(60)] + [(60, None), (None, ["ab", "c"])]
+    docs = spark.createDataFrame(made, "doc_id long, words array<string>").repartition(3)
+    grams = {i: [" ".join(w[a : a + n]) for n in (1, 2, 3) for a in range(len(w) - n + 1)] if w else [] for i, w in made}
+    df = {g: sum(g in set(gs) for gs in grams.values()) for gs in grams.values() for g in gs}
+    want = {i: (len(gs), {(g, gs.count(g), df[g]) for g in gs if df[g] >= 2}) for i, gs in grams.items()}
+    for rows in (10_000, 4):  # with few rows to a batch, a partition has many blocks
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            found = P.phrases(docs, 3, 2).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {r.doc_id: (r.all, {tuple(p) for p in r.phrases}) for r in found} == {i: w for i, w in want.items() if w[1]}
+        assert len(found) == sum(1 for w in want.values() if w[1])
+    assert P.phrases(docs.limit(0), 3, 2).collect() == []
+    texts = docs.where("words is not null").select("doc_id", F.array_join("words", " ").alias("text"))
+    for made in (D.keyphrase_scores(texts, []), D.keyphrases(texts, [])):
+        assert "hashpartitioning" not in plan_of(made) and made.collect()
+
+
+def test_phrases_of_one_hash_are_told_apart():
+    h, more, docs = np.array([5, 9, 9, 2**64 - 1], np.uint64), np.array([0, 1, 2, 255], np.uint8), np.array([1, 2, 3, 70000], np.uint32)
+    one = (4, P._packed(np.diff(h, prepend=np.uint64(0)), more, docs))
+    two = (2, P._packed(np.diff(h[[1, 2]][:2], prepend=np.uint64(0)), more[[2, 1]], docs[[0, 1]]))
+    got = [P._unpacked(x, n, np.uint32)[0].tolist() for x, n in zip(P.answers([one, two, (0, P._packed(h[:0], more[:0], docs[:0]))]), (4, 2, 0))]
+    assert got == [[1, 4, 4, 70000], [4, 4], []]
