@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -298,35 +298,22 @@ def concepts(docs: DataFrame, rules: dict[str, list[str]], other: str, id_col: s
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.when(F.size(found) > 0, found).otherwise(none)).alias("r")).select("doc_id", "r.*")
 
 
-def _phrases(docs: DataFrame, stop_words: list[str], most_words: int, least_docs: int, id_col: str, text_col: str) -> tuple[DataFrame, Callable[[Column], Column]]:
-    """(doc_id, all, phrases, docs), a document's phrases (phrase, n, df) in its row, and the score of one of them."""
-    words = docs.select(F.col(id_col).alias("doc_id"), T.content_tokens(text_col, stop_words).alias("words"))
-    size = docs.agg(F.count("*").alias("docs"))
-    rows = P.phrases(words, most_words, least_docs).crossJoin(F.broadcast(size))  # one row
-    return rows, lambda p: F.round(p["n"] / F.col("all") * (F.log((F.col("docs") + 1) / (p["df"] + 1)) + 1), 8)
-
-
 def keyphrase_scores(docs: DataFrame, stop_words: list[str], most_words: int = 3, least_docs: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, phrase, score): n-grams of content words by count / all candidates * (ln((N + 1) / (df + 1)) + 1), df at least 2.
 
     A document's phrases are counted where it is read (ids are unique) and never leave it: only their hashes do.
     """
-    rows, score = _phrases(docs, stop_words, most_words, least_docs, id_col, text_col)
-    return rows.select("doc_id", "all", "docs", F.explode("phrases").alias("p")).select("doc_id", "p.phrase", score(F.col("p")).alias("score"))
+    words = docs.select(F.col(id_col).alias("doc_id"), T.content_tokens(text_col, stop_words).alias("words"))
+    counts = P.exchanged(words, most_words, P.all_counts(least_docs), "all long, phrase string, n long, df long")
+    size = docs.agg(F.count("*").alias("docs"))
+    score = F.col("n") / F.col("all") * (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1)
+    return counts.crossJoin(F.broadcast(size)).select("doc_id", "phrase", F.round(score, 8).alias("score"))  # one row
 
 
 def keyphrases(docs: DataFrame, stop_words: list[str], k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, phrase, rank): the k best phrases of a text, none sharing a word with a better one."""
-    rows, score = _phrases(docs, stop_words, 3, 2, id_col, text_col)
-    best = F.array_sort(F.transform("phrases", lambda p: F.struct((-score(p)).alias("s"), p["phrase"].alias("p"))))
-    start = F.array().cast("array<string>")
-
-    def step(h: Column, x: Column) -> Column:
-        used = F.flatten(F.transform(h, lambda p: F.split(p, " ")))
-        return F.when((F.size(h) < k) & ~F.arrays_overlap(F.split(x["p"], " "), used), F.concat(h, F.array(x["p"]))).otherwise(h)
-
-    chosen = rows.select("doc_id", best.alias("b")).select("doc_id", F.aggregate("b", start, step).alias("p"))
-    return chosen.select("doc_id", F.posexplode("p").alias("i", "phrase")).select("doc_id", "phrase", (F.col("i") + 1).cast("long").alias("rank"))
+    """(doc_id, phrase, rank): the k best phrases of a text, none sharing a word with a better one; chosen where the text is read."""
+    words = docs.select(F.col(id_col).alias("doc_id"), T.content_tokens(text_col, stop_words).alias("words"))
+    return P.exchanged(words, 3, P.best_apart(2, k, docs.count()), "phrase string, rank long")
 
 
 def distinct_by_signature(docs: DataFrame, chars: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
